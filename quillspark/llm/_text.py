@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters handled together; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -36,6 +38,14 @@ def groups(lengths: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
+def slices(batch: pa.RecordBatch, limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
+    """(place, texts): the column text of a batch, a bounded part of it at a time; null counts as empty."""
+    column = batch.column("text")
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for lo, hi in groups(lengths, limit):
+        yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+
+
 @cache
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):

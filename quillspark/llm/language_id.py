@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import balanced, checksum_rest
-from ._text import code_points, groups
+from ._text import code_points, groups, slices
 
 WINDOW = 1000
 #: Labelled texts of each language to fit on, and one window of each; a bound that doesn't depend on the table.
@@ -173,9 +173,9 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str] = ("doc_id",
 
     def score(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found, scores = decide(sent.value, texts) if sent.value else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
+            for at, texts in slices(batch):
+                found, scores = decide(sent.value, texts) if sent.value else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(texts)) for k in keep), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._graph import stars
 from ._io import written
-from ._text import Words, groups, mix
+from ._text import Words, mix, slices
 
 SKETCH = 18
 MOST_MATCHES = 4
@@ -39,29 +39,27 @@ SALT_ROWS = 20_000
 SALTS = 16
 HOT_LEVEL = int(np.ceil(np.log2(SALT_ROWS + 1)))
 #: Round one is repeated with other anchors, at most TURNS times, while more pairs than this a document would be left for round two.
-PAIRS_A_DOCUMENT = 20
-TURNS = 8
+PAIRS_A_DOCUMENT = 200
+TURNS = 6
+#: ... and while a turn links at least this share of the documents.
+WORTH = 0.01
 
 
-def _sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
-    for lo, hi in groups([len(t) for t in texts]):
-        words = Words(texts[lo:hi])
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
+    for _, texts in slices(batch):
+        words = Words(texts)
         rolled, count = words.shingles(size)
         for at, n in zip(words.first, count):
             yield np.unique(rolled[at : at + n])
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column("text").to_pylist()]
-
-
 def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
     """The sketch: how many documents hold a shingle of each bucket."""
 
     def count(batches):
         total = np.zeros(1 << SKETCH, np.int64)
         for batch in batches:
-            for s in _sets(_texts(batch), size):
+            for s in _sets(batch, size):
                 total += np.bincount((s >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) if len(s) > 1 << 14 else 0
                 if len(s) <= 1 << 14:
                     np.add.at(total, (s >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
@@ -103,7 +101,7 @@ def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def summarise(batches):
         for batch in batches:
             rows = {k: [] for k in ("n", "s1", "s2", "ell", "hot_from", "tokens")}
-            for s in _sets(_texts(batch), size):
+            for s in _sets(batch, size):
                 ell, hot_from, tokens = prefix(s, sent.value, base, percent) if len(s) else (0, 0, s)
                 for k, v in zip(rows, (len(s), mix(s).sum(dtype=np.uint64).astype(np.int64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64), ell, hot_from, tokens.view(np.int64))):
                     rows[k].append(v)
@@ -117,20 +115,22 @@ def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def _postings(summaries: DataFrame, percent: int) -> DataFrame:
     """token, doc, n, ell, g (the least l whose prefix has the token), salt, spread (whether the token's posting is dealt to several salts)."""
-    reps = summaries.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "ell", "hot_from", "tokens")).alias("r"))
-    each = reps.select(F.col("r.doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.col("r.ell").alias("ell"), F.col("r.hot_from").alias("hot_from"), F.posexplode("r.tokens").alias("at", "token"))
+    sets = summaries.where("n > 0")
+    reps = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"))
+    one = sets.join(reps, ["doc_id", "n", "s1", "s2"], "left_semi")
+    each = one.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "ell", "hot_from", F.posexplode("tokens").alias("at", "token"))
     o = F.expr(f"(n * {percent} + 99) div 100")
     spread = F.col("at") >= F.col("hot_from")
     return each.select(
-        "token", "doc", "n", "ell", F.greatest(F.lit(1), F.col("at") - F.col("n") + o + 1).cast("int").alias("g"),
+        "token", "doc", "n", "ell", F.col("at").cast("int").alias("at"), F.greatest(F.lit(1), F.col("at") - F.col("n") + o + 1).cast("int").alias("g"),
         F.when(spread, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), spread.alias("spread"))
 
 
 def _starred(rows: DataFrame, turn: int) -> DataFrame:
-    """rows with anchor, one document of the posting's salt (another each turn), and together, how many rows the salt has."""
+    """rows with anchor, one document of the posting's salt (another each turn)."""
     w = Window.partitionBy("token", "salt")
-    first = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h") if turn else F.col("doc").alias("h"), "doc", "n", "ell", "g", "class")
-    return rows.withColumns({"together": F.count("*").over(w), "anchor": F.min(first).over(w)})
+    first = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h") if turn else F.col("doc").alias("h"), "doc", "n", "ell", "g", "at", "kept", "class")
+    return rows.withColumn("anchor", F.min(first).over(w))
 
 
 def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -140,7 +140,8 @@ def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     met = rows.unionByName(upper.select(rows.columns)).where("class <> anchor.class")
     pairs = met.select(
         F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("ell").alias("lx"), F.col("g").alias("gx"),
-        F.col("anchor.doc").alias("y"), F.col("anchor.n").alias("ny"), F.col("anchor.ell").alias("ly"), F.col("anchor.g").alias("gy"))
+        F.col("anchor.doc").alias("y"), F.col("anchor.n").alias("ny"), F.col("anchor.ell").alias("ly"), F.col("anchor.g").alias("gy"),
+        F.col("at").alias("ax"), F.col("kept").alias("kx"), F.col("anchor.at").alias("ay"), F.col("anchor.kept").alias("ky")).where(_may_reach(percent))
     best = _matching(pairs, percent).groupBy("x").agg(F.max(F.struct("m", (-F.col("y")).alias("y"))).alias("best"))
     return best.select("x", (-F.col("best.y")).alias("y"))
 
@@ -159,6 +160,12 @@ def _can_reach(percent: int):
     return (100 + percent) * (F.col("m") + rest) >= percent * (F.col("nx") + F.col("ny"))
 
 
+def _may_reach(percent: int):
+    """A bound from one shared shingle, at the places ax and ay: what lies before it was shared only if others have it in their prefixes too."""
+    most = 1 + F.least("kx", "ky") + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) - 1
+    return (100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (x, y) of doc_ids, those whose whole sets link."""
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
@@ -169,7 +176,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
         for batch in batches:
             tx, ty = batch.column("tx").to_pylist(), batch.column("ty").to_pylist()
             every = list(dict.fromkeys((*tx, *ty)))
-            known = dict(zip(every, _sets([t or "" for t in every], size)))
+            known = dict(zip(every, _sets(pa.RecordBatch.from_arrays([pa.array(every, pa.string())], names=["text"]), size)))
             keep = []
             for a, b in zip(tx, ty):
                 a, b = known[a], known[b]
@@ -193,23 +200,26 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     are one node: each gets a row, and their links are united. A row of null doc_id gets a null component. An empty table gives no rows.
     """
     summaries = _summaries(docs, size, percent)
-    rows = _starred(_postings(summaries, percent).withColumn("class", F.col("doc")), 0).where("together > 1 or spread")
-    links, turn = None, 0
+    every, of = _postings(summaries, percent), Window.partitionBy("token", "salt")
+    shared = every.withColumn("together", F.count("*").over(of)).where("together > 1 or spread").drop("together")
+    # kept: how many shingles of the document's prefix before this one others have too.
+    shared = written(shared, "postings")
+    rows = shared.withColumns({"kept": (F.row_number().over(Window.partitionBy("doc").orderBy("at")) - 1).cast("int"), "class": F.col("doc")})
+    links, turn, documents = None, 0, max(1, summaries.count())
     while True:
-        rows = written(rows, "postings")
-        found = verified(docs, _star_pairs(rows, percent), size, percent)
+        pairs = written(_star_pairs(_starred(rows, turn), percent), "pairs")
+        found = written(verified(docs, pairs, size, percent), "found")
         links = stars(found if links is None else links.unionByName(found))
         known = links.select(F.col("a").alias("doc"), F.col("b").alias("class"))
-        rows = rows.drop("anchor", "together", "class").join(known, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+        rows = rows.drop("class").join(known, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
         mixed = rows.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
         rows = written(rows.join(mixed, "token", "left_semi"), "open")
         turn += 1
-        if turn == TURNS or _pairs_across(rows) <= PAIRS_A_DOCUMENT * max(1, summaries.count()):
+        if turn == TURNS or found.count() <= WORTH * documents or _pairs_across(rows) <= PAIRS_A_DOCUMENT * documents:
             break
-        rows = _starred(rows, turn)
-    x = rows.select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("ell").alias("lx"), F.col("g").alias("gx"), F.col("class").alias("cx"))
-    y = rows.select(F.col("token").alias("other"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ly"), F.col("g").alias("gy"), F.col("class").alias("cy"))
-    across = x.join(y, (x["token"] == y["other"]) & (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+    side = lambda k, token: rows.select(F.col("token").alias(token), F.col("doc").alias(k), *(F.col(c).alias(f"{c[0]}{k}") for c in ("n", "g", "at", "kept")), F.col("ell").alias(f"l{k}"), F.col("class").alias(f"c{k}"))
+    x, y = side("x", "token"), side("y", "other")
+    across = x.join(y, (F.col("token") == F.col("other")) & (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & _may_reach(percent))
     second = verified(docs, _matching(across, percent).where(_can_reach(percent)).select("x", "y"), size, percent)
 
     copies = summaries.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))

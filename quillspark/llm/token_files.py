@@ -26,10 +26,38 @@ STEP = 128
 #: Ids that a block holds at least, except a shard's last. A document isn't divided.
 BLOCK = 1 << 18
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
+#: Marks that the tokenizer parts from letters before them.
+MARKS = ",.!?;:%&$#*"
 BLOCKS = "shard int, block int, at bigint, doc_ids array<bigint>, counts array<bigint>, steps binary, bits binary"
 
 
+class Memory(dict):
+    """Remembers what was asked for lately: MOST entries, and those of the MOST before them while they are asked for again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: set) -> list:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        new = keys - self.keys()
+        again = new & self.older.keys()
+        self.update((k, self.older[k]) for k in again)
+        return list(new - again)
+
+
+def _lower(text: str) -> str:
+    """Lower case, as the tokenizer will write it, where that is sure: Latin-1 without anything like a special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 class Encoder:
     """Ids of texts. The tokenizer parts texts at white space, so each word's ids are remembered apart from its text."""
 
@@ -38,27 +66,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.type).tobytes()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: set[str]) -> None:
-        """A letter-only word and a mark after it are two pieces for the tokenizer, and A-Z are lower-cased by it."""
-        parts = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",.!?;:" and w[:-1].isalpha() else (w,) for w in words}
-        parts = {w: tuple(p.lower() if p.isascii() else p for p in ps) for w, ps in parts.items()}
-        new = list({p for ps in parts.values() for p in ps} - self.known.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, self.type).tobytes()
-        for word, ps in parts.items():
-            self.known[word] = b"".join([self.known[p] for p in ps])
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+
+    def _learn_parts(self, new: list[str]) -> None:
+        """Ids of words. Letter-only words of a vocabulary that marks ends are encoded many at a time, and parted at their ends."""
+        letters = [w for w in new if w.isalpha()] if self.ends.any() else []
+        rest = [w for w in new if not w.isalpha()] if letters else new
+        runs = [letters[i : i + 400] for i in range(0, len(letters), 400)]
+        for words, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(found.ids, self.type)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(words) or at[-1] != len(ids):
+                rest += words
+                continue
+            self.parts.update(zip(words, (x.tobytes() for x in np.split(ids, at[:-1]))))
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.parts[word] = np.array(found.ids, self.type).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """A letter-only word and marks after it are two pieces for the tokenizer, which lower-cases by itself."""
+        split = {}
+        for w in words:
+            word = w.rstrip(MARKS)
+            if word.isalpha() and max(word) < "\u0130":
+                split[w] = (word.lower(), w[len(word) :]) if len(word) < len(w) else (word.lower(),)
+            else:
+                split[w] = (w,)
+        self._learn_parts(self.parts.missing({p for ps in split.values() for p in ps}))
+        for word, ps in split.items():
+            self.known[word] = b"".join([self.parts[p] for p in ps])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        unknown = {w for words in split for w in words} - self.known.keys()
-        if unknown:
-            self._learn(unknown)
+        split = [_lower(t).replace("\n", " ").split(" ") for t in texts]
+        self._learn(self.known.missing({w for words in split for w in words}))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import balanced, checksum_rest
-from ._text import Words, groups
+from ._text import Words, groups, slices
 
 #: Labelled documents of each label to fit on, and the characters of each, from a hashed place on. Bounds that don't depend on the table.
 FIT_ROWS = 1000
@@ -348,8 +348,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             _scorers.clear()
             found = _scorers[name] = Scorer(sent.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found(texts) if found else np.zeros(len(texts)), pa.float64())], names=["doc_id", "score"])
+            for at, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(found(texts) if found else np.zeros(len(texts)), pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id bigint, score double")
     return out.select("doc_id", F.coalesce(checksum_rest(5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -30,6 +30,7 @@ from ._text import Words, mix, slices
 
 SKETCH = 18
 MOST_MATCHES = 4
+SENT_IDS = 1_000_000
 #: Work of verifying one candidate, in postings read.
 VERIFY = 40.0
 #: Chance that a document that shares one prefix shingle by accident shares one more.
@@ -168,8 +169,11 @@ def _may_reach(percent: int):
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (x, y) of doc_ids, those whose whole sets link."""
-    ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    pairs = written(pairs, "candidates")
+    ids = written(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct(), "ids")
+    # Up to SENT_IDS ids go to every task, so that only the texts that are compared are shuffled; more are joined by shuffle.
+    few = ids.count() <= SENT_IDS
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "compared")
     full = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
 
     def compare(batches):

@@ -239,7 +239,12 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mode
     in_toxic, in_clean = np.bincount(word_of_pair[toxic], minlength=len(names)), np.bincount(word_of_pair[~toxic], minlength=len(names))
     odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_clean + 0.5) / ((1 - y).sum() + 1))
     long = np.array([len(w) >= 3 for w in names])
-    telling = np.where(long & (in_toxic >= 2) & (odds > 1), in_toxic * odds, 0.0)
+    # A word tells if its counts are too far from the labels' shares for chance among so many words; if none does, any that leans that way.
+    expected = (in_toxic + in_clean) * y.mean(), (in_toxic + in_clean) * (1 - y.mean())
+    surprise = 2 * sum(n * np.log(np.maximum(n, 1e-9) / e) for n, e in zip((in_toxic, in_clean), expected))
+    leaning = long & (in_toxic >= 2) & (odds > 1)
+    sure = leaning & (surprise > 2 * np.log(len(names)))
+    telling = np.where(sure if sure.any() else leaning, in_toxic * odds, 0.0)
     marks = _unlike([names[i] for i in np.argsort(-telling, kind="stable")[: LANDMARKS * 8] if telling[i] > 0], LANDMARKS * 3 // 4)
     common = [names[i] for i in np.argsort(-np.where(long & (telling == 0), in_clean, 0), kind="stable")[: LANDMARKS * 4]]
     marks += _unlike([w for w in common if w not in set(marks)], LANDMARKS - len(marks))

@@ -243,7 +243,7 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mode
     expected = (in_toxic + in_clean) * y.mean(), (in_toxic + in_clean) * (1 - y.mean())
     surprise = 2 * sum(n * np.log(np.maximum(n, 1e-9) / e) for n, e in zip((in_toxic, in_clean), expected))
     leaning = long & (in_toxic >= 2) & (odds > 1)
-    sure = leaning & (surprise > 2 * np.log(len(names)))
+    sure = leaning & (surprise > 1.4 * np.log(len(names)))
     telling = np.where(sure if sure.any() else leaning, in_toxic * odds, 0.0)
     marks = _unlike([names[i] for i in np.argsort(-telling, kind="stable")[: LANDMARKS * 8] if telling[i] > 0], LANDMARKS * 3 // 4)
     common = [names[i] for i in np.argsort(-np.where(long & (telling == 0), in_clean, 0), kind="stable")[: LANDMARKS * 4]]

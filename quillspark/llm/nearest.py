@@ -4,7 +4,8 @@ Vectors are parted by their nearest of a few coarse centroids. What is left of e
 codes minimise |r|^2 + (eta - 1) (r.x/|x|)^2, r being the residual: error parallel to the vector changes large inner products and weighs eta
 times as much (Guo et al., 2020). Codebooks and codes are found by coordinate descent under that loss. A query reads the parts
 whose centroids score highest, adds up 4-bit table entries (two at once, from tables of 256), and the best by these sums are ranked again by exact
-inner products in double precision.
+inner products in double precision. As the sample's vectors are in the table too, a query's scores with their codes tell beforehand what
+its best of all will score; what falls short of that isn't passed on.
 
 Centroids and codebooks are fitted on SAMPLE vectors; every vector is indexed. Parts are read in blocks of bounded rows and queries, so a
 part may hold any share of the vectors. Equal vectors are scanned once; of them only the k + 1 of smallest id can be among a query's k
@@ -30,6 +31,8 @@ WIDTH = 1
 #: Share of a sample query's true neighbours that the parts read must hold, and that must be among those ranked again.
 COVER = 0.985
 RERANK = 64
+#: Standard deviations by which the sample may hold more of a query's best RERANK than its share, and a least score still lets them all through.
+SLACK = 3.0
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 2048
 
@@ -40,6 +43,9 @@ class Index:
     books: np.ndarray  # groups x 16 x WIDTH
     probes: int
     rerank: int
+    coded: np.ndarray  # the sample's vectors as their codes have them
+    part: np.ndarray  # and their parts
+    through: int  # of these, how many a query's least score lets through
 
 
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -139,7 +145,23 @@ def fit(x: np.ndarray, total: int, k: int) -> Index:
     at = np.sort(guess[np.arange(len(asked))[:, None], true].ravel())
     # A larger table is denser around a query's neighbours than the sample.
     rerank = max(RERANK, int((at[int(COVER * (len(at) - 1))] + 1) * max(1.0, total / len(x)) ** 0.5))
-    return Index(centroids, books, min(probes, parts), rerank)
+    share = len(x) / total
+    through = max(k + 1, int(np.ceil(rerank * share + SLACK * (rerank * share * (1 - share)) ** 0.5)))
+    return Index(centroids, books, min(probes, parts), rerank, coded.astype(np.float32), part, through)
+
+
+def _least(q: np.ndarray, near: np.ndarray, index: Index) -> np.ndarray:
+    """Of each query the score that index.through sample vectors of its parts reach; -inf if these parts hold fewer."""
+    out = np.full(len(q), -np.inf)
+    if index.through > len(index.coded):
+        return out
+    for at in range(0, len(q), 256):
+        read = np.zeros((len(q[at : at + 256]), len(index.centroids)), bool)
+        np.put_along_axis(read, near[at : at + 256], True, axis=1)
+        score = np.where(read[:, index.part], q[at : at + 256].astype(np.float32) @ index.coded.T, -np.inf)
+        out[at : at + 256] = np.partition(score, -index.through, axis=1)[:, -index.through]
+    # The tables' sums are rounded otherwise.
+    return out - 1e-4 * np.abs(np.where(np.isfinite(out), out, 0)) - 1e-6
 
 
 def _usable(v: Column) -> Column:
@@ -212,15 +234,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
                 score = x @ index.centroids.T
                 near = np.argpartition(-score, index.probes - 1, axis=1)[:, : index.probes] if index.probes < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(x), 1))
                 which = np.repeat(np.arange(len(x)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(which)), pa.array(near.ravel().astype(np.int32))], names=["query_id", "part"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(which)), pa.array(near.ravel().astype(np.int32)), pa.array(_least(x, near, index)[which])], names=["query_id", "part", "least"])
 
     asked = rows.where(queries).select("vec_id", "v")
-    probes = asked.mapInArrow(probe, "query_id bigint, part int")
+    probes = asked.mapInArrow(probe, "query_id bigint, part int, least double")
     told = written(probes, "probes")
     readers = {r["part"]: r["count"] for r in told.groupBy("part").count().collect()}
     blocks = spark.createDataFrame([(int(p), -(-n // BLOCK_ROWS), -(-readers.get(p, 0) // BLOCK_QUERIES)) for p, n in sizes.items() if p in readers] or [(-1, 1, 1)], "part int, rows int, readers int")
     left = coded.join(F.broadcast(blocks), "part").withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.col("rows")), "turn": F.explode(F.sequence(F.lit(0), F.col("readers") - 1))}).select("part", "block", F.col("turn").cast("bigint").alias("turn"), "vec_id", "codes")
-    right = told.join(F.broadcast(blocks), "part").join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumns({"turn": F.pmod(F.xxhash64("query_id"), F.col("readers")), "block": F.explode(F.sequence(F.lit(0), F.col("rows") - 1))}).select("part", F.col("block").cast("bigint").alias("block"), "turn", "query_id", "v")
+    right = told.join(F.broadcast(blocks), "part").join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumns({"turn": F.pmod(F.xxhash64("query_id"), F.col("readers")), "block": F.explode(F.sequence(F.lit(0), F.col("rows") - 1))}).select("part", F.col("block").cast("bigint").alias("block"), "turn", "query_id", "least", "v")
 
     def scan(key, candidates: pa.Table, asking: pa.Table) -> pa.Table:
         index = sent_probes.value
@@ -232,6 +254,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
         codes = np.frombuffer(b"".join(candidates.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T.astype(np.int64)
         q = _array(asking, "v")
         base = q @ index.centroids[key[0].as_py()]
+        least = asking.column("least").to_numpy() - base
         tables = np.einsum("nsd,scd->nsc", _pairs(q), index.books)
         tables = np.pad(tables, ((0, 0), (0, tables.shape[1] % 2), (0, 0)))
         two = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1, 256).astype(np.float32)
@@ -240,7 +263,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
             score = np.zeros(len(ids), np.float32)
             for s in range(len(codes)):
                 score += two[i, s][codes[s]]
-            at = _best(score, index.rerank)
+            at = np.flatnonzero(score >= least[i])
+            at = at[_best(score[at], index.rerank)]
             out_q.append(np.full(len(at), query))
             out_v.append(ids[at])
             out_s.append(score[at] + base[i])

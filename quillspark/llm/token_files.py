@@ -8,7 +8,9 @@ the bit offset of every STEP-th id, and all these runs are decoded side by side
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,14 @@ LIMIT = 16
 STEP = 128
 #: Ids that a block holds at least, except a shard's last. A document isn't divided.
 BLOCK = 1 << 18
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
-#: Marks that the tokenizer parts from letters before them.
-MARKS = ",.!?;:%&$#*"
+#: Pieces whose ids a worker remembers.
+REMEMBERED = 600_000
+#: How the tokenizers that are encoded piece by piece normalise and part texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same parting for lower-cased Latin-1, whose white space, digits and letters are these.
+_WHITE, _DIGITS, _LETTERS = r"\t-\r \x85\xa0", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+PIECES = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_DIGITS}]|[^{_WHITE}{_DIGITS}{_LETTERS}]+")
 BLOCKS = "shard int, block int, at bigint, doc_ids array<bigint>, counts array<bigint>, steps binary, bits binary"
 
 
@@ -43,23 +49,17 @@ class Memory(dict):
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        new = keys - self.keys()
-        again = new & self.older.keys()
-        self.update((k, self.older[k]) for k in again)
-        return list(new - again)
-
-
-def _lower(text: str) -> str:
-    """Lower case, as the tokenizer will write it, where that is sure: Latin-1 without anything like a special token."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text if "<|" in text else text.lower()
+        new, older = [k for k in keys if k not in self], self.older
+        self.update([(k, older[k]) for k in new if k in older])
+        return [k for k in new if k not in older] if older else new
 
 
 class Encoder:
-    """Ids of texts. The tokenizer parts texts at white space, so each word's ids are remembered apart from its text."""
+    """Ids of texts. Where the tokenizer's file states the parting above, each piece has its ids, whatever is beside it.
+
+    The pieces of Latin-1 texts are found here, remembered, and those not met lately encoded many at a time by the library, by the file's
+    model without its parting. Other texts of such a tokenizer are encoded by words, and texts of any other tokenizer as a whole.
+    """
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,41 +71,48 @@ class Encoder:
         self.end = b"" if end_id is None else np.array([end_id], self.type).tobytes()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
-
-    def _learn_parts(self, new: list[str]) -> None:
-        """Ids of words. Letter-only words of a vocabulary that marks ends are encoded many at a time, and parted at their ends."""
-        letters = [w for w in new if w.isalpha()] if self.ends.any() else []
-        rest = [w for w in new if not w.isalpha()] if letters else new
-        runs = [letters[i : i + 400] for i in range(0, len(letters), 400)]
-        for words, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+        self.pieces, self.words = Memory(REMEMBERED), Memory(REMEMBERED // 8)
+        stated = json.loads(self.tokenizer.to_str())
+        parting = stated["pre_tokenizer"] or {}
+        first, *others = parting.get("pretokenizers", [{}])
+        self.by_piece = stated["normalizer"] == NORMALIZER and first.get("pattern") == {"Regex": PARTING} and [x["type"] for x in others] == ["ByteLevel"] and stated["model"].get("end_of_word_suffix") == "</w>"
+        if self.by_piece:
+            self.plain = Tokenizer.from_str(json.dumps(stated | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *others]}}))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pieces, many in one text, parted at the ids that end a piece."""
+        runs = [new[i : i + 400] for i in range(0, len(new), 400)]
+        for run, found in zip(runs, self.plain.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(found.ids, self.type)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(words) or at[-1] != len(ids):
-                rest += words
+            at = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(at) != len(run) or at[-1] != ids.nbytes:
+                self.pieces.update(zip(run, self._whole(run)))
                 continue
-            self.parts.update(zip(words, (x.tobytes() for x in np.split(ids, at[:-1]))))
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.parts[word] = np.array(found.ids, self.type).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """A letter-only word and marks after it are two pieces for the tokenizer, which lower-cases by itself."""
-        split = {}
-        for w in words:
-            word = w.rstrip(MARKS)
-            if word.isalpha() and max(word) < "\u0130":
-                split[w] = (word.lower(), w[len(word) :]) if len(word) < len(w) else (word.lower(),)
-            else:
-                split[w] = (w,)
-        self._learn_parts(self.parts.missing({p for ps in split.values() for p in ps}))
-        for word, ps in split.items():
-            self.known[word] = b"".join([self.parts[p] for p in ps])
+            raw, at = ids.tobytes(), at.tolist()
+            self.pieces.update(zip(run, [raw[a:b] for a, b in zip([0, *at], at)]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_lower(t).replace("\n", " ").split(" ") for t in texts]
-        self._learn(self.known.missing({w for words in split for w in words}))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        if not self.by_piece:
+            return [x + self.end for x in self._whole(texts)]
+        latin = [t.isascii() or _is_latin(t) for t in texts]
+        latin = [ok and "<|" not in t for ok, t in zip(latin, texts)]
+        split = [PIECES.findall(t.lower()) if ok else t.replace("\n", " ").split(" ") for ok, t in zip(latin, texts)]
+        self._learn(self.pieces.missing(set().union(*(s for ok, s in zip(latin, split) if ok))))
+        new = self.words.missing(set().union(*(s for ok, s in zip(latin, split) if not ok)))
+        self.words.update(zip(new, self._whole(new)))
+        of_piece, of_word = self.pieces.__getitem__, self.words.__getitem__
+        return [b"".join(map(of_piece if ok else of_word, s)) + self.end for ok, s in zip(latin, split)]
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _encoder: Encoder | None = None

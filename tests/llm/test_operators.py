@@ -97,6 +97,18 @@ def test_token_files(spark, docs):
     assert token_files.digests(docs.limit(0)).count() == 0
 
 
+def test_encoder_is_the_tokenizer():
+    rng = random.Random(3)
+    e = token_files.Encoder(token_files.TOKENIZER, None)
+    assert e.by_piece
+    odd = ["it's don't WE'LL 'tis 'Re x\xb2y a\x85b\xa0c \x1c\x1d _a_b \xc0\xc9\xdf\xf7\xd7 \xaa \xba \xb5", "\u0130stanbul \ufb01 e\u0301 <|endoftext|> a", "a" * 3000 + "  \n\t!!'s's", "''s ''ll 'lll '", "\0\x01 \x7f \x9f \xad", ""]
+    odd += ["".join(chr(rng.choice([rng.randrange(256), rng.randrange(32, 127), 39, 115])) for _ in range(150)) for _ in range(150)]
+    odd += ["".join(chr(rng.choice([rng.randrange(0x3000), rng.randrange(32, 127)])) for _ in range(80)) for _ in range(60)]
+    for _ in range(2):  # learned, then remembered
+        for text, got in zip(odd, e(odd)):
+            assert np.frombuffer(got, e.type).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_code_is_length_limited():
     counts = np.array([2**min(k, 50) for k in range(40)] + [0])
     lengths = token_files.code_lengths(counts)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import written
-from ._text import _powers, code_points, groups, mix
+from ._text import _powers, code_points, groups, mix, tidy
 
 WINDOW = 8
 RUN = 13
@@ -186,7 +186,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if len(found[0]):
                     yield _rows(row, found)
 
-    mine = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("row"), "text").mapInArrow(cut, ROW)
+    mine = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("row"), "text").mapInArrow(tidy(cut), ROW)
     met = mine.withColumnRenamed("at", "place").withColumnRenamed("slots", "values").join(items, ["reading", "size", "hash"])
     met = met.withColumn("shift", F.col("place") - F.col("at"))
     key = ["row", "item", "reading", "size", "shift"]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import balanced, checksum_rest
-from ._text import code_points, groups, slices
+from ._text import code_points, groups, slices, tidy
 
 WINDOW = 1000
 #: Labelled texts of each language to fit on, and one window of each; a bound that doesn't depend on the table.
@@ -179,7 +179,7 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str] = ("doc_id",
 
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(score, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
+    return rows.mapInArrow(tidy(score), f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
 def languages(docs: DataFrame) -> DataFrame:

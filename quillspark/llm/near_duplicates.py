@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._graph import stars
 from ._io import written
-from ._text import Words, mix, slices
+from ._text import Words, mix, slices, tidy
 
 SKETCH = 18
 MOST_MATCHES = 4
@@ -67,7 +67,7 @@ def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": at.astype(np.int32), "n": total[at]})
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(tidy(count), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH, np.int64)
     sketch[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return sketch
@@ -111,7 +111,7 @@ def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows["n"], pa.int64()), pa.array(rows["s1"], pa.int64()), pa.array(rows["s2"], pa.int64()), pa.array(rows["ell"], pa.int32()), pa.array(rows["hot_from"], pa.int32()), tokens], names=["doc_id", "n", "s1", "s2", "ell", "hot_from", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return written(rows.mapInArrow(summarise, "doc_id bigint, n bigint, s1 bigint, s2 bigint, ell int, hot_from int, tokens array<bigint>"), "summaries")
+    return written(rows.mapInArrow(tidy(summarise), "doc_id bigint, n bigint, s1 bigint, s2 bigint, ell int, hot_from int, tokens array<bigint>"), "summaries")
 
 
 def _postings(summaries: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +188,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
                 keep.append(bool(shared) and 100 * shared >= percent * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["a", "b"]).filter(pa.array(keep))
 
-    return full.select("x", "y", "tx", "ty").mapInArrow(compare, "a bigint, b bigint")
+    return full.select("x", "y", "tx", "ty").mapInArrow(tidy(compare), "a bigint, b bigint")
 
 
 def _pairs_across(rows: DataFrame) -> float:

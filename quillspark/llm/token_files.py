@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._io import new_folder, written
+from ._text import tidy
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 16
@@ -137,7 +138,7 @@ def encoded(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
             for at in range(0, len(texts), 256):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 256), pa.array(code(texts[at : at + 256]), pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(encode), "doc_id bigint, ids binary")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -225,8 +226,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int |
     """
     spark = docs.sparkSession
     ids = written(encoded(docs, tokenizer, end_id), "ids")
-    kind = Encoder(tokenizer, end_id).type
-    vocabulary = Encoder(tokenizer, end_id).tokenizer.get_vocab_size() + 1
+    own = Encoder(tokenizer, end_id)
+    kind, vocabulary = own.type, own.tokenizer.get_vocab_size() + 1
 
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
@@ -235,7 +236,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int |
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": at.astype(np.int32), "n": total[at]})
 
-    rows = ids.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = ids.select("ids").mapInArrow(tidy(count), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocabulary, np.int64)
     counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
     lengths = code_lengths(counts)
@@ -269,7 +270,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int |
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(tidy(blocks), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -296,7 +297,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends - counts + row["at"] + before.value[row["shard"]]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(counts), pa.array([raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return rows.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return rows.mapInArrow(tidy(decode), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def digests(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | None = 1) -> DataFrame:

@@ -1,21 +1,19 @@
 """Language-model scores of a probabilistic suffix tree.
 
-A text is its words (runs without white space, A-Z lower-cased), each spelt out and followed by a space, the last by the end symbol. A
-context is the string of up to DEPTH symbols before a symbol. Counts of all contexts come from all training texts. A context is a state if
-its next-symbol counts diverge from those of the context without its oldest symbol: the log likelihood that it gains exceeds
-PENALTY * ln(symbols) for each distinct next symbol. Substrings of states are states too, so that the tree is an automaton, whose state is
-always the longest one that the text ends with. Distributions are smoothed with those of the parent, down to the uniform one. At most STATES contexts
-of the largest gain are kept, which bounds the model; scoring runs the automaton over many stretches of the texts at once, each begun
-DEPTH symbols early.
-
-Beside it stands a unigram score of words. The counts of the most frequent words (HEAVY of them, a fixed bound) go to every task; the other
-words of a text meet their counts in a join on the word's hash.
+A text is its words (runs without white space, A-Z lower-cased), each spelt out and followed by a space, the last by the end symbol. The
+most frequent letters have a symbol each; the others are spelt with a lead and tails, as in UTF-8, so every letter has a probability of its
+own. A context is the string of up to DEPTH symbols before a symbol. Counts of all contexts come from all training texts. A context is a
+state if its next-symbol counts diverge from those of the context without its oldest symbol: the log likelihood that it gains exceeds
+PENALTY * ln(symbols) for each distinct next symbol. Substrings of states are states too. Distributions are smoothed with those of the
+parent, down to the uniform one. All states are kept: they are tables of Spark, and a symbol's score, which depends on it and the DEPTH
+symbols before it only (a gram), is worked out level by level in joins.
+
+The scores of the most frequent grams (at most HEAVY_GRAMS, a fixed bound) go to every task; the other grams of a text meet theirs in a
+join. Beside it stands a unigram score of words, whose counts reach the texts in the same way (HEAVY words go to every task).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,18 +22,20 @@ from pyspark.sql import functions as F
 
 from ._io import written
 from ._sample import checksum_rest
-from ._text import Words, slices
+from ._text import Words, slices, tidy
 
 DEPTH = 5
-STATES = 24_000
 PENALTY = 0.5
 #: Weight of the parent's distribution, in counts.
 SMOOTH = 2.0
 HEAVY = 1 << 18
-_BITS = 7
-_START, _END, _SPACE, _OTHER, _FIRST = 0, 1, 2, 3, 4
-_STRETCH = 512
+HEAVY_GRAMS = 1 << 19
+_BITS = 8
+_START, _END, _SPACE, _LEAD, _TAIL, _FIRST = 0, 1, 2, 3, 56, 120
 _LETTERS = (1 << _BITS) - _FIRST
+_SLOT_BITS = 20
+#: Characters handled together: workers share an executor's memory with its joins.
+_CHUNK = 1 << 17
 
 
 def _spelled(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +59,29 @@ def _spelled(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], counts
 
 
-def _symbols(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return np.where(codes < 1 << 16, table[np.minimum(codes, (1 << 16) - 1)], _OTHER).astype(np.int64)
+def _symbols(codes: np.ndarray, counts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the code points, and how many there are of each text. A letter without a symbol is a lead and one to three tails of 6 bits."""
+    symbols = np.where(codes < 1 << 16, table[np.minimum(codes, (1 << 16) - 1)], 0).astype(np.uint64)
+    other = np.flatnonzero(symbols == 0)
+    if not len(other):
+        return symbols, counts
+    c = codes[other].astype(np.int64)
+    tails = 1 + (c >= 0x800) + (c >= 0x10000)
+    size = np.ones(len(codes), np.int64)
+    size[other] += tails
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint64)
+    out[at] = symbols
+    out[at[other]] = _LEAD + np.select([c < 0x800, c < 0x10000], [c >> 6, 32 + (c >> 12)], 48 + (c >> 18))
+    for k in (1, 2, 3):
+        has = tails >= k
+        out[at[other[has]] + k] = _TAIL + (c[has] >> 6 * (tails[has] - k) & 63)
+    return out, np.add.reduceat(size, np.cumsum(counts) - counts)
 
 
 def _table(letters: list[int]) -> np.ndarray:
-    table = np.full(1 << 16, _OTHER, np.uint8)
+    """Symbol of each code point below 2**16, 0 if it has none."""
+    table = np.zeros(1 << 16, np.uint8)
     table[letters] = np.arange(_FIRST, _FIRST + len(letters))
     table[_END], table[_SPACE] = _END, _SPACE
     return table
@@ -77,7 +94,7 @@ def _grams(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
     packed = symbols.astype(np.uint64)
     for k in range(1, DEPTH + 1):
         before = np.zeros(n, np.uint64)
-        before[k:] = symbols[:-k] if k else symbols
+        before[k:] = symbols[:-k]
         before[place < k] = _START
         packed |= before << np.uint64(_BITS * k)
     return packed
@@ -115,7 +132,7 @@ def _words_and_letters(batches):
     words, letters, texts = _Counter(), np.zeros(1 << 16, np.int64), 0
     for batch in batches:
         texts += batch.num_rows
-        for _, found in slices(batch):
+        for _, found in slices(batch, _CHUNK):
             w = Words(found)
             words.add(w.hash)
             codes, _ = _spelled(w)
@@ -126,87 +143,68 @@ def _words_and_letters(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, 1, np.int32)), pa.array(np.append(at, -1)), pa.array(np.append(letters[at], texts))], names=["kind", "key", "n"])
 
 
-@dataclass
-class Model:
-    table: np.ndarray  # symbol of each code point below 2**16
-    step: np.ndarray  # state x symbol: next state
-    log10: np.ndarray  # state x symbol
-    begin: int
-
-
-def grow(grams: DataFrame, letters: list[int]) -> Model:
-    """The tree of counted grams (key, n)."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    mask = (1 << _BITS) - 1
-    levels = F.expr(f"explode(transform(sequence(0, {DEPTH}), d -> struct(d, shiftright(key, {_BITS}) & (shiftleft(1L, {_BITS} * d) - 1) AS context)))")
-    rows = grams.select(F.expr(f"cast(key & {mask} AS int)").alias("symbol"), "n", levels.alias("x")).select("x.d", "x.context", "symbol", "n")
-    counts = written(rows.groupBy("d", "context", "symbol").agg(F.sum("n").alias("n")), "contexts")
+def _states(counts: DataFrame, total: int) -> DataFrame:
+    """d, context, of (its count): the contexts that diverge from their parents, and their substrings. counts: d, context, symbol, n."""
     sums = counts.groupBy("d", "context").agg(F.sum("n").alias("of"), F.count("*").alias("kinds"))
     up = F.expr(f"context & (shiftleft(1L, {_BITS} * (d - 1)) - 1)")
     child = counts.where("d > 0").join(sums, ["d", "context"]).select("d", "context", "symbol", "n", "of", "kinds", (F.col("d") - 1).alias("pd"), up.alias("parent"))
     parent = counts.join(sums, ["d", "context"]).select(F.col("d").alias("pd"), F.col("context").alias("parent"), "symbol", (F.col("n") / F.col("of")).alias("q"))
     gain = child.join(parent, ["pd", "parent", "symbol"]).groupBy("d", "context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("q"))).alias("gain"), F.first("kinds").alias("kinds"))
-    kept = gain.where(F.col("gain") > F.col("kinds") * PENALTY * float(np.log(total + 1))).orderBy(F.desc("gain"), "d", "context").limit(STATES)
-    strings = {(int(d), int(c)) for d, c in kept.select("d", "context").collect()} | {(0, 0)}
-    strings |= {(k, (c >> _BITS * low) & ((1 << _BITS * k) - 1)) for d, c in strings for k in range(d + 1) for low in range(d - k + 1)}
-    spark = grams.sparkSession
-    states = sorted(strings)
-    wanted = spark.createDataFrame(states, "d int, context bigint")
-    found = counts.join(F.broadcast(wanted), ["d", "context"]).toArrow()
-
-    keys = np.array([d << 56 | c for d, c in states], np.int64)
-    depth = np.array([d for d, _ in states])
-    context = np.array([c for _, c in states], np.int64)
-    width = _FIRST + len(letters)
-    n = np.zeros((len(states), width))
-    place = np.searchsorted(keys, found.column("d").to_numpy().astype(np.int64) << 56 | found.column("context").to_numpy())
-    n[place, found.column("symbol").to_numpy()] = found.column("n").to_numpy()
-    p = np.zeros_like(n)
-    p[0] = n[0] + 0.5
-    p[0, _START] = 0
-    p[0] /= p[0].sum()
-    for i in range(1, len(states)):
-        d = int(depth[i])
-        above = int(np.searchsorted(keys, (d - 1) << 56 | (int(context[i]) & ((1 << _BITS * (d - 1)) - 1))))
-        p[i] = (n[i] + SMOOTH * p[above]) / (n[i].sum() + SMOOTH)
-    with np.errstate(divide="ignore"):
-        logs = np.log10(p)
-    logs[:, _OTHER] -= np.log10(0x110000)
-    step = np.zeros((len(states), width), np.int32)
-    symbol = np.arange(width)
-    unset = np.ones(step.shape, bool)
-    for d in range(DEPTH, 0, -1):
-        want = d << 56 | ((context[:, None] << _BITS | symbol) & ((1 << _BITS * d) - 1))
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        hit = unset & (keys[at] == want) & (d <= depth[:, None] + 1)
-        step[hit] = at[hit]
-        unset &= ~hit
-    begin = max(i for i in range(len(states)) if context[i] == 0)
-    step[:, _END] = begin
-    return Model(_table(letters), step, logs.astype(np.float32), begin)
-
-
-def score(model: Model, w: Words) -> np.ndarray:
-    """log10 probability of each text."""
-    codes, counts = _spelled(w)
-    symbols = _symbols(codes, model.table)
-    n, width = len(symbols), model.step.shape[1]
-    lanes = -(-n // _STRETCH)
-    padded = np.full(DEPTH + lanes * _STRETCH, _END)
-    padded[DEPTH : DEPTH + n] = symbols
-    side = np.lib.stride_tricks.as_strided(padded, (DEPTH + _STRETCH, lanes), (padded.itemsize, padded.itemsize * _STRETCH))
-    step, logs = model.step.reshape(-1), model.log10.reshape(-1)
-    state = np.full(lanes, model.begin, np.int64)
-    # What precedes the first lane are ends; the others begin in the middle of what is there.
-    state[1:] = 0
-    out = np.empty((_STRETCH, lanes), np.float32)
-    for t in range(DEPTH + _STRETCH):
-        at = state * width + side[t]
-        if t >= DEPTH:
-            out[t - DEPTH] = logs[at]
-        state = step[at].astype(np.int64)
-    flat = out.T.reshape(-1)[:n].astype(np.float64)
-    return np.add.reduceat(flat, np.cumsum(counts) - counts) if n else np.zeros(0)
+    kept = gain.where(F.col("gain") > F.col("kinds") * PENALTY * float(np.log(total + 1)))
+    parts = F.expr(f"explode(flatten(transform(sequence(1, d), k -> transform(sequence(0, d - k), low -> struct(k AS d, shiftright(context, {_BITS} * low) & (shiftleft(1L, {_BITS} * k) - 1) AS context)))))")
+    return kept.select(parts.alias("x")).select("x.d", "x.context").distinct().join(sums.select("d", "context", "of"), ["d", "context"])
+
+
+def gram_scores(grams: DataFrame, letters: int) -> DataFrame:
+    """key, n, log10 (of the last symbol's probability after the others) of the grams (key, n: count in training, which may be 0)."""
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    levels = F.expr(f"explode(transform(sequence(0, {DEPTH}), d -> struct(d, key & (shiftleft(1L, {_BITS} * (d + 1)) - 1) AS key)))")
+    counts = written(grams.select(levels.alias("x"), "n").groupBy("x.d", "x.key").agg(F.sum("n").alias("n")), "contexts")
+    context, symbol = F.shiftright("key", _BITS), F.col("key").bitwiseAND((1 << _BITS) - 1)
+    states = written(_states(counts.where("n > 0").select("d", context.alias("context"), symbol.alias("symbol"), "n"), total), "states")
+    symbols = _FIRST - _END + letters
+    p = counts.where("d = 0").select("key", "n", ((F.col("n") + 0.5) / (total + 0.5 * symbols)).alias("p"))
+    for d in range(1, DEPTH + 1):
+        above = p.select(F.col("key").alias("up"), "p")
+        here = counts.where(F.col("d") == d).select("key", "n", context.alias("context"), F.col("key").bitwiseAND((1 << _BITS * d) - 1).alias("up"))
+        met = here.join(above, "up").join(states.where(F.col("d") == d).select("context", "of"), "context", "left")
+        p = met.select("key", "n", F.when(F.col("of").isNull(), F.col("p")).otherwise((F.col("n") + SMOOTH * F.col("p")) / (F.col("of") + SMOOTH)).alias("p"))
+    return written(p.select("key", "n", F.log10("p").alias("log10")), "scores")
+
+
+def _frequent(scored: DataFrame) -> DataFrame:
+    """The grams of the largest counts, at most HEAVY_GRAMS."""
+    level = F.floor(16 * F.log2(F.col("n") + F.lit(1.0))).cast("int")
+    least, sofar = 1 << 30, 0
+    for r in sorted(scored.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        sofar += r["count"]
+        if sofar > HEAVY_GRAMS:
+            break
+        least = r["level"]
+    return scored.where(level >= least)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _slotted(frequent: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(key, score) of each slot; of grams of the same slot the most frequent, the others are left to the join."""
+    keys, values = np.full(1 << _SLOT_BITS, ~np.uint64(0)), np.zeros(1 << _SLOT_BITS)
+    order = np.argsort(frequent.column("n").to_numpy(), kind="stable")
+    own = frequent.column("key").to_numpy().view(np.uint64)[order]
+    keys[_slots(own)] = own
+    placed = keys[_slots(own)] == own
+    values[_slots(own[placed])] = frequent.column("log10").to_numpy()[order][placed]
+    return keys, values
+
+
+def _counted(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, owner, times) of the distinct pairs."""
+    pair = np.lexsort((keys, owner))
+    keys, owner = keys[pair], owner[pair]
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], owner[first], np.diff(np.append(first, len(keys)))
 
 
 def scores(docs: DataFrame, divisor: int = 7, held_out: int = 2) -> DataFrame:
@@ -218,7 +216,7 @@ def scores(docs: DataFrame, divisor: int = 7, held_out: int = 2) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(checksum_rest(divisor) == held_out, F.lit(True)))
     train = rows.where(~F.col("held_out")).select("text")
-    gathered = written(train.mapInArrow(_words_and_letters, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
+    gathered = written(train.mapInArrow(tidy(_words_and_letters), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
     letters = gathered.where("kind = 1 and key >= 0").orderBy(F.desc("n"), "key").limit(_LETTERS).collect()
     letters = sorted(int(r["key"]) for r in letters)
     told = gathered.agg(F.sum(F.expr("if(kind = 0, n, 0)")), F.sum(F.expr("if(kind = 0, 1, 0)")), F.sum(F.expr("if(kind = 1 and key < 0, n, 0)"))).first()
@@ -231,23 +229,28 @@ def scores(docs: DataFrame, divisor: int = 7, held_out: int = 2) -> DataFrame:
     table = _table(letters)
 
     def gather(batches):
-        counter = _Counter()
+        learned, others = _Counter(), _Counter()
         for batch in batches:
-            for _, found in slices(batch):
-                codes, counts = _spelled(Words(found))
-                counter.add(_grams(_symbols(codes, table), counts))
-        yield from counter.batches()
-
-    grams = train.mapInArrow(gather, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    model = grow(written(grams, "grams"), letters)
-    sent = spark.sparkContext.broadcast((model, heavy_keys.view(np.uint64)[order], heavy_counts[order]))
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("part", pa.float64()), ("score", pa.float64())])
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            for lo, found in slices(batch, _CHUNK):
+                symbols, counts = _symbols(*_spelled(Words(found)), table)
+                keys, apart = _grams(symbols, counts), np.repeat(held[lo : lo + len(found)], counts)
+                learned.add(keys[~apart])
+                others.add(keys[apart])
+        yield from learned.batches()
+        for made in others.batches():
+            yield pa.RecordBatch.from_arrays([made.column("key"), pa.array(np.zeros(made.num_rows, np.int64))], names=["key", "n"])
+
+    grams = written(rows.select("held_out", "text").mapInArrow(tidy(gather), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    scored = gram_scores(grams, len(letters))
+    sent = spark.sparkContext.broadcast((_slotted(_frequent(scored).toArrow()), heavy_keys.view(np.uint64)[order], heavy_counts[order]))
+    schema = pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("part", pa.float64()), ("score", pa.float64())])
 
     def apply(batches):
-        model, keys, counts = sent.value
+        (slot_keys, slot_scores), keys, counts = sent.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo, found in slices(batch):
+            for lo, found in slices(batch, _CHUNK):
                 w = Words(found)
                 n = len(found)
                 text = np.repeat(np.arange(n), np.diff(w.first))
@@ -256,22 +259,26 @@ def scores(docs: DataFrame, divisor: int = 7, held_out: int = 2) -> DataFrame:
                 c = np.where(hit, counts[at], 0) if len(keys) else np.zeros(len(w.hash), np.int64)
                 part = np.bincount(text, weights=np.log10(c + 1.0), minlength=n) + np.log10(texts + 1.0)
                 known = np.bincount(text[hit], minlength=n) + (texts > 0)
+                symbols, of = _symbols(*_spelled(w), table)
+                gram = _grams(symbols, of)
+                slot = _slots(gram)
+                there = slot_keys[slot] == gram
+                score = np.add.reduceat(np.where(there, slot_scores[slot], 0.0), np.cumsum(of) - of) if n else np.zeros(0)
                 rows = row + np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows), pa.array(np.zeros(n, np.int64)), batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(np.diff(w.first) + 1), pa.array(known), pa.array(part), pa.array(score(model, w))], schema=schema)
-                rest, owner = w.hash[~hit], text[~hit]
-                pair = np.lexsort((rest, owner))
-                rest, owner = rest[pair], owner[pair]
-                first = np.flatnonzero(np.concatenate(([True], (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1])))) if len(rest) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(rest)))
-                none = [pa.nulls(len(first), f.type) for f in list(schema)[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[owner[first]]), pa.array(rest[first].view(np.int64)), pa.array(times), *none], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(n, -1, np.int32)), pa.array(rows), pa.array(np.zeros(n, np.int64)), batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(np.diff(w.first) + 1), pa.array(known), pa.array(part), pa.array(score)], schema=schema)
+                rare = np.flatnonzero(~there)
+                for kind, (rest, owner, times) in enumerate((_counted(w.hash[~hit], text[~hit]), _counted(gram[rare], np.searchsorted(np.cumsum(of), rare, "right")))):
+                    none = [pa.nulls(len(rest), f.type) for f in list(schema)[4:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner]), pa.array(np.full(len(rest), kind, np.int32)), pa.array(rest.view(np.int64)), pa.array(times), *none], schema=schema)
                 row += n
 
-    made = rows.select("doc_id", "held_out", "text").mapInArrow(apply, "row bigint, key bigint, times bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, part double, score double")
-    rare = words.withColumnRenamed("n", "c")
-    met = made.join(rare, "key", "left").groupBy("row").agg(
+    made = rows.select("doc_id", "held_out", "text").mapInArrow(tidy(apply), "row bigint, kind int, key bigint, times bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, part double, score double")
+    rare = words.select(F.lit(0).alias("kind"), "key", F.col("n").cast("double").alias("c")).unionByName(scored.select(F.lit(1).alias("kind"), "key", F.col("log10").alias("c")))
+    word, times = F.col("kind") == 0, F.col("times")
+    met = made.join(rare, ["kind", "key"], "left").groupBy("row").agg(
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "known", "part", "score")),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rest"))
+        F.sum(F.when(word & F.col("c").isNotNull(), times).otherwise(0)).alias("more"), F.sum(F.when(word, times * F.log10(F.coalesce("c", F.lit(0.0)) + F.lit(1.0))).otherwise(0.0)).alias("rest"),
+        F.sum(F.when(F.col("kind") == 1, times * F.col("c")).otherwise(0.0)).alias("grams"))
     return met.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("part") + F.col("rest") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))).alias("base_score"), "score")
+        (F.col("part") + F.col("rest") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))).alias("base_score"), (F.col("score") + F.col("grams")).alias("score"))

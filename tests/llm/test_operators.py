@@ -136,6 +136,51 @@ def test_suffix_tree(spark, docs):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (k[0], k[1], n) and abs(r["base_score"] - k[2]) < 1e-6 * abs(k[2]) and r["score"] < 0
 
 
+def test_suffix_tree_keeps_all_states_and_letters(spark):
+    """Against dictionaries: more contexts earn a place than 24,000, and there are more letters than symbols."""
+    rng = random.Random(4)
+    words = ["".join(chr(0x4E00 + rng.randrange(300)) for _ in range(6)) for _ in range(4000)]
+    pool = words * 12
+    rng.shuffle(pool)
+    data = [(i, " ".join(pool[i * 200 : i * 200 + 200])) for i in range(len(pool) // 200)] + [(900, "a\U0001F600b"), (901, "a\U0001F601b"), (902, "")]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.scores(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    train = [t for i, t in data if zlib.crc32(str(i).encode()) % 7 != 2]
+    often = Counter(c for t in train for c in t if c != " ")
+    own = dict(zip(sorted(sorted(often, key=lambda c: (-often[c], c))[:136]), range(1000)))
+
+    def symbols(t):
+        out = []
+        for c in t:
+            u = c.encode() if ord(c) > 127 else bytes([0xC0 | ord(c) >> 6, 0x80 | ord(c) & 63])
+            out += [c] if c == " " or c in own else [("lead", u[0])] + [("tail", b) for b in u[1:]]
+        return ["^"] * 5 + out + ["$"]
+
+    n, of, kinds = Counter(), Counter(), Counter()
+    for t in train:
+        s = symbols(t)
+        for k in range(5, len(s)):
+            n.update((tuple(s[k - d : k]), s[k]) for d in range(6))
+    for (c, _), k in n.items():
+        of[c] += k
+        kinds[c] += 1
+    gain = Counter()
+    for (c, x), k in n.items():
+        if c:
+            gain[c] += k * math.log(k / of[c] / (n[c[1:], x] / of[c[1:]]))
+    states = {c for c in gain if gain[c] > kinds[c] * 0.5 * math.log(of[()] + 1)}
+    assert len(states) > 24_000
+    states = {c[a:b] for c in states for a in range(len(c)) for b in range(a + 1, len(c) + 1)}
+    for i, t in data[:40] + data[-3:]:
+        s, want = symbols(t), 0.0
+        for k in range(5, len(s)):
+            p = (n[(), s[k]] + 0.5) / (of[()] + 0.5 * (119 + len(own)))
+            for d in range(1, 6):
+                c = tuple(s[k - d : k])
+                p = (n[c, s[k]] + 2 * p) / (of[c] + 2) if c in states else p
+            want += math.log10(p)
+        assert abs(got[i] - want) < 1e-6 * abs(want), i
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     syllables = "th er in on an re at st nd".split()

@@ -112,27 +112,32 @@ def best_passages(scored: DataFrame, group: list[str], k: int, per_source: int)
     return placed.where((F.col("place") <= k) & ((F.col("score") > 0) | (F.col("place") == 1))).drop("_s")
 
 
-def budgeted_passages(scored: DataFrame, group: list[str], k: int, per_source: int, max_chars: int, candidates: int = 400) -> DataFrame:
-    """As best_passages, but passages that would pass max_chars are left out and don't count; walked in order.
+def budgeted_passages(scored: DataFrame, group: list[str], k: int, per_source: int, max_chars: int) -> DataFrame:
+    """As best_passages, but passages that would pass max_chars are left out and don't count; walked in order to the end.
 
-    A passage can only be taken if fewer than per_source of its source stand before it within the budget, so the walk needs the passages that
-    match, best first. candidates bounds the walk's memory; the walk has taken k or used the budget long before.
+    The walk carries lengths only, and only of passages that it can take. A passage is rejected if an earlier one of its source, no longer than
+    it, was rejected for its length, so per_source earlier ones of its source and length settle it. So do k * per_source earlier ones of
+    its length that this leaves: k sources or more have each had one taken or are full. Lengths above max_chars, which only the first of
+    all can have, are one class. This bounds the walk by max_chars, whatever the group's size.
     """
-    order = Window.partitionBy(*group).orderBy(F.desc("score"), "source_id", "idx")
-    ranked = scored.withColumn("_at", F.row_number().over(order)).where((F.col("_at") <= candidates) & ((F.col("score") > 0) | (F.col("_at") == 1)))
-    rows = F.array_sort(F.collect_list(F.struct("_at", "source_id", "idx", "text", "score")))
-    kind = "struct<_at:int,source_id:bigint,idx:int,text:string,score:double>"
+    best = [F.desc("score"), "source_id", "idx"]
+    lengths = scored.select(*group, "source_id", "idx", "score", F.length("text").alias("_len")).withColumn("_class", F.least("_len", F.lit(max_chars + 1)))
+    own = lengths.withColumn("_s", F.row_number().over(Window.partitionBy(*group, "_class", "source_id").orderBy(*best))).where(F.col("_s") <= per_source)
+    able = own.withColumn("_c", F.row_number().over(Window.partitionBy(*group, "_class").orderBy(*best))).where(F.col("_c") <= k * per_source)
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score").cast("double")).alias("worse"), F.col("source_id").cast("long").alias("source_id"), F.col("idx").cast("long").alias("idx"), F.col("_len").alias("len"))))
+    kind = "struct<worse:double,source_id:bigint,idx:bigint,len:int>"
     state = F.struct(F.array().cast(f"array<{kind}>").alias("taken"), F.lit(0).cast("long").alias("chars"))
 
     def step(a: Column, x: Column) -> Column:
         of_source = F.size(F.filter(a["taken"], lambda t: t["source_id"] == x["source_id"]))
-        fits = (F.size(a["taken"]) == 0) | (a["chars"] + F.length(x["text"]) <= max_chars)
-        take = (F.size(a["taken"]) < k) & (of_source < per_source) & fits & ((x["score"] > 0) | (F.size(a["taken"]) == 0))
-        return F.when(take, F.struct(F.concat(a["taken"], F.array(x)).alias("taken"), (a["chars"] + F.length(x["text"])).alias("chars"))).otherwise(a)
-
-    typed = ranked.withColumns({"_at": F.col("_at").cast("int"), "source_id": F.col("source_id").cast("long"), "idx": F.col("idx").cast("int"), "score": F.col("score").cast("double")})
-    folded = typed.groupBy(*group).agg(rows.alias("_rows")).select(*group, F.explode(F.aggregate("_rows", state, step)["taken"]).alias("p"))
-    return folded.select(*group, "p.source_id", "p.idx", "p.text", "p.score")
+        fits = (F.size(a["taken"]) == 0) | (a["chars"] + x["len"] <= max_chars)
+        take = (F.size(a["taken"]) < k) & (of_source < per_source) & fits & ((x["worse"] < 0) | (F.size(a["taken"]) == 0))
+        return F.when(take, F.struct(F.concat(a["taken"], F.array(x)).alias("taken"), (a["chars"] + x["len"]).alias("chars"))).otherwise(a)
+
+    taken = able.groupBy(*group).agg(rows.alias("_rows")).select(*group, F.explode(F.aggregate("_rows", state, step)["taken"]).alias("p")).select(*group, "p.source_id", "p.idx")
+    typed = scored.select(*group, F.col("source_id").cast("long").alias("source_id"), F.col("idx").cast("long").alias("idx"), "text", F.col("score").cast("double").alias("score"))
+    # At most k rows of each group; only their texts are read.
+    return typed.join(taken, [*group, "source_id", "idx"]).select(*group, "source_id", F.col("idx").cast("int").alias("idx"), "text", "score")
 
 
 def extractive(passages: DataFrame, group: list[str], n: int = 4) -> DataFrame:

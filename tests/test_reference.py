@@ -73,6 +73,25 @@ def test_budget(spark):
     assert [len(r["text"]) for r in ranking.budgeted_passages(df, ["g"], 3, 2, 100).collect()] == [50, 30, 10]
 
 
+def test_budget_walks_to_the_end(spark):
+    """Against the sequential walk: one source fills the first 400 places, and what still fits stands far behind."""
+    rng = random.Random(6)
+    data = [(1, 1, i, "x" * 40, 9.0) for i in range(450)] + [(1, 2, 0, "x" * 50, 2.0), (1, 3, 0, "x" * 20, 1.0)]
+    data += [(2, s, i, "x" * rng.randint(20, 140), rng.choice([0.0, rng.random()])) for s in range(90) for i in range(12)] + [(3, 1, 1, "x" * 500, 0.0), (3, 1, 0, "x" * 500, 0.0)]
+    df = spark.createDataFrame(data, "g int, source_id bigint, idx int, text string, score double")
+    for k, per_source, most in ((5, 2, 150), (40, 3, 1000), (3, 1, 20), (12, 2, 90)):
+        want = set()
+        for g in (1, 2, 3):
+            chosen = []
+            for p in sorted((p for p in data if p[0] == g), key=lambda p: (-p[4], p[1], p[2])):
+                if len(chosen) == k or (p[4] <= 0 and chosen):
+                    break
+                if sum(c[1] == p[1] for c in chosen) < per_source and (not chosen or sum(len(c[3]) for c in chosen) + len(p[3]) <= most):
+                    chosen.append(p)
+            want |= {p[:3] for p in chosen}
+        assert {tuple(r) for r in ranking.budgeted_passages(df, ["g"], k, per_source, most).select("g", "source_id", "idx").collect()} == want
+
+
 def test_sentences_and_support(spark):
     df = spark.createDataFrame([("A b. C d [S1]! Dr. X 3.5 m[S2]. tail",)], "t string")
     assert df.select(citations.sentences(F.col("t"))).first()[0] == ["A b.", " C d [S1]!", " Dr.", " X 3.5 m[S2].", " tail"]

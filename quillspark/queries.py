@@ -458,8 +458,14 @@ def c06_lines(spark, d):
 
 @query()
 def c07_support_check(spark, d):
-    docs = briefing.document_sources(table(spark, d, "documents")).where("ord < 50")
-    texts = docs.select("topic_id", F.col("ord").cast("int").alias("text_ord"), F.concat(F.substring("text", 1, 200), F.lit(" [S"), F.pmod(F.col("ord") + 1, F.lit(50)).cast("string"), F.lit("].")).alias("text"))
+    """Every sentence of every document, each tagged with the document of the next doc_id (the smallest, where there is none)."""
+    docs = briefing.document_sources(table(spark, d, "documents"))
+    ids = docs.select("ord").distinct()
+    after = ids.select((F.col("ord") - 1).alias("ord"), F.col("ord").alias("cited"))
+    cites = ids.join(after, "ord", "left").crossJoin(F.broadcast(ids.agg(F.min("ord").alias("least")))).select("ord", F.coalesce("cited", "least").alias("cited"))  # least is one row
+    tag = F.concat(F.lit(" [S"), F.col("cited").cast("string"), F.lit("]"))
+    tagged = F.array_join(F.transform(F.split("text", "\n"), lambda line: F.array_join(F.transform(citations.sentences(line), lambda x: F.concat(x, tag)), "")), "\n")
+    texts = docs.join(cites, "ord").select("topic_id", F.col("ord").alias("text_ord"), tagged.alias("text"))
     return citations.support_check(texts, docs.select("topic_id", F.col("ord").alias("source_id"), "text"), ["topic_id"]).select("text_ord", "ord", "sentence", F.round("overlap", 6).alias("overlap"), "flagged")
 
 

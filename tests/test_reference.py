@@ -102,6 +102,44 @@ def test_sentences_and_support(spark):
     assert got[3]["missing"] == ["2,500"] and got[1]["overlap"] == 0
 
 
+def test_support_check_of_whole_documents(spark):
+    """c07_support_check against plain Python, over every document and all of its text."""
+    import re
+
+    from quillspark.config import STOPWORDS
+
+    def stem(t):
+        if len(t) > 3:
+            t = t[:-3] + "y" if t.endswith("ies") else t[:-2] if re.search("(sses|xes|zes|ches|shes)$", t) else t[:-1] if t.endswith("s") and not re.search("(ss|us|is)$", t) else t
+        for end in ("ingly", "edly", "ing", "ed"):
+            if t.endswith(end) and len(t) >= len(end) + 3:
+                t = t[: -len(end)]
+                break
+        t = t[:-1] if len(t) > 3 and t.endswith("e") else t
+        return t[:-1] if len(t) > 3 and t[-1] == t[-2] and t[-1] not in "lsz" else t
+
+    def words(x, stop):
+        found = [re.sub("^[-']+|[-']+$", "", w.lower()) for w in re.findall(r"[A-Za-z0-9][A-Za-z0-9'\-]*", x)]
+        return [stem(w) for w in found if len(w) >= 2 and (stop or w not in STOPWORDS)]
+
+    docs = {r["doc_id"]: r["text"].replace("\n", "\n\n") for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()}
+    want = {}
+    for i, text in docs.items():
+        other = docs[i + 1 if i + 1 in docs else min(docs)]
+        bag, body = set(words(other, True)), other.replace(",", "")
+        cut = [x for line in text.split("\n") for x in re.findall(r"[^\n]+?[.!?]+(?=\s|\Z|\[)(?:\s*\[S\d+\])*|[^\n]+(?=\n|\Z)", line)]
+        for x in cut:
+            content = [w for w in words(x, False) if len(w) >= 4 and w not in STOPWORDS]
+            if len(content) >= 5:
+                overlap = sum(w in bag for w in content) / len(content)
+                numbers = [n for n in re.findall(r"(?<![A-Za-z0-9_.])\d[\d,]*(?:\.\d+)?(?![A-Za-z0-9_])", x) if len(re.sub("[,.]", "", n)) >= 2]
+                want.setdefault(i, []).append((x.strip(), round(overlap, 6), overlap < 0.35 or any(n.replace(",", "") not in body for n in numbers)))
+    got = {}
+    for r in q.QUERIES["c07_support_check"](spark, SF).orderBy("text_ord", "ord").collect():
+        got.setdefault(r["text_ord"], []).append((r["sentence"].strip(), round(r["overlap"], 6), r["flagged"]))
+    assert max(got) >= 50 and got == want
+
+
 def test_payloads(spark):
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/1</id><title>T  x</title><summary>S</summary><published>2024-02-03T00:00:00Z</published><author><name>A</name></author><author><name>B</name></author></entry></feed>'
     r = payloads.arxiv(spark.createDataFrame([(1, atom)], "topic_id int, body string"), 5).first()

@@ -2,7 +2,7 @@
 
 Every page is parsed to a tree. Each container element gets a hash of its whole subtree (tags and text); Spark counts, per host, on how many
 different pages each hash occurs, pages of the same whole text counting once. Subtrees on at least MIN_PAGES pages and MIN_SHARE of the
-host's pages are the site's template and are deleted, wherever they stand outside the article; inside it only containers that hold less than
+host's pages, or on MANY_PAGES pages of however large a host, are the site's template and are deleted, wherever they stand outside the article; inside it only containers that hold less than
 MOST_OF_ROOT of its text are, never single paragraphs, headings or list items, which articles may share. What HTML itself marks as no
 article (scripts, navigation, forms ...) goes as well, by tag, role, or words of class and id.
 """
@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import html
 import re
-from urllib.parse import urlsplit
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._io import written
+
 MIN_PAGES = 5
 MIN_SHARE = 0.1
+MANY_PAGES = 50
 MOST_OF_ROOT = 0.25
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -211,13 +212,6 @@ def blocks(node: Node) -> list[str]:
     return found
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
-
-
 def extract(page: str, template: frozenset[int] = frozenset()) -> str:
     root = parse(page)
     prune(root)
@@ -250,21 +244,19 @@ def subtrees(page: str) -> tuple[int, list[int]]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, hashes: the template subtrees of each host. A host has at most 1 / MIN_SHARE times the elements of its mean page."""
+    """host, doc, hashes: the template subtrees that each page has, so no list is longer than its page. pages: host, doc, html."""
 
     def count(batches):
         for batch in batches:
-            rows = [(host_of(u), *subtrees(h or "")) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
-            hosts = [r[0] for r in rows for _ in range(len(r[2]) + 1)]
-            whole = np.array([r[1] for r in rows for _ in range(len(r[2]) + 1)], np.int64)
-            hashes = [x for r in rows for x in (None, *r[2])]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(whole)], names=["host", "hash", "page"])
+            rows = [subtrees(h or "") for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("doc"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["host", "doc", "page", "hashes"])
 
-    rows = pages.select("url", "html").mapInArrow(count, "host string, hash bigint, page bigint").distinct()
-    counts = rows.groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    every = counts.where("hash is null").select("host", F.col("pages").alias("of"))
-    common = counts.where(F.col("hash").isNotNull() & (F.col("pages") >= MIN_PAGES)).join(every, "host").where(F.col("pages") >= MIN_SHARE * F.col("of"))
-    return common.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    rows = written(pages.select("host", "doc", "html").mapInArrow(count, "host string, doc bigint, page bigint, hashes array<bigint>"), "subtrees")
+    different = rows.groupBy("host", "page").agg(F.first("hashes").alias("hashes"))
+    every = different.groupBy("host").agg(F.count("*").alias("of"))
+    counts = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    common = counts.join(every, "host").where((F.col("pages") >= MIN_SHARE * F.col("of")) | (F.col("pages") >= MANY_PAGES)).select("host", "hash")
+    return rows.select("host", "doc", F.explode("hashes").alias("hash")).join(common, ["host", "hash"]).groupBy("host", "doc").agg(F.collect_set("hash").alias("hashes"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -274,8 +266,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     one page of their host. An empty table gives no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
-    found = templates(pages)
-    joined = pages.select("page_id", "url", "html", F.regexp_replace(host, r"[\[\]]", "").alias("host")).join(found, "host", "left")
+    named = pages.select("page_id", "url", "html", F.regexp_replace(host, r"[\[\]]", "").alias("host"), F.xxhash64("html").alias("doc"))
+    joined = named.join(templates(named), ["host", "doc"], "left")
 
     def read(batches):
         for batch in batches:

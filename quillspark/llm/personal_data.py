@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import written
@@ -48,6 +48,8 @@ FOR = {
 AGAINST = r"(?i)(?:token|version|isbn|issn|order|invoice|serial|sku|v|build|=|#|\$)\W*$"
 VOTES = ("regex", "gazetteer", "context", "edges", "shape")
 FEATURES = ("marks", "digits", "context", "edges", "gazetteer")
+#: Values of a feature that the classifier knows of each kind; the others count together.
+MOST_VALUES = 500
 ACCEPT = 0.9
 ROUNDS = 40
 BEFORE = 30
@@ -136,6 +138,14 @@ def _reliabilities(patterns: dict[tuple[int, ...], int]) -> dict[tuple[int, ...]
     return p
 
 
+def _feature_counts(learned: DataFrame, feature: str) -> list:
+    """kind, value, yes, no of a feature: the MOST_VALUES commonest values of each kind, and a row of null value that counts its others."""
+    counted = learned.groupBy("kind", F.col(feature).cast("string").alias("value")).agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(F.col("yes") + F.col("no")), "value"))
+    named = counted.withColumn("place", place).withColumn("value", F.when(F.col("place") <= MOST_VALUES, F.col("value")))
+    return named.groupBy("kind", "value").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()
+
+
 def _accepted(spans: DataFrame) -> tuple[Column, Column]:
     """(probability by votes, log odds of the classifier) of the span s, as expressions over tables that the driver has estimated."""
     spark = spans.sparkSession
@@ -146,16 +156,15 @@ def _accepted(spans: DataFrame) -> tuple[Column, Column]:
         found = _reliabilities({tuple(r[v] for v in VOTES): r["count"] for r in counted if r["kind"] == kind})
         posterior |= {(kind, *v): p for v, p in found.items()}
     sent = spark.createDataFrame([(*k, p) for k, p in posterior.items()] or [(0, 0, 0, 0, 0, 0, 0.0)], ", ".join(f"{c} int" for c in ("kind", *VOTES)) + ", p double")
-    # Marks are at most four characters of punctuation: the classifier knows the 500 commonest.
     learned = every.join(F.broadcast(sent), ["kind", *VOTES])
     tables = {}
     for f in FEATURES:
-        rows = learned.groupBy("kind", F.col(f).cast("string").alias("value")).agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).orderBy(F.desc(F.col("yes") + F.col("no"))).limit(500).collect()
+        rows = _feature_counts(learned, f)
         totals = {}
         for r in rows:
             a, b, c = totals.get(r["kind"], (0.0, 0.0, 1))
             totals[r["kind"]] = (a + r["yes"], b + r["no"], c + 1)
-        tables[f] = {f"{r['kind']}:{r['value']}": math.log((r["yes"] + 1) / (totals[r["kind"]][0] + totals[r["kind"]][2])) - math.log((r["no"] + 1) / (totals[r["kind"]][1] + totals[r["kind"]][2])) for r in rows}
+        tables[f] = {str(r["kind"]) if r["value"] is None else f"{r['kind']}:{r['value']}": math.log((r["yes"] + 1) / (totals[r["kind"]][0] + totals[r["kind"]][2])) - math.log((r["no"] + 1) / (totals[r["kind"]][1] + totals[r["kind"]][2])) for r in rows}
         prior = {str(k): math.log((a + 1) / (b + 1)) for k, (a, b, _) in totals.items()}
 
     def known(table: dict[str, float]) -> Column:
@@ -167,7 +176,7 @@ def _accepted(spans: DataFrame) -> tuple[Column, Column]:
         return F.coalesce(votes[F.concat_ws(":", s["kind"], *(s[v] for v in VOTES))], F.lit(0.0))
 
     def odds(s: Column) -> Column:
-        parts = [F.coalesce(known(tables[f])[F.concat_ws(":", s["kind"], s[f].cast("string"))], F.lit(0.0)) for f in FEATURES]
+        parts = [F.coalesce(known(tables[f])[F.concat_ws(":", s["kind"], s[f].cast("string"))], known(tables[f])[s["kind"].cast("string")], F.lit(0.0)) for f in FEATURES]
         return sum(parts, F.coalesce(known(prior)[s["kind"].cast("string")], F.lit(0.0)))
 
     return by_votes, odds

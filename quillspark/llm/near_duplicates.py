@@ -228,7 +228,8 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     copies = summaries.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     nodes = summaries.select("doc_id", "n", "s1", "s2").join(copies, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    repeated = nodes.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+    least = nodes.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    repeated = nodes.join(least, "doc_id").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
     final = stars(links.unionByName(second).unionByName(repeated)).select(F.col("a").alias("rep"), F.col("b").alias("class"))
     out = nodes.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "rep").alias("component_id"))
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
@@ -236,6 +237,11 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class; rows of null doc_id stay."""
-    gone = classes(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of docs for each class, that of its smallest doc_id (of rows that repeat it, that of the least text); rows of null doc_id stay."""
+    found = written(classes(docs, size, percent), "classes")
+    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # Only rows that repeat a doc_id are shuffled.
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rest = F.to_json(F.struct(*docs.columns))
+    first = kept.join(repeated, "doc_id", "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", rest))).where("_at = 1")
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))

@@ -112,9 +112,11 @@ def best_passages(scored: DataFrame, group: list[str], k: int, per_source: int)
     return placed.where((F.col("place") <= k) & ((F.col("score") > 0) | (F.col("place") == 1))).drop("_s")
 
 
-def budgeted_passages(scored: DataFrame, group: list[str], k: int, per_source: int, max_chars: int) -> DataFrame:
+def budgeted_passages(scored: DataFrame, group: list[str], k: int, per_source: int, max_chars: int, texts: DataFrame | None = None) -> DataFrame:
     """As best_passages, but passages that would pass max_chars are left out and don't count; walked in order to the end.
 
+    texts (group, source_id, idx, text) are read for the passages taken, by default from scored, which is then computed twice.
+
     The walk carries lengths only, and only of passages that it can take. A passage is rejected if an earlier one of its source, no longer than
     it, was rejected for its length, so per_source earlier ones of its source and length settle it. So do k * per_source earlier ones of
     its length that this leaves: k sources or more have each had one taken or are full. Lengths above max_chars, which only the first of
@@ -134,8 +136,8 @@ def budgeted_passages(scored: DataFrame, group: list[str], k: int, per_source: i
         take = (F.size(a["taken"]) < k) & (of_source < per_source) & fits & ((x["worse"] < 0) | (F.size(a["taken"]) == 0))
         return F.when(take, F.struct(F.concat(a["taken"], F.array(x)).alias("taken"), (a["chars"] + x["len"]).alias("chars"))).otherwise(a)
 
-    taken = able.groupBy(*group).agg(rows.alias("_rows")).select(*group, F.explode(F.aggregate("_rows", state, step)["taken"]).alias("p")).select(*group, "p.source_id", "p.idx")
-    typed = scored.select(*group, F.col("source_id").cast("long").alias("source_id"), F.col("idx").cast("long").alias("idx"), "text", F.col("score").cast("double").alias("score"))
+    taken = able.groupBy(*group).agg(rows.alias("_rows")).select(*group, F.explode(F.aggregate("_rows", state, step)["taken"]).alias("p")).select(*group, "p.source_id", "p.idx", (-F.col("p.worse")).alias("score"))
+    typed = (scored if texts is None else texts).select(*group, F.col("source_id").cast("long").alias("source_id"), F.col("idx").cast("long").alias("idx"), "text")
     # At most k rows of each group; only their texts are read.
     return typed.join(taken, [*group, "source_id", "idx"]).select(*group, "source_id", F.col("idx").cast("int").alias("idx"), "text", "score")
 

@@ -54,7 +54,7 @@ def retrieve(sources: DataFrame, topics: DataFrame, sections: DataFrame, profile
     keys = [*TOPIC, "section", "source_id", "idx"]
     hits = bm25(pooled, queries, keys, [*TOPIC, "section"], [])
     scored = pooled.select(*keys, "text").join(hits, keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return budgeted_passages(scored, [*TOPIC, "section"], profile.passages, PER_SOURCE, max_chars)
+    return budgeted_passages(scored, [*TOPIC, "section"], profile.passages, PER_SOURCE, max_chars, pooled)
 
 
 def evidence(chosen: DataFrame, sources: DataFrame) -> DataFrame:

@@ -363,8 +363,9 @@ def r06_per_source_cap(spark, d):
 @query()
 def r06_budgeted(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    rows = _bm25(spark, d).join(docs, "doc_id").select(F.lit(1).alias("g"), (F.col("doc_id") % 20).alias("source_id"), F.col("doc_id").alias("idx"), "text", F.round("score", 6).alias("score"))
-    return ranking.budgeted_passages(rows, ["g"], 12, 2, 12_000).select("source_id", "idx", "score")
+    named = [F.lit(1).alias("g"), (F.col("doc_id") % 20).alias("source_id"), F.col("doc_id").alias("idx"), "text"]
+    rows = _bm25(spark, d).join(docs, "doc_id").select(*named, F.round("score", 6).alias("score"))
+    return ranking.budgeted_passages(rows, ["g"], 12, 2, 12_000, docs.select(*named)).select("source_id", "idx", "score")
 
 
 VIDEOS = [(1, "license talk", "mit license", 600, 999999, "TED", "https://v/1"), (2, "license", "", 60, 5, "a", "https://v/2"), (3, "apache", "apache", 7000, 0, "b", "https://v/shorts/3"), (4, "released mit", "", 0, 100, "ted", "https://v/4"), (5, "none", "none", 400, 1, "c", "https://v/5")]

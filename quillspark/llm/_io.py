@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new local one only where the setting is unset."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a single process makes one of its own, and a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -37,8 +41,13 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, computed once: written as Parquet to the shared folder and read back."""
-    path = new_folder(df.sparkSession, what)
+def written(df: DataFrame, what: str, used: Iterable[DataFrame] = ()) -> DataFrame:
+    """df, computed once: written as Parquet to the shared folder and read back. Then the folders of used, written before, are deleted."""
+    spark = df.sparkSession
+    path = new_folder(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in used:
+        _delete(spark, old._shared_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out

@@ -1,170 +1,213 @@
 """Language identification with a string kernel.
 
 A text is cut into windows of WINDOW characters. Two windows have the blended-spectrum presence kernel: the number of n-grams (n = 1 to 3,
-of lower-cased symbols, all that is no letter being one symbol) that both hold, divided by the root of the product of how many each holds.
-The n-grams are those of the landmarks. Nyström landmarks (windows of labelled texts) map a window to K(window, landmarks) K_mm^(-1/2);
-kernel ridge regression against +1 and -1, one language versus the rest, is solved in that space. Scoring is a product of the presence
-matrix of a batch of windows with that of the landmarks, and a product of the kernels with the weights; a text's decision is the mean over
-all its windows, each counting with its letters.
+of lower-cased letters, all that is no letter being one symbol) that both hold, divided by the root of the product of how many different
+ones each holds. N-grams are told apart by 22 bits of a hash. A text's kernel with a landmark is the mean over all its windows, each counting
+with its letters. Nyström landmarks (windows of labelled texts) map a text to K(text, landmarks) K_mm^(-1/2); kernel ridge regression against
++1 and -1, one language versus the rest, is solved in that space. Scoring is a product of the presence matrix of a batch of windows with that of
+the landmarks, and a product of the kernels with the weights.
+
+No n-gram reaches from one text into another, and sums are of multiples of a power of two that fit a double's mantissa, so a text's result is
+the same to the last bit whatever texts stand beside it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._io import written
 from ._sample import balanced, checksum_rest
 from ._text import code_points, groups, slices, tidy
 
 WINDOW = 1000
-#: Labelled texts of each language to fit on, and one window of each; a bound that doesn't depend on the table.
+#: Labelled texts of each language to fit on, all their windows, and how many of the commonest languages are learned. Bounds of the sample only.
 FIT_ROWS = 400
+LANGUAGES = 256
+#: Landmarks of all languages together.
 LANDMARKS = 160
 RIDGE = 1e-3
 SHARPNESS = 6.0
-_SYMBOLS = 128
+#: Windows of one matrix product.
+BATCH = 128
 UNKNOWN = "und"
-
-
-@dataclass
-class Model:
-    languages: list[str]
-    symbols: np.ndarray  # of each code point below 2**16 (others are symbol 1): 0 no letter, 1 another letter, then letters of the fit
-    column: np.ndarray  # of each n-gram code: its column, or -1
-    landmarks: np.ndarray  # presence, columns x landmarks
-    size: np.ndarray  # root of the n-grams each landmark holds
-    weights: np.ndarray  # landmarks x languages
-    letters: np.ndarray  # whether a code point below 2**16 is a letter
-
-
-def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(1 << 16)])
-
-
-def _symbol_table(letters: np.ndarray, texts: list[str]) -> np.ndarray:
-    codes = np.concatenate([code_points([t.lower() for t in texts])[0], np.zeros(0, np.uint32)])
-    seen = np.bincount(codes[codes < 1 << 16], minlength=1 << 16) * letters
-    common = np.argsort(-seen, kind="stable")[: _SYMBOLS - 2]
-    table = np.where(letters, 1, 0).astype(np.uint8)
-    common = common[seen[common] > 0]
-    table[common] = np.arange(2, 2 + len(common))
-    for c in common.tolist():  # capitals share the symbol
-        if len(upper := chr(c).upper()) == 1 and ord(upper) < 1 << 16:
-            table[ord(upper)] = table[c]
+_BITS = 22
+_KERNEL_BITS, _MEAN_BITS = 20, 18
+
+
+@cache
+def _symbols() -> np.ndarray:
+    """Of each code point: a letter's lower case (itself, where that is no single letter), and 0 for what is no letter."""
+    table = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
+        if (x := chr(c)).isalpha():
+            low = x.lower()
+            table[c] = ord(low) if len(low) == 1 else c
     return table
 
 
 def _grams(symbols: np.ndarray) -> list[np.ndarray]:
-    """Codes of the 1-, 2- and 3-grams that begin at each place (fewer at the end); runs of no-letters give one code too, of 0s."""
-    one = symbols.astype(np.int32)
-    two = one[:-1] * _SYMBOLS + one[1:]
-    three = two[:-1] * _SYMBOLS + one[2:]
-    return [one, two + _SYMBOLS, three + _SYMBOLS + _SYMBOLS**2]
-
-
-_CODES = _SYMBOLS + _SYMBOLS**2 + _SYMBOLS**3
-
-
-def _look_up(model_symbols: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return np.where(codes < 1 << 16, model_symbols[np.minimum(codes, (1 << 16) - 1)], 1).astype(np.uint8)
+    """Codes of _BITS bits of the 1-, 2- and 3-grams that begin at each place but the last two."""
+    a, b, c = symbols[:-2], symbols[1:-1], symbols[2:]
+    one = a * np.uint32(0x9E3779B1)
+    two = one + b * np.uint32(0x85EBCA77)
+    three = two + c * np.uint32(0xC2B2AE3D)
+    out = []
+    for n, x in enumerate((one, two, three)):
+        x = x + np.uint32(0x27D4EB2F * (n + 1) & 0xFFFFFFFF)
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        out.append(((x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)) >> np.uint32(32 - _BITS))
+    return out
+
+
+def _windows(texts: list[str]):
+    """Of some texts at a time: (first text, texts, window's text, letters in it, [(first window, windows, keys)]); a key is a window's place << _BITS | n-gram."""
+    for lo, hi in groups([len(t) for t in texts]):
+        codes, start = code_points(texts[lo:hi])
+        symbols = np.append(_symbols()[codes], np.zeros(2, np.uint32))
+        lengths = np.diff(start)
+        left = np.repeat(start[1:] - 1, lengths) - np.arange(len(codes))  # places to the text's end, which is an edge like any other
+        windows = (lengths + WINDOW - 1) // WINDOW
+        first = np.cumsum(windows) - windows
+        of = np.repeat(first, lengths) + (np.arange(len(codes)) - np.repeat(start[:-1], lengths)) // WINDOW
+        n = int(windows.sum())
+        letters = np.bincount(of, weights=symbols[:-2] > 0, minlength=n)
 
+        def batches():
+            at = np.searchsorted(of, np.arange(0, n + BATCH, BATCH))
+            for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                if a < b:
+                    window = (of[a:b] - BATCH * k).astype(np.uint32) << np.uint32(_BITS)
+                    keys = np.sort(np.concatenate([(window | g)[left[a:b] >= i] for i, g in enumerate(_grams(symbols[a : b + 2]))]))
+                    yield BATCH * k, min(BATCH, n - BATCH * k), keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
 
-def _presence(symbols: np.ndarray, window: np.ndarray, n: int, column: np.ndarray, width: int) -> np.ndarray:
-    found = np.zeros((n, width + 1), np.float32)
-    for codes in _grams(symbols):
-        found[window[: len(codes)], column[codes]] = 1
-    return found[:, :width]
+        yield lo, hi - lo, np.repeat(np.arange(hi - lo), windows), letters, batches()
 
 
-def fit(texts: list[str], languages: list[str]) -> Model | None:
-    """From labelled windows; None if there are none with a letter."""
-    kept = [(t, l) for t, l in zip(texts, languages) if any(map(str.isalpha, t))]
-    if not kept:
-        return None
-    texts, languages = map(list, zip(*kept))
+@dataclass
+class Model:
+    grams: np.ndarray  # codes of the landmarks' n-grams
+    landmarks: np.ndarray  # presence, grams x landmarks
+    size: np.ndarray  # root of the n-grams that each landmark holds
+    languages: list[str] = field(default_factory=list)
+    weights: np.ndarray | None = None  # landmarks x languages, multiples of 2 ** -bits
+    bias: np.ndarray | None = None
+    bits: int = 0
+
+    def column(self) -> np.ndarray:
+        """Of each n-gram code its row in landmarks, or the number of rows."""
+        if not hasattr(self, "_column"):
+            self._column = np.full(1 << _BITS, len(self.grams), np.int32)
+            self._column[self.grams] = np.arange(len(self.grams))
+        return self._column
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_column"}
+
+
+def landmarks(texts: list[str]) -> Model:
+    """A model without weights, of windows."""
+    held, sizes = [], []
+    for text in texts:
+        for *_, batches in _windows([text[: WINDOW - 1]]):  # one window with its edge
+            for _, _, keys in batches:
+                held.append(keys)
+                sizes.append(len(keys))
+    grams = np.unique(np.concatenate([*held, np.zeros(0, np.uint32)]))
+    table = np.zeros((len(grams), len(held)), np.float32)
+    for i, keys in enumerate(held):
+        table[np.searchsorted(grams, keys), i] = 1
+    return Model(grams, table, np.sqrt(np.maximum(sizes, 1)))
+
+
+def kernels(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x landmarks, letters of each text); rows of texts without a letter are 0."""
+    out, count = np.zeros((len(texts), len(model.size))), np.zeros(len(texts))
+    column, width = model.column(), len(model.grams)
+    for lo, n, text, letters, batches in _windows(texts):
+        total = np.zeros((n, len(model.size)))
+        for first, some, keys in batches:
+            window, place = keys >> np.uint32(_BITS), column[keys & np.uint32((1 << _BITS) - 1)]
+            own = np.bincount(window, minlength=some)
+            held = np.zeros((some, width + 1), np.float32)
+            held[window, place] = 1
+            # Whole numbers up to this point, so the product is exact.
+            each = (held[:, :width] @ model.landmarks).astype(np.float64) / np.sqrt(np.maximum(own, 1))[:, None] / model.size
+            at = np.s_[first : first + some]
+            np.add.at(total, text[at], np.rint(each * (1 << _KERNEL_BITS)) * letters[at, None])
+        sums = np.bincount(text, weights=letters, minlength=n)
+        out[lo : lo + n], count[lo : lo + n] = total / np.maximum(sums, 1)[:, None] / (1 << _KERNEL_BITS), sums
+    return out, count
+
+
+def solve(model: Model, rows: np.ndarray, languages: list[str]) -> Model:
+    """The model with weights, from the kernels of labelled texts: ridge regression in the Nyström space, each language of the same weight."""
     names = sorted(set(languages))
-    letters = _letters()
-    table = _symbol_table(letters, texts)
-    each = max(1, LANDMARKS // len(names))
-    marks = [i for name in names for i in [i for i, l in enumerate(languages) if l == name][:each]]
-
-    def codes_of(some):
-        symbols = [_look_up(table, np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)) for t in some]
-        window = np.repeat(np.arange(len(some)), [len(s) for s in symbols])
-        return np.concatenate(symbols), window
-
-    symbols, window = codes_of([texts[i] for i in marks])
-    column = np.full(_CODES, -1, np.int32)
-    used = np.unique(np.concatenate(_grams(symbols)))
-    column[used] = np.arange(len(used))
-
-    def kernel(some, landmarks=None, size=None):
-        symbols, window = codes_of(some)
-        held = _presence(symbols, window, len(some), column, len(used))
-        own = np.sqrt(np.maximum(held.sum(1), 1))
-        return (held, own) if landmarks is None else held @ landmarks / own[:, None] / size
-
-    held, size = kernel([texts[i] for i in marks])
-    landmarks = np.ascontiguousarray(held.T)
-    k_mm = (held @ landmarks / size[:, None] / size).astype(np.float64)
+    k_mm = (model.landmarks.T @ model.landmarks).astype(np.float64) / model.size[:, None] / model.size
     values, vectors = np.linalg.eigh(k_mm)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    z = np.concatenate([kernel(texts[i : i + 256], landmarks, size) for i in range(0, len(texts), 256)]) @ root
-    z = np.column_stack((z, np.ones(len(z))))
+    z = np.column_stack((rows @ root, np.ones(len(rows))))
     target = np.where(np.array(languages)[:, None] == np.array(names), 1.0, -1.0)
-    share = 1 / np.array([languages.count(l) for l in languages])
+    share = 1 / np.array([languages.count(x) for x in languages])
     w = np.linalg.solve(z.T @ (z * share[:, None]) + RIDGE * np.eye(z.shape[1]), z.T @ (target * share[:, None]))
-    weights = np.vstack((root @ w[:-1], w[-1:]))
-    return Model(names, table, column, landmarks, size.astype(np.float32), weights.astype(np.float32), letters)
+    weights = root @ w[:-1]
+    bits = int(52 - _MEAN_BITS - np.ceil(np.log2(max(1.0, abs(weights).sum(0).max()))))
+    return Model(model.grams, model.landmarks, model.size, names, np.rint(weights * 2.0**bits), w[-1], bits)
 
 
 def decide(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and score (0 to 1, the share that the best language has in the softmax of the decisions) of whole texts."""
-    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    for lo, hi in groups([len(t) for t in texts]):
-        codes, start = code_points(texts[lo:hi])
-        symbols = _look_up(model.symbols, codes)
-        letter = symbols > 0
-        lengths = np.diff(start)
-        windows = (lengths + WINDOW - 1) // WINDOW
-        first = np.cumsum(windows) - windows
-        of = np.repeat(first - start[:-1] // WINDOW * 0, lengths) + (np.arange(len(codes)) - np.repeat(start[:-1], lengths)) // WINDOW
-        n = int(windows.sum())
-        weight = np.bincount(of, weights=letter, minlength=n)
-        decision = np.zeros((n, len(model.languages)), np.float32)
-        width = model.landmarks.shape[0]
-        at = np.searchsorted(of, np.arange(0, n + 256, 256))
-        for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
-            if a < b:
-                held = _presence(symbols[a:b], of[a:b] - 256 * k, min(256, n - 256 * k), model.column, width)
-                kernel = held @ model.landmarks
-                kernel /= np.sqrt(np.maximum(held.sum(1), 1))[:, None]
-                kernel /= model.size
-                decision[256 * k : 256 * k + len(held)] = kernel @ model.weights[:-1] + model.weights[-1]
-        text = np.repeat(np.arange(hi - lo), windows)
-        total = np.bincount(text, weights=weight, minlength=hi - lo)
-        mean = np.stack([np.bincount(text, weights=weight * decision[:, c], minlength=hi - lo) for c in range(len(model.languages))], 1) / np.maximum(total, 1)[:, None]
-        share = np.exp(SHARPNESS * (mean - mean.max(1, keepdims=True)))
-        share /= share.sum(1, keepdims=True)
-        for i in np.flatnonzero(total):
-            names[lo + i] = model.languages[int(share[i].argmax())]
-        scores[lo:hi] = np.where(total > 0, share.max(1), 0.0)
-    return names, scores
+    rows, letters = kernels(model, texts)
+    decision = (np.rint(rows * (1 << _MEAN_BITS)) @ model.weights) * 2.0 ** (-model.bits - _MEAN_BITS) + model.bias
+    best = decision.argmax(1)
+    rest = np.zeros(len(texts))
+    for c in range(decision.shape[1]):
+        rest += np.exp(SHARPNESS * (decision[:, c] - decision[np.arange(len(texts)), best]))
+    return [model.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters)], np.where(letters > 0, 1 / np.maximum(rest, 1), 0.0)
+
+
+def _embedded(rows: DataFrame, model: Model) -> tuple[list[str], np.ndarray]:
+    """Languages and kernels of the texts (lang, text) that have a letter, in an order of their own."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def embed(batches):
+        for batch in batches:
+            for at, texts in slices(batch):
+                found, letters = kernels(sent.value, texts)
+                keep = np.flatnonzero(letters)
+                flat = pa.array(found[keep].ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * found.shape[1]), flat)
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(at, len(texts)).take(pa.array(keep)), lists], names=["lang", "kernels"])
+
+    # FIT_ROWS rows of LANDMARKS numbers a language.
+    found = sorted(rows.select("lang", "text").mapInArrow(tidy(embed), "lang string, kernels array<double>").collect(), key=lambda r: (r["lang"], r["kernels"]))
+    return [r["lang"] for r in found], np.array([r["kernels"] for r in found]).reshape(len(found), len(model.size))
 
 
 def fitted(docs: DataFrame, divisor: int = 4, held_out: int = 2) -> Model | None:
-    """A model of docs (doc_id, text, lang): of each lang FIT_ROWS rows that aren't held out, and of each a window at a hashed place."""
+    """A model of docs (doc_id, text, lang): of each lang FIT_ROWS whole texts that aren't held out. None if none of them has a letter."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (checksum_rest(divisor) != held_out))
-    chosen = balanced(rows, "lang", FIT_ROWS).select("doc_id")
+    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    if not common:
+        return None
+    chosen = balanced(rows.where(F.col("lang").isin(common)), "lang", FIT_ROWS)
+    texts = written(rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]), "fit")
+    each = max(1, LANDMARKS // len(common))
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
-    windows = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", at, F.lit(WINDOW)).alias("text"))
-    found = sorted(windows.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    return fit([r["text"] for r in found], [r["lang"] for r in found])
+    marks = texts.where((F.col("place") <= 2 * each) & F.col("text").rlike(r"\p{L}")).select("lang", "place", "doc_id", F.substring("text", at, F.lit(WINDOW)).alias("text")).collect()
+    marks = sorted((r for r in marks if any(map(str.isalpha, r["text"]))), key=lambda r: (r["lang"], r["place"], r["doc_id"], r["text"]))
+    marks = [t for name in common for t in [r["text"] for r in marks if r["lang"] == name][:each]]
+    if not marks:
+        return None
+    model = landmarks(marks)
+    names, found = _embedded(texts, model)
+    return solve(model, found, names) if names else None
 
 
 def predicted(docs: DataFrame, model: Model | None, keep: list[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -193,6 +236,9 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """The rows of docs with a language of at least this score; rows without a letter go."""
+    """The rows of docs with a language of at least this score, with all their columns.
+
+    Rows without a letter go, so rows of null text do. Repeated rows share their fate. An empty table gives no rows.
+    """
     kept = predicted(docs, fitted(docs), docs.columns, ("_language", "_certainty"))
     return kept.where((F.col("_language") != UNKNOWN) & (F.col("_certainty") >= least)).select(docs.columns)

@@ -11,6 +11,10 @@ multiple-instance SVM: every word of a clean document's sentences is negative; o
 positive, through their witness (the telling words first, then in each turn what the last machine finds, at least one a document). A
 sentence's margin is that of its best word; margins of words already met are kept. A text's score is a logistic function, fitted on the
 labels, of the margins of all its sentences.
+
+No sentence or spelt word reaches from one text into another, and margins are sums of multiples of a power of two that fit a double's mantissa, so
+a text's score is the same to the last bit whatever texts stand beside it. Of the labelled texts only their distinct words and a few numbers
+a text reach the driver.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._io import written
 from ._sample import balanced, checksum_rest
-from ._text import Words, groups, slices
+from ._text import Words, groups, slices, tidy
 
-#: Labelled documents of each label to fit on, and the characters of each, from a hashed place on. Bounds that don't depend on the table.
+#: Labelled documents of each label to fit on, with their whole texts. A bound that doesn't depend on the table.
 FIT_ROWS = 1000
-FIT_CHARS = 20_000
 LANDMARKS = 64
 SPAN, DECAY, POWER = 4, 0.6, 3
 SENTENCE = 24
@@ -38,6 +42,7 @@ STRICT = 10.0
 BENT = 0.1
 #: Words whose margins a worker remembers.
 REMEMBERED = 1_200_000
+_KERNEL_BITS = 20
 _PATTERNS = [(m, s, DECAY ** (s - 2)) for s in range(2, SPAN + 1) for m in range(1, s)]
 # Letters that digits and marks stand for between letters.
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -84,11 +89,12 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     place: np.ndarray  # row in table of each code, or -1
     table: np.ndarray  # landmarks' weights of the codes that they hold
-    weights: np.ndarray  # of each landmark
+    weights: np.ndarray  # of each landmark, multiples of 2 ** -bits
+    bits: int
     bias: float
-    centre: np.ndarray
-    spread: np.ndarray
-    logistic: np.ndarray
+    centre: np.ndarray | None = None
+    spread: np.ndarray | None = None
+    logistic: np.ndarray | None = None
 
 
 def _landmark_table(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,11 +164,13 @@ class Sentences:
         self.spelled = self._spelled()
 
     def _spelled(self) -> list[tuple[int, str]]:
-        """(place, word) of each run of three or more single letters."""
+        """(place, word) of each run of three or more single letters of a text."""
         w = self._w
-        single = np.concatenate(([False], (w.end - w.start == 1) & ((w.codes[w.start] > 64) if len(w.start) else False), [False]))
-        edge = np.flatnonzero(single[1:] != single[:-1])
-        return [(int(a), "".join(map(chr, w.codes[w.start[a:b]]))) for a, b in zip(edge[::2], edge[1::2]) if b - a >= 3]
+        at = np.flatnonzero((w.end - w.start == 1) & (w.codes[w.start] > 64)) if len(w.start) else np.zeros(0, np.int64)
+        text = np.searchsorted(w.first, at, "right")
+        new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]))) if len(at) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        return [(int(at[a]), "".join(map(chr, w.codes[w.start[at[a:b]]]))) for a, b in zip(begin, [*begin[1:], len(at)]) if b - a >= 3]
 
     def word(self, i: int) -> str:
         return self._w.codes[self._w.start[i] : self._w.end[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
@@ -210,31 +218,31 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.n
     return w
 
 
-def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Model | None:
-    """From labelled texts; prior: share of label 1 among all labelled rows. None if a label is missing or there are no words."""
-    y = np.array(labels, int)
-    if not (0 < y.sum() < len(y)):
-        return None
-    words: dict[str, int] = {}
-    of_word, sentence, text = [], [], []
-    base = 0
+def vocabulary(texts: list[str]) -> list[list[str]]:
+    """Of each text its distinct words, as letters, in order."""
+    out: list[list[str]] = []
     for lo, hi in groups([len(t) for t in texts]):
         s = Sentences(texts[lo:hi])
-        known: dict[int, int] = {}
-        ids = np.empty(len(s.hash), np.int64)
         unique, first, inverse = np.unique(s.hash, return_index=True, return_inverse=True)
-        ids = np.array([words.setdefault(plain(s.word(i)), len(words)) for i in first], np.int64)[inverse] if len(first) else ids
-        extra = [(words.setdefault(plain(w), len(words)), s.sentence[i]) for i, w in s.spelled]
-        of_word.append(np.concatenate((ids, [e[0] for e in extra])).astype(np.int64))
-        sentence.append(np.concatenate((s.sentence, [e[1] for e in extra])).astype(np.int64) + base)
-        text.append(s.text_of_sentence + lo)
-        base += len(s.text_of_sentence)
-    of_word, sentence, text = map(np.concatenate, (of_word, sentence, text))
-    names = list(words)
-    if not len(names):
-        return None
+        letters = [plain(s.word(i)) for i in first]
+        edges = np.concatenate(([0], np.cumsum(s.words)))
+        found = [{letters[i] for i in set(inverse[a:b].tolist())} for a, b in zip(edges[:-1], edges[1:])]
+        for i, w in s.spelled:
+            found[int(np.searchsorted(edges, i, "right")) - 1].add(plain(w))
+        out += [sorted(x) for x in found]
+    return out
 
-    pairs = np.unique(text[sentence] * len(names) + of_word)
+
+def learn(held: list[list[str]], labels: list[int]) -> Model | None:
+    """The machine, from the distinct words of labelled texts. None if a label is missing or there are no words."""
+    y = np.array(labels, int)
+    if not (0 < y.sum() < len(y)):
+        return None
+    names = sorted(set().union(*held))
+    if not names:
+        return None
+    number = {w: i for i, w in enumerate(names)}
+    pairs = np.array([t * len(names) + number[w] for t, ws in enumerate(held) for w in ws], np.int64)
     word_of_pair, toxic = pairs % len(names), y[pairs // len(names)] == 1
     in_toxic, in_clean = np.bincount(word_of_pair[toxic], minlength=len(names)), np.bincount(word_of_pair[~toxic], minlength=len(names))
     odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_clean + 0.5) / ((1 - y).sum() + 1))
@@ -277,14 +285,16 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mode
         chosen = np.unique(word_of_pair[toxic & np.isfinite(able) & (able >= best[pairs // len(names)])])
         witness = (telling > 0) & (margin > 0)
         witness[chosen] = True
-    score = np.full(base, -np.inf)
-    np.maximum.at(score, sentence, margin[of_word])
-    x = _describe(score, text, np.bincount(text[sentence], minlength=len(y)))
-    centre, spread = x.mean(0), x.std(0) + 1e-6
-    x = np.column_stack(((x - centre) / spread, np.ones(len(y))))
-    prior = y.mean() if prior is None else prior
-    logistic = _newton(x, y, np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())), 0.5)
-    return Model(place, table, (root @ weights[:-1]).astype(np.float32), float(weights[-1]), centre, spread, logistic)
+    flat = root @ weights[:-1]
+    bits = int(52 - _KERNEL_BITS - np.ceil(np.log2(max(1.0, abs(flat).sum()))))
+    return Model(place, table, np.rint(flat * 2.0**bits), bits, float(weights[-1]))
+
+
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, prior: float) -> None:
+    """Fits the logistic function to the descriptions x of labelled texts; prior: share of label 1 among all labelled rows."""
+    model.centre, model.spread = x.mean(0), x.std(0) + 1e-6
+    z = np.column_stack(((x - model.centre) / model.spread, np.ones(len(y))))
+    model.logistic = _newton(z, y, np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())), 0.5)
 
 
 class Scorer:
@@ -296,11 +306,14 @@ class Scorer:
     def margins(self, words: list[str]) -> list[float]:
         letters = [plain(w) for w in words]
         new = list({w for w in letters if w not in self.spelt})
-        self.spelt.update(zip(new, (kernels(new, self.model.place, self.model.table) @ self.model.weights + self.model.bias).tolist()))
+        m = self.model
+        exact = np.rint(kernels(new, m.place, m.table).astype(np.float64) * (1 << _KERNEL_BITS)) @ m.weights
+        self.spelt.update(zip(new, (exact * 2.0 ** (-m.bits - _KERNEL_BITS) + m.bias).tolist()))
         return [self.spelt[w] for w in letters]
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        m, out = self.model, np.zeros(len(texts))
+    def describe(self, texts: list[str]) -> np.ndarray:
+        """What the logistic function sees of each text."""
+        out = np.zeros((len(texts), 5))
         for lo, hi in groups([len(t) for t in texts]):
             s = Sentences(texts[lo:hi])
             if len(self.known) + len(self.spelt) > REMEMBERED:
@@ -316,26 +329,52 @@ class Scorer:
                 margins = np.maximum.reduceat(each, begin)
             if s.spelled:
                 np.maximum.at(margins, s.sentence[[i for i, _ in s.spelled]], self.margins([w for _, w in s.spelled]))
-            x = (_describe(margins, s.text_of_sentence, s.words) - m.centre) / m.spread
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip(np.column_stack((x, np.ones(hi - lo))) @ m.logistic, -30, 30)))
+            out[lo:hi] = _describe(margins, s.text_of_sentence, s.words)
         return out
 
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        m = self.model
+        x = (self.describe(texts) - m.centre) / m.spread
+        total = np.full(len(texts), m.logistic[-1])
+        for k in range(x.shape[1]):
+            total += x[:, k] * m.logistic[k]
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
 
 _scorers: dict[str, Scorer] = {}  # of the model met last, kept from task to task
 
 
 def fitted(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0) -> Model | None:
-    """A model of docs (doc_id, text) and labels (doc_id, toxic), from FIT_ROWS of each label that aren't held out.
+    """A model of docs (doc_id, text) and labels (doc_id, toxic), from FIT_ROWS of each label that aren't held out, and all of their texts.
 
     Labels of null doc_id or toxic, or of a doc_id that isn't in docs, are ignored; of a doc_id with several labels each counts.
     """
     rows = labels.where(F.col("toxic").isin(0, 1) & (checksum_rest(divisor) != held_out)).select("doc_id", "toxic")
     shares = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    chosen = balanced(rows, "toxic", FIT_ROWS)
-    at = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.lit(1), F.length("text") - FIT_CHARS + 1)).cast("int") + 1
-    texts = docs.where("text is not null").select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.substring("text", at, F.lit(FIT_CHARS)).alias("text"))
-    found = sorted(texts.collect(), key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
-    return fit([r["text"] for r in found], [r["toxic"] for r in found], shares.get(1, 0) / max(1, sum(shares.values())))
+    chosen = balanced(rows, "toxic", FIT_ROWS).drop("place")
+    texts = written(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text"), "fit")  # 2 * FIT_ROWS ids
+
+    def words(batches):
+        for batch in batches:
+            for at, some in slices(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(at, len(some)), pa.array(vocabulary(some), pa.list_(pa.string()))], names=["toxic", "words"])
+
+    found = sorted(map(tuple, texts.select("toxic", "text").mapInArrow(tidy(words), "toxic int, words array<string>").collect()))
+    model = learn([w for _, w in found], [y for y, _ in found])
+    if model is None:
+        return None
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def describe(batches):
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            for at, some in slices(batch):
+                x = scorer.describe(some)
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(at, len(some)), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["toxic", *(f"x{k}" for k in range(x.shape[1]))])
+
+    told = np.array(sorted(map(tuple, texts.select("toxic", "text").mapInArrow(tidy(describe), "toxic int, " + ", ".join(f"x{k} double" for k in range(5))).collect())))
+    calibrate(model, told[:, 1:], told[:, 0].astype(int), shares.get(1, 0) / max(1, sum(shares.values())))
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -356,5 +395,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for at, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(found(texts) if found else np.zeros(len(texts)), pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id bigint, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(score), "doc_id bigint, score double")
     return out.select("doc_id", F.coalesce(checksum_rest(5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._io import new_folder, written
-from ._text import tidy
+from ._text import slices, tidy
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 16
@@ -134,22 +134,25 @@ def encoded(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     def encode(batches):
         code = encoder(path, end_id)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for at in range(0, len(texts), 256):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 256), pa.array(code(texts[at : at + 256]), pa.binary())], names=["doc_id", "ids"])
+            for at, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(code(texts), pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(encode), "doc_id bigint, ids binary")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Bits of each symbol in an optimal prefix code of at most limit bits (package-merge); 0 if it doesn't occur."""
+    """Bits of each symbol in an optimal prefix code of at most limit bits (package-merge); 0 if it doesn't occur.
+
+    2 ** limit symbols can have a code; more are an error.
+    """
     used = np.flatnonzero(counts)
     used = used[np.argsort(counts[used], kind="stable")]
     lengths = np.zeros(len(counts), np.int64)
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    limit = max(limit, int(np.ceil(np.log2(len(used)))) + 1)
+    if len(used) > 1 << limit:
+        raise ValueError(f"{len(used)} symbols need codes of more than {limit} bits")
     leaves = counts[used].astype(np.float64)
     merged, is_leaf = leaves, []
     for _ in range(limit):
@@ -239,7 +242,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int |
     rows = ids.select("ids").mapInArrow(tidy(count), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocabulary, np.int64)
     counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
-    lengths = code_lengths(counts)
+    # 2**LIMIT codes are enough for this vocabulary; a tokenizer of more ids gets the fewest bits that are.
+    lengths = code_lengths(counts, max(LIMIT, int(np.count_nonzero(counts) - 1).bit_length()))
     codes = canonical(lengths)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/code")

@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import stars
 from ._io import written
-from ._text import Words, mix, slices, tidy
+from ._text import Words, groups, mix, slices, tidy
 
 SKETCH = 18
 MOST_MATCHES = 4
@@ -35,10 +36,11 @@ SENT_IDS = 1_000_000
 VERIFY = 40.0
 #: Chance that a document that shares one prefix shingle by accident shares one more.
 AGAIN = 0.25
-#: A shingle that the sketch finds in more documents has its posting dealt to SALTS tasks in round one.
-SALT_ROWS = 20_000
-SALTS = 16
-HOT_LEVEL = int(np.ceil(np.log2(SALT_ROWS + 1)))
+#: A shingle that the sketch finds in 2**(HOT_LEVEL - 1) documents or more has its posting dealt to tasks in round one, of 2**SALT_LEVEL documents
+#: each, however many these are.
+HOT_LEVEL, SALT_LEVEL = 15, 11
+#: Characters of the texts that are compared at once.
+COMPARED = 1 << 21
 #: Round one is repeated with other anchors, at most TURNS times, while more pairs than this a document would be left for round two.
 PAIRS_A_DOCUMENT = 200
 TURNS = 6
@@ -46,14 +48,19 @@ TURNS = 6
 WORTH = 0.01
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
-    for _, texts in slices(batch):
-        words = Words(texts)
+def _sets_of(texts: list[str], size: int) -> Iterator[np.ndarray]:
+    for lo, hi in groups([len(t) for t in texts]):
+        words = Words(texts[lo:hi])
         rolled, count = words.shingles(size)
         for at, n in zip(words.first, count):
             yield np.unique(rolled[at : at + n])
 
 
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
+    for _, texts in slices(batch):
+        yield from _sets_of(texts, size)
+
+
 def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
     """The sketch: how many documents hold a shingle of each bucket."""
 
@@ -77,8 +84,8 @@ def _least_overlap(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def prefix(s: np.ndarray, sketch: np.ndarray, base: float, percent: int) -> tuple[int, int, np.ndarray]:
-    """The l that costs least, the place of the first hot shingle, and the shingles of the prefix, in the global order."""
+def prefix(s: np.ndarray, sketch: np.ndarray, base: float, percent: int, hot_level: int = HOT_LEVEL) -> tuple[int, np.ndarray, np.ndarray]:
+    """The l that costs least, the levels of the hot shingles (those at the end), and the shingles of the prefix, in the global order."""
     n = len(s)
     over = sketch[(s >> np.uint64(64 - SKETCH)).astype(np.int64)] - base
     seen = np.where(over > 6 * np.sqrt(base + 1), over, 0.0)
@@ -90,41 +97,41 @@ def prefix(s: np.ndarray, sketch: np.ndarray, base: float, percent: int) -> tupl
     cost = [reads[n - o + k - 1] * (1 + VERIFY * AGAIN ** (k - 1)) for k in range(1, most + 1)]
     ell = int(np.argmin(cost)) + 1 if reads[n - o] > n - o + 1 else 1
     chosen = order[: n - o + ell]
-    return ell, int(np.count_nonzero(level[chosen] < HOT_LEVEL)), s[chosen]
+    levels = level[chosen]
+    return ell, levels[levels >= hot_level].astype(np.int32), s[chosen]
 
 
-def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), s1 and s2 (128 bits of it), ell, tokens (its prefix)."""
+def _summaries(docs: DataFrame, size: int, percent: int, hot_level: int) -> DataFrame:
+    """doc_id, n (size of the set), s1 and s2 (128 bits of it), ell, tokens (its prefix), levels (of its last tokens, the hot ones)."""
     sketch = document_frequencies(docs, size)
     base = float(np.median(sketch))
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def summarise(batches):
         for batch in batches:
-            rows = {k: [] for k in ("n", "s1", "s2", "ell", "hot_from", "tokens")}
-            for s in _sets(batch, size):
-                ell, hot_from, tokens = prefix(s, sent.value, base, percent) if len(s) else (0, 0, s)
-                for k, v in zip(rows, (len(s), mix(s).sum(dtype=np.uint64).astype(np.int64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64), ell, hot_from, tokens.view(np.int64))):
-                    rows[k].append(v)
-            at = np.cumsum([0, *map(len, rows["tokens"])], dtype=np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*rows.pop("tokens"), np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows["n"], pa.int64()), pa.array(rows["s1"], pa.int64()), pa.array(rows["s2"], pa.int64()), pa.array(rows["ell"], pa.int32()), pa.array(rows["hot_from"], pa.int32()), tokens], names=["doc_id", "n", "s1", "s2", "ell", "hot_from", "tokens"])
+            for at, texts in slices(batch):
+                rows = {k: [] for k in ("n", "s1", "s2", "ell", "levels", "tokens")}
+                for s in _sets_of(texts, size):
+                    ell, levels, tokens = prefix(s, sent.value, base, percent, hot_level) if len(s) else (0, np.zeros(0, np.int32), s)
+                    for k, v in zip(rows, (len(s), mix(s).sum(dtype=np.uint64).astype(np.int64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64), ell, levels, tokens.view(np.int64))):
+                        rows[k].append(v)
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows[k])], dtype=np.int32)), pa.array(np.concatenate([*rows[k], np.zeros(0, t)]))) for k, t in (("levels", np.int32), ("tokens", np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *(pa.array(rows[k], pa.int64()) for k in ("n", "s1", "s2")), pa.array(rows["ell"], pa.int32()), *lists], names=["doc_id", "n", "s1", "s2", "ell", "levels", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return written(rows.mapInArrow(tidy(summarise), "doc_id bigint, n bigint, s1 bigint, s2 bigint, ell int, hot_from int, tokens array<bigint>"), "summaries")
+    return written(rows.mapInArrow(tidy(summarise), "doc_id bigint, n bigint, s1 bigint, s2 bigint, ell int, levels array<int>, tokens array<bigint>"), "summaries")
 
 
-def _postings(summaries: DataFrame, percent: int) -> DataFrame:
+def _postings(summaries: DataFrame, copies: DataFrame, percent: int, salt_level: int) -> DataFrame:
     """token, doc, n, ell, g (the least l whose prefix has the token), salt, spread (whether the token's posting is dealt to several salts)."""
-    sets = summaries.where("n > 0")
-    reps = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"))
-    one = sets.join(reps, ["doc_id", "n", "s1", "s2"], "left_semi")
-    each = one.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "ell", "hot_from", F.posexplode("tokens").alias("at", "token"))
+    one = summaries.where("n > 0").join(copies.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi").withColumn("from", F.size("tokens") - F.size("levels"))
+    each = one.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "ell", "levels", "from", F.posexplode("tokens").alias("at", "token"))
     o = F.expr(f"(n * {percent} + 99) div 100")
-    spread = F.col("at") >= F.col("hot_from")
+    spread = F.col("at") >= F.col("from")
+    salts = F.expr(f"shiftleft(1L, get(levels, at - from) - {salt_level})")
     return each.select(
         "token", "doc", "n", "ell", F.col("at").cast("int").alias("at"), F.greatest(F.lit(1), F.col("at") - F.col("n") + o + 1).cast("int").alias("g"),
-        F.when(spread, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), spread.alias("spread"))
+        F.when(spread, F.pmod(F.xxhash64("doc"), salts)).otherwise(0).cast("long").alias("salt"), spread.alias("spread"))
 
 
 def _starred(rows: DataFrame, turn: int) -> DataFrame:
@@ -168,27 +175,30 @@ def _may_reach(percent: int):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (x, y) of doc_ids, those whose whole sets link."""
+    """Of pairs (x, y) of doc_ids, those whose whole sets link, written as (a, b)."""
     pairs = written(pairs, "candidates")
     ids = written(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct(), "ids")
     # Up to SENT_IDS ids go to every task, so that only the texts that are compared are shuffled; more are joined by shuffle.
     few = ids.count() <= SENT_IDS
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "compared")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "compared", [ids])
     full = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
 
     def compare(batches):
         for batch in batches:
-            tx, ty = batch.column("tx").to_pylist(), batch.column("ty").to_pylist()
-            every = list(dict.fromkeys((*tx, *ty)))
-            known = dict(zip(every, _sets(pa.RecordBatch.from_arrays([pa.array(every, pa.string())], names=["text"]), size)))
-            keep = []
-            for a, b in zip(tx, ty):
-                a, b = known[a], known[b]
-                shared = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
-                keep.append(bool(shared) and 100 * shared >= percent * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["a", "b"]).filter(pa.array(keep))
-
-    return full.select("x", "y", "tx", "ty").mapInArrow(tidy(compare), "a bigint, b bigint")
+            lengths = [pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False) for k in ("tx", "ty")]
+            for lo, hi in groups((lengths[0] + lengths[1]).tolist(), COMPARED):
+                part = batch.slice(lo, hi - lo)
+                tx, ty = ([t or "" for t in part.column(k).to_pylist()] for k in ("tx", "ty"))
+                every = list(dict.fromkeys((*tx, *ty)))
+                known = dict(zip(every, _sets_of(every, size)))
+                keep = []
+                for a, b in zip(tx, ty):
+                    a, b = known[a], known[b]
+                    shared = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
+                    keep.append(bool(shared) and 100 * shared >= percent * (len(a) + len(b) - shared))
+                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y")], names=["a", "b"]).filter(pa.array(keep))
+
+    return written(full.select("x", "y", "tx", "ty").mapInArrow(tidy(compare), "a bigint, b bigint"), "linked", [pairs, texts])
 
 
 def _pairs_across(rows: DataFrame) -> float:
@@ -197,40 +207,43 @@ def _pairs_across(rows: DataFrame) -> float:
     return a_token.agg(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()[0] or 0.0
 
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def classes(docs: DataFrame, size: int = 5, percent: int = 80, hot_level: int = HOT_LEVEL, salt_level: int = SALT_LEVEL) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     docs: doc_id, text; other columns are ignored. A null or empty text has no shingles and links with nothing. Rows that repeat a doc_id
     are one node: each gets a row, and their links are united. A row of null doc_id gets a null component. An empty table gives no rows.
     """
-    summaries = _summaries(docs, size, percent)
-    every, of = _postings(summaries, percent), Window.partitionBy("token", "salt")
+    summaries = _summaries(docs, size, percent, hot_level)
+    # One row for each different set. Written, so that joins with it have no aggregate beside them and the runtime can divide a group of copies.
+    copies = written(summaries.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "copies")
+    every, of = _postings(summaries, copies, percent, salt_level), Window.partitionBy("token", "salt")
     shared = every.withColumn("together", F.count("*").over(of)).where("together > 1 or spread").drop("together")
     # kept: how many shingles of the document's prefix before this one others have too.
     shared = written(shared, "postings")
     rows = shared.withColumns({"kept": (F.row_number().over(Window.partitionBy("doc").orderBy("at")) - 1).cast("int"), "class": F.col("doc")})
-    links, turn, documents = None, 0, max(1, summaries.count())
+    links, turn, documents, old = None, 0, max(1, summaries.count()), shared
     while True:
-        pairs = written(_star_pairs(_starred(rows, turn), percent), "pairs")
-        found = written(verified(docs, pairs, size, percent), "found")
-        links = stars(found if links is None else links.unionByName(found))
+        found = verified(docs, _star_pairs(_starred(rows, turn), percent), size, percent)
+        new = found.count()
+        links = stars(found if links is None else links.unionByName(found), [found] if links is None else [found, links])
         known = links.select(F.col("a").alias("doc"), F.col("b").alias("class"))
         rows = rows.drop("class").join(known, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
         mixed = rows.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
-        rows = written(rows.join(mixed, "token", "left_semi"), "open")
-        turn += 1
-        if turn == TURNS or found.count() <= WORTH * documents or _pairs_across(rows) <= PAIRS_A_DOCUMENT * documents:
+        rows = written(rows.join(mixed, "token", "left_semi"), "open", [old])
+        turn, old = turn + 1, rows
+        if turn == TURNS or new <= WORTH * documents or _pairs_across(rows) <= PAIRS_A_DOCUMENT * documents:
             break
+    # Both sides are read from the shared folder, so the runtime divides the posting of a hot shingle on either side (a skewed join).
     side = lambda k, token: rows.select(F.col("token").alias(token), F.col("doc").alias(k), *(F.col(c).alias(f"{c[0]}{k}") for c in ("n", "g", "at", "kept")), F.col("ell").alias(f"l{k}"), F.col("class").alias(f"c{k}"))
     x, y = side("x", "token"), side("y", "other")
     across = x.join(y, (F.col("token") == F.col("other")) & (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & _may_reach(percent))
     second = verified(docs, _matching(across, percent).where(_can_reach(percent)).select("x", "y"), size, percent)
 
-    copies = summaries.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    nodes = summaries.select("doc_id", "n", "s1", "s2").join(copies, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    named = summaries.where("n > 0").select("doc_id", "n", "s1", "s2").join(copies, ["n", "s1", "s2"]).select("doc_id", "n", "rep")
+    nodes = written(named.unionByName(summaries.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))), "nodes", [rows])
     least = nodes.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     repeated = nodes.join(least, "doc_id").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
-    final = stars(links.unionByName(second).unionByName(repeated)).select(F.col("a").alias("rep"), F.col("b").alias("class"))
+    final = stars(links.unionByName(second).unionByName(repeated), [links, second]).select(F.col("a").alias("rep"), F.col("b").alias("class"))
     out = nodes.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "rep").alias("component_id"))
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless)

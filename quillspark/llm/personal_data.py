@@ -10,11 +10,14 @@ base span of their kind are added.
 
 Positions: a pattern's matches and the pieces between them (split) alternate, so running sums of their lengths are the positions, in code
 points. The patterns are written with possessive repeats and start only where a run starts, which gives the leftmost matches in linear time.
+Running sums are taken in runs of RUN matches, so no array grows by one for each match of a text, and what stands beside a match is read from
+the pieces beside it, not from the text's start. Matches that can't be of their kind by their number of digits are no candidates.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +56,8 @@ MOST_VALUES = 500
 ACCEPT = 0.9
 ROUNDS = 40
 BEFORE = 30
+#: Matches whose places are added up together.
+RUN = 256
 
 
 def _digits(m: Column) -> Column:
@@ -72,15 +77,45 @@ def valid(kind: str, m: Column) -> Column:
     return {"email": F.lit(True), "card": n.between(12, 19) & luhn(_digits(m)), "phone": n.between(9, 15)}[kind]
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: what a lambda mentions from outside is otherwise worked out anew for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _sums(numbers: Column) -> Column:
+    """Of an array of numbers the sums of those before each, in runs of RUN: within a run, plus those of whole runs."""
+
+    def plain(x: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(x, begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    runs = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda k: F.slice(x, k * RUN + 1, F.lit(RUN)))
+    before = lambda rs: plain(F.transform(rs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, n: a + n)))
+    whole = lambda rs: F.flatten(F.zip_with(rs, before(rs), lambda r, b: F.transform(plain(r), lambda n: n + b)))
+    return _let(numbers, lambda x: _let(runs(x), whole))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their places: array of (m, at), at counted from 0 in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.transform(F.split(text, pattern, -1), F.length)
-    walk = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(pieces, F.lit(1), F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,at:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), (a["at"] + x["gap"]).alias("at")))).alias("out")))
-    return F.when(F.rlike(text, F.lit(pattern)), walk["out"]).otherwise(F.array().cast("array<struct<m:string,at:int>>"))
+    """Matches of a pattern: array of (m, at, before, after): places counted from 0 in code points, and what stands on either side.
+
+    before: the piece before the match, with the match before that and its piece, BEFORE characters at most; after: two characters.
+    """
+    kind = "array<struct<m:string,at:bigint,before:string,after:string>>"
+    near = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+
+    def one(p: Column, ends: Column, m: Column, i: Column) -> Column:
+        gap = F.get(p["pieces"], i)
+        older = F.when(F.length(gap) < BEFORE, F.concat(F.right(near(p["pieces"], i - 1), F.lit(BEFORE)), near(p["found"], i - 1))).otherwise("")
+        later = F.left(near(p["pieces"], i + 1), F.lit(2))
+        after = F.when(F.length(later) < 2, F.left(F.concat(later, near(p["found"], i + 1)), F.lit(2))).otherwise(later)
+        return F.struct(m.alias("m"), (F.get(ends, i) + F.length(gap)).alias("at"), F.right(F.concat(older, gap), F.lit(BEFORE)).alias("before"), after.alias("after"))
+
+    def described(p: Column) -> Column:
+        lengths = F.transform(p["found"], lambda m, i: (F.length(m) + F.length(F.get(p["pieces"], i))).cast("long"))
+        return _let(_sums(lengths), lambda ends: F.transform(p["found"], lambda m, i: one(p, ends, m, i)))
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(F.rlike(text, F.lit(pattern)), _let(parts, described)).otherwise(F.array()).cast(kind)
 
 
 def _any_of(x: Column, words: str) -> Column:
@@ -91,12 +126,15 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0)
 
 
-def _described(kind: str, text: Column, x: Column, base: bool) -> Column:
-    m, at = x["m"], x["at"]
+def _possible(kind: str, m: Column) -> Column:
+    """Whether a match has as many digits as its kind can have."""
+    n = F.length(_digits(m))
+    return {"email": F.lit(True), "ip": n <= 20, "card": n.between(12, 19), "phone": n.between(7, 17)}[kind]
+
+
+def _described(kind: str, x: Column, base: bool) -> Column:
+    m, at, before, after = x["m"], x["at"], x["before"], x["after"]
     end = at + F.length(m)
-    start_of = F.greatest(at - BEFORE, F.lit(0))
-    before = F.substring(text, start_of + 1, at - start_of)
-    after = F.substring(text, end + 1, F.lit(2))
     d = _digits(m)
     listed = {
         "email": _vote(_any_of(F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)), DOMAIN_ENDS), F.rlike(m, F.lit(r"[0-9]$"))),
@@ -119,7 +157,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
 
     def described(kind: str, pattern: str, base: bool) -> Column:
-        return F.transform(matches(text, pattern), lambda x: _described(kind, text, x, base))
+        return F.transform(F.filter(matches(text, pattern), lambda x: _possible(kind, x["m"])), lambda x: _described(kind, x, base))
 
     lists = [described(k, p, base) for group, base in ((STRICT, True), (WIDE, False)) for k, p in group.items()]
     return docs.select("doc_id", F.concat(*lists).alias("spans"))
@@ -193,7 +231,7 @@ def _joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans as kind:start:end), spans (all, as kind:start:end) for each row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans as kind:start:end), spans (all, as kind:start:end) and n_spans for each row of docs.
 
     docs: doc_id, text; other columns are ignored. A null text counts as empty: no spans, and the digest is that of the empty string. Rows
     that repeat or have no doc_id get a row each. Of equal starts the kinds come in the order of KINDS. An empty table gives no rows.
@@ -201,8 +239,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = written(candidates(docs.select("doc_id", "text")), "spans")
     by_votes, odds = _accepted(found)
     base = F.filter("spans", lambda s: s["base"])
-    apart = lambda s: ~F.exists(base, lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("spans", lambda s: ~s["base"] & (~s["strict"]) & (by_votes(s) >= 0.5) & (odds(s) >= math.log(ACCEPT / (1 - ACCEPT))) & apart(s))
-    return found.select(
+    apart = lambda s, of: ~F.exists(of, lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    added = _let(base, lambda of: F.filter("spans", lambda s: ~s["base"] & (~s["strict"]) & (by_votes(s) >= 0.5) & (odds(s) >= math.log(ACCEPT / (1 - ACCEPT))) & apart(s, of)))
+    out = found.select(
         "doc_id", *(_count(base, i).alias(f"n_{k}") for i, k in enumerate(KINDS)),
         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, added)).alias("spans"))
+    return out.withColumn("n_spans", F.when(F.col("spans") == "", 0).otherwise(F.regexp_count("spans", F.lit(",")) + 1).cast("long"))

@@ -39,9 +39,9 @@ def groups(lengths: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
-def slices(batch: pa.RecordBatch, limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
-    """(place, texts): the column text of a batch, a bounded part of it at a time; null counts as empty."""
-    column = batch.column("text")
+def slices(batch: pa.RecordBatch, limit: int = CHUNK, name: str = "text") -> Iterator[tuple[int, list[str]]]:
+    """(place, texts): a column of a batch, a bounded part of it at a time; null counts as empty."""
+    column = batch.column(name)
     lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for lo, hi in groups(lengths, limit):
         yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]

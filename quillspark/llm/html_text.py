@@ -1,28 +1,40 @@
 """Main text of web pages, with site templates removed.
 
-Every page is parsed to a tree. Each container element gets a hash of its whole subtree (tags and text); Spark counts, per host, on how many
-different pages each hash occurs, pages of the same whole text counting once. Subtrees on at least MIN_PAGES pages and MIN_SHARE of the
-host's pages, or on MANY_PAGES pages of however large a host, are the site's template and are deleted, wherever they stand outside the article; inside it only containers that hold less than
-MOST_OF_ROOT of its text are, never single paragraphs, headings or list items, which articles may share. What HTML itself marks as no
-article (scripts, navigation, forms ...) goes as well, by tag, role, or words of class and id.
+Every page is parsed to a tree, and each container element gets a hash of its whole subtree (tags and text), before anything is left out. Spark
+counts, per host, on how many different pages each hash occurs; pages that are equal but for what HTML marks as no article count once.
+Subtrees that recur on many pages of the host are its template: on MANY_PAGES pages of however large a host, or on MIN_PAGES and MIN_SHARE of
+its pages, or on FEW_PAGES and MOST_SHARE of a small one's. They are deleted, wherever they stand outside the article; inside it only containers that
+hold less than MOST_OF_ROOT of its text are, never single paragraphs, headings or list items, which articles may share.
+
+What a site says on one page only can't be found by counting. For that, HTML's own marks are the fallback: scripts, navigation, forms and such by
+tag, role or being hidden, and by a word that is a class or the id as a whole, of what holds less than half of the text.
+
+Template hashes go to every task if they are few, else they meet their pages in a join; pages are never dealt out by host.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import written
+from ._text import mix, slices, tidy
 
-MIN_PAGES = 5
-MIN_SHARE = 0.1
+FEW_PAGES, MOST_SHARE = 3, 0.5
+MIN_PAGES, MIN_SHARE = 5, 0.1
 MANY_PAGES = 50
 MOST_OF_ROOT = 0.25
+#: Template hashes that go to every task, of 8 bytes each; more are joined.
+SENT = 1 << 21
+#: Stands for a page itself among its hashes.
+_PAGE = -1
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -35,10 +47,11 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"optio
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 _NO_TEXT = frozenset("head script style noscript template iframe object svg canvas math nav footer aside form button select textarea title dialog menu audio video map datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay "
-    "sidebar side widget widgets related recommended recommendations share sharing social comment comments commentlist disqus respond reply replies discussion nav navbar navigation menu breadcrumb breadcrumbs "
-    "pagination pager footer masthead subscribe subscription newsletter signup login toolbar skip hidden paywall disclaimer topbar".split())
+# Classes and ids that name, as a whole, what is no article.
+_NAMES = frozenset((
+    "ad ads advert adverts advertisement sponsored banner cookie-notice cookie-banner cookies consent notice notices popup modal sidebar sidebar-left sidebar-right widget widgets related recommended "
+    "comment comments comment-list commentlist comments-area reader-comments reply replies respond disqus_thread nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer site-footer "
+    "site-header masthead newsletter newsletter-signup subscribe login toolbar skip-link social-links share-buttons paywall").split())
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption tr tbody thead".split())
 _ROOTS = frozenset("html body article main".split())
 
@@ -109,31 +122,31 @@ def _close(stack: list[Node], name: str) -> None:
             return
 
 
-def _words(attrs: str) -> tuple[set[str], dict[str, str]]:
-    found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(attrs)}
-    return set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower())), found
+def _names(attrs: str) -> tuple[set[str], dict[str, str]]:
+    """(classes and id in lower case, attributes) of a start tag."""
+    found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(attrs)}
+    return {*found.get("class", "").lower().split(), found.get("id", "").strip().lower()}, found
 
 
-def _no_article(node: Node, inside: bool) -> bool:
-    """Whether HTML marks the element as no part of the article; inside: whether it stands in article or main."""
+def _no_article(node: Node, inside: bool, most: float) -> bool:
+    """Whether HTML marks the element as no part of the article; inside: whether it stands in article or main; most: letters that a name can speak for."""
     if node.tag in _NO_TEXT or (node.tag == "header" and not inside):
         return True
     if not node.attrs or node.tag in _ROOTS and node.tag != "article":
         return False
-    words, attrs = _words(node.attrs)
-    if node.tag == "article":
-        return bool(words & {"comment", "comments", "reply", "ad", "advert", "related", "teaser", "promo"})
-    style = attrs.get("style", "").replace(" ", "").lower()
-    return bool(words & _WORDS) or ("header" in words and not inside) or attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style
+    names, attrs = _names(node.attrs)
+    if node.tag != "article" and (attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()):
+        return True
+    return bool(names & _NAMES) and node.size < most
 
 
-def prune(node: Node, inside: bool = False) -> None:
-    """Deletes what isn't article by HTML."""
-    stack = [(node, inside)]
+def prune(root: Node, whole: int) -> None:
+    """Deletes what isn't article by HTML's own marks; whole: letters of the article, or of the page without one."""
+    stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _no_article(k, inside)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or not _no_article(k, inside, whole / 2)]
         stack += [(k, inside) for k in node.kids if not isinstance(k, str)]
 
 
@@ -212,68 +225,111 @@ def blocks(node: Node) -> list[str]:
     return found
 
 
-def extract(page: str, template: frozenset[int] = frozenset()) -> str:
+def _countable(node: Node) -> bool:
+    return node.size > 0 and node.tag not in _ROOTS and node.tag != "#" and node.tag not in _INLINE
+
+
+def extract(page: str, template: Callable[[list[int]], Iterable[bool]] | None = None) -> str:
+    """The main text; template tells of a list of subtree hashes which are the site's."""
     root = parse(page)
-    prune(root)
+    found = hash_subtrees(root)
+    main = roots(root)
+    whole = sum(r.size for r in main)
+    if template is not None:
+        inner = {id(n): r.size for r in main for n in _each(r)} if main != [root] else {}
+        own = [n for n in found if _countable(n)]
+        gone = {id(n) for n, told in zip(own, template([n.hash for n in own])) if told and (id(n) not in inner or n.tag not in _LEAVES and n.size < MOST_OF_ROOT * inner[id(n)])}
+        if gone:
+            for node in found:
+                node.kids = [k for k in node.kids if isinstance(k, str) or id(k) not in gone]
+            hash_subtrees(root)
+    prune(root, whole)
     hash_subtrees(root)
-    if template:
-        main = roots(root)
-        inner = {id(n) for r in main for n in _each(r)} if main != [root] else set()
-        whole = {id(n): r.size for r in main for n in _each(r)}
-        stack = [root]
-        while stack:
-            node = stack.pop()
-            kept = []
-            for k in node.kids:
-                if not isinstance(k, str) and k.tag not in _ROOTS and k.hash in template and (
-                    id(k) not in inner or k.tag not in _LEAVES | _INLINE and k.size < MOST_OF_ROOT * whole[id(k)]):
-                    continue
-                kept.append(k)
-            node.kids = kept
-            stack += [k for k in kept if not isinstance(k, str)]
-        hash_subtrees(root)
     return "\n".join(b for r in roots(root) for b in blocks(r))
 
 
 def subtrees(page: str) -> tuple[int, list[int]]:
-    """(hash of the whole, distinct hashes of the elements that may be a template)."""
+    """(hash of the page without what HTML marks as no article, distinct hashes of the elements that may be a template)."""
     root = parse(page)
-    prune(root)
-    found = hash_subtrees(root)
-    return root.hash, list({n.hash for n in found if n.size and n.tag not in _ROOTS and n.tag != "#" and n.tag not in _INLINE})
+    hashes = list({n.hash for n in hash_subtrees(root) if _countable(n)})
+    prune(root, sum(r.size for r in roots(root)))
+    hash_subtrees(root)
+    return root.hash, sorted(hashes)
+
 
+def _host(url: Column) -> Column:
+    found = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
+    return F.regexp_replace(found, r"[\[\]]", "")
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, doc, hashes: the template subtrees that each page has, so no list is longer than its page. pages: host, doc, html."""
+
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """host, doc, page, hashes of pages (host, doc, html), written; pages of no host have no template and are left out."""
 
     def count(batches):
         for batch in batches:
-            rows = [subtrees(h or "") for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("doc"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["host", "doc", "page", "hashes"])
+            for at, texts in slices(batch, name="html"):
+                rows = [subtrees(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(texts)) for k in ("host", "doc")), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["host", "doc", "page", "hashes"])
+
+    return written(pages.where("host <> ''").select("host", "doc", "html").mapInArrow(tidy(count), "host string, doc bigint, page bigint, hashes array<bigint>"), "subtrees")
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """host, hash: the subtrees that recur on many pages of their host. rows: as _subtrees gives them."""
+    different = rows.groupBy("host", "page").agg(F.min("hashes").alias("hashes"))
+    each = different.select("host", F.explode(F.concat("hashes", F.array(F.lit(_PAGE).cast("long")))).alias("hash"))
+    # Written, so that a host's share of these rows can be divided in the join.
+    counts = written(each.groupBy("host", "hash").agg(F.count("*").alias("pages")).where((F.col("pages") >= FEW_PAGES) | (F.col("hash") == _PAGE)), "counts")
+    of = counts.where(F.col("hash") == _PAGE).select("host", F.col("pages").alias("of"))
+    n, share = F.col("pages"), F.col("pages") / F.col("of")
+    common = (n >= MANY_PAGES) | (n >= MIN_PAGES) & (share >= MIN_SHARE) | (n >= FEW_PAGES) & (share >= MOST_SHARE)
+    return counts.where(F.col("hash") != _PAGE).join(of, "host").where(common).select("host", "hash")
+
 
-    rows = written(pages.select("host", "doc", "html").mapInArrow(count, "host string, doc bigint, page bigint, hashes array<bigint>"), "subtrees")
-    different = rows.groupBy("host", "page").agg(F.first("hashes").alias("hashes"))
-    every = different.groupBy("host").agg(F.count("*").alias("of"))
-    counts = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    common = counts.join(every, "host").where((F.col("pages") >= MIN_SHARE * F.col("of")) | (F.col("pages") >= MANY_PAGES)).select("host", "hash")
-    return rows.select("host", "doc", F.explode("hashes").alias("hash")).join(common, ["host", "hash"]).groupBy("host", "doc").agg(F.collect_set("hash").alias("hashes"))
+def _keys(host: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return mix(mix(hashes.view(np.uint64)) ^ host.view(np.uint64))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, sent: int = SENT) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of pages (page_id, url, html; other columns are ignored).
 
-    A null html counts as empty and gives an empty text. A null or broken url is of the host "". Repeated rows get a row each and count as
-    one page of their host. An empty table gives no rows.
+    A null html counts as empty and gives an empty text. Pages of a null or broken url belong to no host, and no template is looked for on them.
+    Repeated rows get a row each and count as one page of their host. An empty table gives no rows. sent: see SENT.
     """
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
-    named = pages.select("page_id", "url", "html", F.regexp_replace(host, r"[\[\]]", "").alias("host"), F.xxhash64("html").alias("doc"))
-    joined = named.join(templates(named), ["host", "doc"], "left")
+    spark = pages.sparkSession
+    named = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), F.xxhash64("html").alias("doc"))
+    rows = _subtrees(named)
+    common = written(templates(rows), "templates")
+    kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
+    few = common.count() <= sent
+    found = common.select(F.xxhash64("host").alias("host"), "hash").toArrow() if few else None
+    table = spark.sparkContext.broadcast(np.sort(_keys(found.column("host").to_numpy(), found.column("hash").to_numpy())) if few else None)
+
+    def of_host(host: int):
+        keys = table.value
+
+        def told(hashes: list[int]) -> np.ndarray:
+            own = _keys(np.array([host], np.int64), np.array(hashes, np.int64))
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            return keys[at] == own
+
+        return told if len(keys) else None
+
+    def of_page(hashes: list[int] | None):
+        own = frozenset(hashes or ())
+        return (lambda some: [h in own for h in some]) if own else None
 
     def read(batches):
         for batch in batches:
-            hashes = [frozenset(h or ()) for h in batch.column("hashes").to_pylist()]
-            texts = [extract(p or "", t) for p, t in zip(batch.column("html").to_pylist(), hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "hashes").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars bigint")
+            known = batch.column("known")
+            for at, texts in slices(batch, name="html"):
+                marks = known.slice(at, len(texts)).to_pylist()
+                out = [extract(t, of_host(m) if few else of_page(m)) for t, m in zip(texts, marks)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(out)) for k in ("page_id", "url")), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    if few:
+        joined = named.select("page_id", "url", "html", F.xxhash64("host").alias("known"))
+    else:
+        mine = rows.select("host", "doc", F.explode("hashes").alias("hash")).join(common, ["host", "hash"]).groupBy("host", "doc").agg(F.collect_set("hash").alias("known"))
+        joined = named.join(written(mine, "known"), ["host", "doc"], "left").select("page_id", "url", "html", "known")
+    return joined.mapInArrow(tidy(read), kind)

@@ -10,6 +10,9 @@ its best of all will score; what falls short of that isn't passed on.
 Centroids and codebooks are fitted on SAMPLE vectors; every vector is indexed. Parts are read in blocks of bounded rows and queries, so a
 part may hold any share of the vectors. Equal vectors are scanned once; of them only the k + 1 of smallest id can be among a query's k
 nearest, and these take the place of the one scanned.
+
+Vectors of each length are searched by themselves: those of the INDEXES commonest lengths by an index each, all others, and every one if asked to,
+exhaustively, by products of blocks.
 """
 
 from __future__ import annotations
@@ -35,6 +38,11 @@ RERANK = 64
 SLACK = 3.0
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 2048
+#: Bytes of the tables of the queries that are scanned together.
+TABLES = 1 << 26
+INDEXES = 4
+#: How many more than k an exhaustive block passes on by rounded products.
+SPARE = 16
 
 
 @dataclass
@@ -184,24 +192,39 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate((over, np.flatnonzero(scores == edge)[: most - len(over)]))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest of each vector for which queries holds, among all others.
+def _blocked(candidates: DataFrame, asking: DataFrame, key: str, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to (key, block, turn) so that each block meets each turn once. sizes: key, rows and readers (blocks and turns of the key)."""
+    left = candidates.join(sizes, key).withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.col("rows")), "turn": F.explode(F.sequence(F.lit(0).cast("long"), F.col("readers") - 1))}).drop("rows", "readers")
+    right = asking.join(sizes, key).withColumns({"turn": F.pmod(F.xxhash64("query_id"), F.col("readers")), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))}).drop("rows", "readers")
+    return left, right
 
-    vectors: vec_id, embedding; other columns are ignored. Vectors that are null, zero, or hold null or non-finite components, and rows of
-    null vec_id, take no part; nor do those of another length than most. Rows that repeat a vec_id count once, with the smallest embedding. Ties go to the smaller
-    vec_id. A query gets fewer rows if there are fewer candidates. An empty table gives no rows.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    lengths = sorted(rows.groupBy(F.size("v").alias("d")).count().collect(), key=lambda r: (-r["count"], r["d"]))
-    kinds = "query_id bigint, rank int, vec_id bigint, score double"
-    if not lengths:
-        return spark.createDataFrame([], kinds)
-    rows = written(rows.where(F.size("v") == lengths[0]["d"]), "vectors")
-    first = Window.partitionBy("v").orderBy("vec_id")
-    copies = written(rows.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).withColumn("rep", F.min("vec_id").over(Window.partitionBy("v"))), "copies")
-    reps = copies.where("copy = 1").select("vec_id", "v")
+
+def _exhaustive(reps: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, rep): of each block the k best of each query of the same length, and some more."""
+    length = lambda rows: rows.withColumn("d", F.size("v"))
+    count = lambda rows, most, name: length(rows).groupBy("d").agg(F.ceil(F.count("*") / most).cast("long").alias(name))
+    sizes = written(count(reps, BLOCK_ROWS, "rows").join(count(asked, BLOCK_QUERIES, "readers"), "d"), "sizes")
+    left, right = _blocked(length(reps), length(asked.withColumnRenamed("vec_id", "query_id")), "d", sizes)
+
+    def scan(key, candidates: pa.Table, asking: pa.Table) -> pa.Table:
+        found_q, found_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(candidates) and len(asking):
+            ids, names, x, q = candidates.column("vec_id").to_numpy(), asking.column("query_id").to_numpy(), _array(candidates, "v"), _array(asking, "v")
+            for at in range(0, len(q), 256):
+                for name, score in zip(names[at : at + 256], q[at : at + 256] @ x.T):
+                    most = min(k + 1 + SPARE, len(score))
+                    best = np.partition(score, len(score) - most)[len(score) - most]
+                    near = np.flatnonzero(score >= best - 1e-9 * (abs(best) + 1e-300))
+                    found_q.append(np.full(len(near), name))
+                    found_v.append(ids[near])
+        return pa.table({"query_id": np.concatenate(found_q).astype(np.int64), "rep": np.concatenate(found_v).astype(np.int64)})
+
+    return left.groupBy("d", "block", "turn").cogroup(right.groupBy("d", "block", "turn")).applyInArrow(scan, "query_id bigint, rep bigint")
+
+
+def _indexed(reps: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, rep): the candidates that are ranked again, of vectors of one length."""
+    spark = reps.sparkSession
     total = reps.count()
     found = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     index = fit(_array(found, "v"), total, k)
@@ -236,13 +259,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
                 which = np.repeat(np.arange(len(x)), near.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(which)), pa.array(near.ravel().astype(np.int32)), pa.array(_least(x, near, index)[which])], names=["query_id", "part", "least"])
 
-    asked = rows.where(queries).select("vec_id", "v")
-    probes = asked.mapInArrow(probe, "query_id bigint, part int, least double")
-    told = written(probes, "probes")
+    told = written(asked.select("vec_id", "v").mapInArrow(probe, "query_id bigint, part int, least double"), "probes")
     readers = {r["part"]: r["count"] for r in told.groupBy("part").count().collect()}
-    blocks = spark.createDataFrame([(int(p), -(-n // BLOCK_ROWS), -(-readers.get(p, 0) // BLOCK_QUERIES)) for p, n in sizes.items() if p in readers] or [(-1, 1, 1)], "part int, rows int, readers int")
-    left = coded.join(F.broadcast(blocks), "part").withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.col("rows")), "turn": F.explode(F.sequence(F.lit(0), F.col("readers") - 1))}).select("part", "block", F.col("turn").cast("bigint").alias("turn"), "vec_id", "codes")
-    right = told.join(F.broadcast(blocks), "part").join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumns({"turn": F.pmod(F.xxhash64("query_id"), F.col("readers")), "block": F.explode(F.sequence(F.lit(0), F.col("rows") - 1))}).select("part", F.col("block").cast("bigint").alias("block"), "turn", "query_id", "least", "v")
+    blocks = spark.createDataFrame([(int(p), -(-n // BLOCK_ROWS), -(-readers.get(p, 0) // BLOCK_QUERIES)) for p, n in sizes.items() if p in readers] or [(-1, 1, 1)], "part int, rows bigint, readers bigint")
+    left, right = _blocked(coded, told.join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id"), "part", F.broadcast(blocks))
 
     def scan(key, candidates: pa.Table, asking: pa.Table) -> pa.Table:
         index = sent_probes.value
@@ -252,28 +272,57 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
         candidates = candidates.sort_by("vec_id")
         ids = candidates.column("vec_id").to_numpy()
         codes = np.frombuffer(b"".join(candidates.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T.astype(np.int64)
-        q = _array(asking, "v")
+        q, names = _array(asking, "v"), asking.column("query_id").to_numpy()
         base = q @ index.centroids[key[0].as_py()]
         least = asking.column("least").to_numpy() - base
-        tables = np.einsum("nsd,scd->nsc", _pairs(q), index.books)
-        tables = np.pad(tables, ((0, 0), (0, tables.shape[1] % 2), (0, 0)))
-        two = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1, 256).astype(np.float32)
+        together = max(1, TABLES // (len(codes) * 256 * 4))
         out_q, out_v, out_s = [], [], []
-        for i, query in enumerate(asking.column("query_id").to_pylist()):
-            score = np.zeros(len(ids), np.float32)
-            for s in range(len(codes)):
-                score += two[i, s][codes[s]]
-            at = np.flatnonzero(score >= least[i])
-            at = at[_best(score[at], index.rerank)]
-            out_q.append(np.full(len(at), query))
-            out_v.append(ids[at])
-            out_s.append(score[at] + base[i])
+        for at in range(0, len(q), together):
+            tables = np.einsum("nsd,scd->nsc", _pairs(q[at : at + together]), index.books)
+            tables = np.pad(tables, ((0, 0), (0, tables.shape[1] % 2), (0, 0)))
+            two = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(tables), -1, 256).astype(np.float32)
+            for i in range(at, at + len(two)):
+                score = np.zeros(len(ids), np.float32)
+                for s in range(len(codes)):
+                    score += two[i - at, s][codes[s]]
+                over = np.flatnonzero(score >= least[i])
+                over = over[_best(score[over], index.rerank)]
+                out_q.append(np.full(len(over), names[i]))
+                out_v.append(ids[over])
+                out_s.append(score[over] + base[i])
         return pa.table({"query_id": np.concatenate(out_q).astype(np.int64), "vec_id": np.concatenate(out_v), "guess": np.concatenate(out_s).astype(np.float64)})
 
-    guesses = left.groupBy("part", "block", "turn").cogroup(right.groupBy("part", "block", "turn")).applyInArrow(scan, "query_id bigint, vec_id bigint, guess double")
+    guesses = left.select("part", "block", "turn", "vec_id", "codes").groupBy("part", "block", "turn").cogroup(right.select("part", "block", "turn", "query_id", "least", "v").groupBy("part", "block", "turn")).applyInArrow(scan, "query_id bigint, vec_id bigint, guess double")
     by_guess = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
-    short = guesses.withColumn("place", F.row_number().over(by_guess)).where(F.col("place") <= index.rerank).select("query_id", F.col("vec_id").alias("rep"))
+    return guesses.withColumn("place", F.row_number().over(by_guess)).where(F.col("place") <= index.rerank).select("query_id", F.col("vec_id").alias("rep"))
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, exhaustive: bool = False) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest of each vector for which queries holds, among all others of its length.
+
+    vectors: vec_id, embedding; other columns are ignored. Vectors that are null, zero, empty, or hold null or non-finite components, and rows of
+    null vec_id, take no part. Rows that repeat a vec_id count once, with the smallest embedding. Ties go to the smaller vec_id. A query gets fewer rows if
+    there are fewer candidates. An empty table gives no rows. exhaustive: compare every pair of query and vector instead of using an index.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
+    rows = written(rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")), "vectors")
+    lengths = [r["d"] for r in rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(INDEXES + 1).collect()]
+    if not lengths:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    first = Window.partitionBy("v").orderBy("vec_id")
+    copies = written(rows.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).withColumn("rep", F.min("vec_id").over(Window.partitionBy("v"))), "copies")
+    reps, asked = copies.where("copy = 1").select("vec_id", "v"), rows.where("asks").select("vec_id", "v")
+    of = lambda frame, d: frame.where(F.size("v") == d)
+    indexed = [] if exhaustive else lengths[:INDEXES]
+    short = [_indexed(of(reps, d), of(asked, d), k) for d in indexed]
+    if len(lengths) > len(indexed):
+        others = lambda frame: frame.where(~F.size("v").isin(indexed)) if indexed else frame
+        short.append(_exhaustive(others(reps), others(asked), k))
+    found = short[0]
+    for more in short[1:]:
+        found = found.unionByName(more)
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = short.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(copies.select("rep", "vec_id", "v"), "rep").where("vec_id <> query_id").select("query_id", "vec_id", exact.alias("score"))
+    scored = found.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(copies.select("rep", "vec_id", "v"), "rep").where("vec_id <> query_id").select("query_id", "vec_id", exact.alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -7,6 +7,9 @@ item: all its tokens) are joined by hash with those of the benchmark, after a bi
 match. Matches of one item at one shift form a hit if they cover RUN tokens in all (or the whole item) and their slots are consistent: each value of the item
 stands for one value of the document and the reverse. A document with a hit is contaminated, also if it asks the item with other numbers,
 names or units.
+
+A third reading keeps every token as it is. It looks for items of fewer than SHORTEST tokens after replacing, whose template would be met by
+chance, and, if asked to, for so many tokens of any item word for word, whatever was changed beside them.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import written
-from ._text import _powers, code_points, groups, mix, tidy
+from ._text import _powers, code_points, mix, slices, tidy
 
 WINDOW = 8
 RUN = 13
-#: An item of fewer tokens isn't looked for: so few words occur by chance.
+#: An item of fewer tokens is looked for word for word only: so short a template occurs by chance.
 SHORTEST = 4
 BITS = 22
 # Units that may follow a number.
@@ -89,7 +92,7 @@ def _units() -> np.ndarray:
 
 
 def readings(t: Tokens):
-    """For names replaced (0) and kept (1): (hash of each token, slot of each token or 0, text of each token)."""
+    """For names replaced (0), names kept (1) and everything kept (2): (hash of each token, slot of each token or 0, text of each token)."""
     text = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
     new = np.ones(len(text), bool)
     new[1:] = text[1:] != text[:-1]
@@ -105,10 +108,12 @@ def readings(t: Tokens):
         joined[1:] = ((kind[1:] == 1) | (kind[1:] == 3)) & (kind[1:] == kind[:-1]) & ~new[1:]
         keep = ~joined
         group = np.flatnonzero(keep)
-        slot = np.add.reduceat(mix(t.hash + np.arange(len(kind), dtype=np.uint64) * 0), group) if len(group) else t.hash
+        place = np.arange(len(kind)) - np.repeat(group, np.diff(np.append(group, len(kind))))
+        slot = np.add.reduceat(mix(t.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), group) if len(group) else t.hash
         kind = kind[keep]
         token = np.where(kind == 0, t.hash[keep], np.array([0, _NUMBER, _UNIT, _NAME], np.uint64)[kind])
         yield token, np.where(kind > 0, slot, np.uint64(0)), text[keep]
+    yield t.hash, np.zeros(len(t.hash), np.uint64), text
 
 
 def _windows(token: np.ndarray, size: int) -> np.ndarray:
@@ -119,24 +124,27 @@ def _windows(token: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * inverse[:n] + np.uint64(size)) if n else np.zeros(0, np.uint64)
 
 
-def _found(texts: list[str], sizes: list[int], table: np.ndarray | None, items: bool):
-    """Windows of texts: (text, reading, size, place in the text, hash, slots), of items those of their own size, of documents those in the table."""
-    for lo, hi in groups([len(t) for t in texts]):
-        for reading, (token, slot, text) in enumerate(readings(Tokens(texts[lo:hi]))):
-            lengths = np.bincount(text, minlength=hi - lo)
-            begin = np.cumsum(lengths) - lengths
-            for size in sizes:
-                h = _windows(token, size)
-                n = len(h)
-                good = text[:n] == text[size - 1 : size - 1 + n]
-                if items:
-                    own = np.minimum(lengths, WINDOW)
-                    good &= own[text[:n]] == size
-                if table is not None:
-                    good &= table[(h >> np.uint64(64 - BITS)).astype(np.int64)]
-                at = np.flatnonzero(good)
-                slots = slot.view(np.int64)
-                yield lo + text[at], reading, size, at - begin[text[at]], h[at], [slots[a : a + size] for a in at]
+def _found(texts: list[str], sizes: dict[int, list[int]], table: np.ndarray | None = None, verbatim: bool = False):
+    """Windows of texts: (text, reading, size, place in the text, hash, slots), of the sizes of each reading.
+
+    Without a table, texts are items, and have windows of their own size (WINDOW at most); only short ones, or all if verbatim, have those of reading 2.
+    """
+    short = np.zeros(len(texts), bool)
+    for reading, (token, slot, text) in enumerate(readings(Tokens(texts))):
+        lengths = np.bincount(text, minlength=len(texts))
+        short = lengths < SHORTEST if reading == 0 else short
+        begin = np.cumsum(lengths) - lengths
+        for size in sizes.get(reading, ()):
+            h = _windows(token, size)
+            n = len(h)
+            good = text[:n] == text[size - 1 : size - 1 + n]
+            if table is None:
+                good &= (np.minimum(lengths, WINDOW) == size)[text[:n]] & (short | (reading < 2) | verbatim)[text[:n]]
+            else:
+                good &= table[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+            at = np.flatnonzero(good)
+            slots = slot.view(np.int64)
+            yield text[at], reading, size, at - begin[text[at]], h[at], [slots[a : a + size] for a in at]
 
 
 def _rows(row: np.ndarray, found) -> pa.RecordBatch:
@@ -149,42 +157,49 @@ def _rows(row: np.ndarray, found) -> pa.RecordBatch:
         names=["row", "reading", "size", "at", "hash", "slots"])
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
+def item_windows(benchmark: DataFrame, verbatim: int | None = None) -> DataFrame:
     """item, reading, size, at, hash, slots, need (matches that make a hit)."""
+    sizes = {0: list(range(SHORTEST, WINDOW + 1)), 1: list(range(SHORTEST, WINDOW + 1)), 2: list(range(1, WINDOW + 1))}
 
     def cut(batches):
         for batch in batches:
             row = np.array(batch.column("row").to_pylist(), np.int64)
-            for found in _found([t or "" for t in batch.column("text").to_pylist()], list(range(SHORTEST, WINDOW + 1)), None, True):
-                yield _rows(row, found)
+            for at, texts in slices(batch):
+                for found in _found(texts, sizes, None, verbatim is not None):
+                    yield _rows(row[at : at + len(texts)], found)
 
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("row"), "text").mapInArrow(cut, ROW)
-    counts = rows.groupBy("row", "reading").agg(F.count("*").alias("windows"))
-    need = F.when(F.col("size") < WINDOW, 1).otherwise(F.least(F.col("windows"), F.lit(RUN - WINDOW + 1)))
-    return written(rows.join(counts, ["row", "reading"]).select(F.col("row").alias("item"), "reading", "size", "at", "hash", "slots", need.cast("int").alias("need")), "items")
+    rows = written(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("row"), "text").mapInArrow(tidy(cut), ROW), "windows")
+    counts = rows.groupBy("row", "reading").agg(F.count_distinct("at").alias("windows"))
+    run = F.when(F.col("reading") == 2, verbatim or RUN).otherwise(RUN)
+    need = F.when(F.col("size") < WINDOW, 1).otherwise(F.greatest(F.lit(1), F.least(F.col("windows"), run - WINDOW + 1)))
+    return written(rows.join(counts, ["row", "reading"]).select(F.col("row").alias("item"), "reading", "size", "at", "hash", "slots", need.cast("int").alias("need")), "items", [rows])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, verbatim: int | None = None) -> DataFrame:
     """doc_id, item_id, tokens (covered at the best shift), exact (whether all slots are equal), a row for each document and item that it holds.
 
-    Rows of null doc_id, text, item_id or item text hold nothing. Rows that repeat a doc_id count together.
+    verbatim: so many tokens of an item word for word (or the whole item) make a hit whatever its slots. Rows of null doc_id, text, item_id or item text
+    hold nothing, nor do texts without a letter or digit. Rows that repeat a doc_id count together, as do those that repeat an item_id.
     """
-    items = item_windows(benchmark)
+    items = item_windows(benchmark, verbatim)
     # At most 2**BITS buckets reach the driver, whatever the benchmark's size.
     buckets = items.select(F.shiftrightunsigned("hash", 64 - BITS).alias("b")).distinct().toArrow().column("b").to_numpy()
     table = np.zeros(1 << BITS, bool)
     table[buckets.astype(np.int64)] = True
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]
-    sent = docs.sparkSession.sparkContext.broadcast((np.packbits(table), sorted(sizes)))
+    sizes: dict[int, list[int]] = {}
+    for r in items.select("reading", "size").distinct().orderBy("reading", "size").collect():
+        sizes.setdefault(r["reading"], []).append(r["size"])
+    sent = docs.sparkSession.sparkContext.broadcast((np.packbits(table), sizes))
 
     def cut(batches):
         packed, sizes = sent.value
         table = np.unpackbits(packed).astype(bool)
         for batch in batches:
             row = np.array(batch.column("row").to_pylist(), np.int64)
-            for found in _found([t or "" for t in batch.column("text").to_pylist()], sizes, table, False):
-                if len(found[0]):
-                    yield _rows(row, found)
+            for at, texts in slices(batch):
+                for found in _found(texts, sizes, table):
+                    if len(found[0]):
+                        yield _rows(row[at : at + len(texts)], found)
 
     mine = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("row"), "text").mapInArrow(tidy(cut), ROW)
     met = mine.withColumnRenamed("at", "place").withColumnRenamed("slots", "values").join(items, ["reading", "size", "hash"])
@@ -200,17 +215,18 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return good.groupBy("row", "item").agg(F.max("tokens").cast("long").alias("tokens"), F.max("exact").alias("exact")).select(F.col("row").alias("doc_id"), F.col("item").alias("item_id"), "tokens", "exact")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, verbatim: int | None = None) -> DataFrame:
     """doc_id, contaminated, n_items, items (ids of the items it holds, ascending, comma-joined) for each row of docs (doc_id, text; others ignored).
 
-    Documents without text, and all if the benchmark is empty, are clean. Rows that repeat a doc_id get a row each with the same values.
+    Documents without text, and all if the benchmark is empty, are clean. Rows that repeat a doc_id get a row each with the same values. verbatim:
+    as for hits. Empty docs give no rows.
     """
-    found = hits(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    found = hits(docs, benchmark, verbatim).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
     n = F.coalesce(F.size("ids"), F.lit(0))
     return joined.select("doc_id", F.col("ids").isNotNull().alias("contaminated"), F.when(F.col("ids").isNull(), 0).otherwise(n).cast("long").alias("n_items"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("items"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    return docs.join(hits(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, verbatim: int | None = None) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns; rows of null doc_id or text stay, rows that repeat a doc_id share their fate."""
+    return docs.join(hits(docs, benchmark, verbatim).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

@@ -20,6 +20,15 @@ def host(url: Column, strip_www: bool = True) -> Column:
     return F.regexp_replace(h, r"^www\.", "") if strip_www else h
 
 
+def origin(url: Column) -> Column:
+    return F.lower(F.concat(_part(url, 1), F.lit("://"), _part(url, 2), _part(url, 3)))
+
+
+def path_query(url: Column) -> Column:
+    """Path and query, as robots rules see them."""
+    return F.concat(F.when(_part(url, 4) == "", "/").otherwise(_part(url, 4)), F.when(_part(url, 5) == "", "").otherwise(F.concat(F.lit("?"), _part(url, 5))))
+
+
 def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(_part(url, 4), r"/+\z", "")
     kept = F.array_join(F.filter(F.split(_part(url, 5), "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^([^=]*)", 1).rlike(TRACKING)), "&")

@@ -17,11 +17,11 @@ def first_of_each(rows: DataFrame, keys: list, order: list) -> DataFrame:
 
 
 def union_of_sources(frames: dict[str, DataFrame]) -> DataFrame:
-    """All sources in the fixed order of providers, with ord (topic_id, pos: place in its own frame)."""
+    """All sources in the fixed order of providers, with ord: the provider's rank above 48 bits of pos, the place in its own frame."""
     found = None
     for rank, name in enumerate(PROVIDER_ORDER):
         if name in frames:
-            part = frames[name].withColumn("ord", F.lit(rank).cast("long") * 1_000_000 + F.col("pos")).drop("pos")
+            part = frames[name].withColumn("ord", F.shiftleft(F.lit(rank).cast("long"), 48) + F.col("pos")).drop("pos")
             found = part if found is None else found.unionByName(part, allowMissingColumns=True)
     return found
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,27 @@ from pyspark.sql import functions as F
 
 from ..functions.media import fmt_timestamp
 
+# What parts blocks, and what a heading looks like.
 _BREAK = re.compile(r"\n\s*\n|\n(?==+ )")
+_HEADING = re.compile(r"=+ .+ =+")
+_SPACE = re.compile(r"\s*")
+
+
+def _pieces(text: str, most: int, least: int) -> Iterator[tuple[str, str]]:
+    """(piece, kind) of a text in order: a "head" joins any open passage, a "block" if there is room, and a "full" piece, cut from a longer block, is a passage of its own."""
+    sentence = rf".{{{least + 1},{most}}}\.(?= )|" if least < most else ""
+    full = re.compile(rf"(?s){sentence}.{{{most}}}")
+    for block in map(str.strip, _BREAK.split(text)):
+        if _HEADING.fullmatch(block):
+            yield block, "head"
+            continue
+        at = 0
+        while len(block) - at > most:
+            cut = full.match(block, at)
+            yield cut.group().rstrip(), "full"
+            at = _SPACE.match(block, cut.end()).end()
+        if block[at:]:
+            yield block[at:], "block"
 
 
 def split_passages(text: str | None, most: int = 900, least: int = 120) -> list[str]:
@@ -18,28 +39,16 @@ def split_passages(text: str | None, most: int = 900, least: int = 120) -> list[
 
     A heading joins what is open whatever its length. Passages under ``least`` go, unless there is one only.
     """
-    done: list[str] = []
-    open_ = ""
-    for block in filter(None, (b.strip() for b in _BREAK.split(text or ""))):
-        if re.match(r"=+ ", block) and "\n" not in block:
-            open_ = f"{open_}\n{block}" if open_ else block
-            continue
-        while len(block) > most:
-            if open_:
-                done.append(open_)
-                open_ = ""
-            stop = block.rfind(". ", 0, most + 2)
-            at = stop + 1 if stop > least else most
-            done.append(block[:at].strip())
-            block = block[at:].strip()
-        if open_ and len(open_) + len(block) + 1 > most:
-            done.append(open_)
-            open_ = block
-        elif block:
-            open_ = f"{open_}\n{block}" if open_ else block
-    if open_:
-        done.append(open_)
-    return done if len(done) == 1 else [p for p in done if len(p) >= least]
+    groups: list[list[str]] = []
+    room: int | None = None  # of the last group; None: closed
+    for piece, kind in _pieces(text or "", most, least):
+        if room is None or kind == "full" or (kind == "block" and len(piece) > room):
+            groups.append([])
+            room = most + 1
+        groups[-1].append(piece)
+        room = None if kind == "full" else room - len(piece) - 1
+    made = ["\n".join(g) for g in groups]
+    return [m for m in made if len(m) >= least or len(made) == 1]
 
 
 def passages(rows: DataFrame, keys: list[str], text: str = "text", most: int = 900, least: int = 120) -> DataFrame:

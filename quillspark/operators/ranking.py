@@ -20,19 +20,18 @@ def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
 def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], pool: list[str], query_keys: list[str], text: str = "text") -> DataFrame:
     """Scores of the documents of a pool for its queries, those that match.
 
-    docs: keys (with pool among them) and text; queries: pool, query_keys, query. Documents are tokenised once for all queries. Only terms
-    of queries are counted and shuffled; statistics are those of the pool.
+    docs: keys (with pool among them) and text; queries: pool, query_keys, query. Only terms of queries are counted and shuffled, and beside
+    them one row of the empty term for each document, which carries its length. So the counts by document are the only shuffle of the
+    corpus, and statistics of pools and terms read the same exchange: every aggregate uses tf, or the planner would prune it and count anew.
     """
-    held = docs.select(*keys, tokens(F.col(text)).alias("_t")).withColumn("len", F.greatest(F.size("_t"), F.lit(1)).cast("long"))
-    if pool:
-        sizes = held.groupBy(*pool).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    else:
-        sizes = held.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.select(*pool, *query_keys, F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = asked.select(*pool, "term").distinct()
-    tf = held.select(*keys, "len", F.explode("_t").alias("term")).join(wanted, [*pool, "term"], "left_semi").groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*pool, "term").agg(F.count("*").alias("df"))
-    joined = tf.join(df, [*pool, "term"]).join(asked, [*pool, "term"])
+    wanted = asked.select(*pool, "term").unionByName(queries.select(*pool, F.lit("").alias("term"))).distinct()
+    held = docs.select(*keys, tokens(F.col(text)).alias("_t")).select(*keys, F.greatest(F.size("_t"), F.lit(1)).cast("long").alias("len"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
+    tf = held.join(wanted, [*pool, "term"], "left_semi").groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+    by_term = tf.groupBy(*pool, "term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"), F.avg(F.when(F.col("tf") > 0, F.col("len"))).alias("_mean"))
+    whole = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
+    sizes = (by_term.groupBy(*pool) if pool else by_term.groupBy()).agg(whole("df").alias("n"), whole("_mean").alias("avg_len"), F.max("df").alias("_df"))
+    joined = tf.join(by_term.select(*pool, "term", "df", "_mean"), [*pool, "term"]).join(asked, [*pool, "term"])
     joined = joined.join(sizes, pool) if pool else joined.crossJoin(F.broadcast(sizes))  # sizes is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -66,16 +65,24 @@ def dense_ids(chosen: DataFrame, topic: list[str]) -> DataFrame:
     return chosen.withColumn("id", F.row_number().over(w))
 
 
+def ids_after(videos: DataFrame, numbered: DataFrame, topic: list[str]) -> DataFrame:
+    """Picked videos with ids that go on after those of a topic's sources."""
+    last = numbered.groupBy(*topic).agg(F.max("id").alias("_last"))
+    return videos.join(last, topic, "left").withColumn("id", F.coalesce("_last", F.lit(0)) + F.col("place")).drop("_last")
+
+
 def term_coverage(terms: DataFrame, sources: DataFrame, topic: list[str]) -> DataFrame:
     """terms (topic, term, ord) with coverage: how many sources hold all tokens of the term. Terms of none go, unless all are."""
     parts = terms.select(*topic, "term", "ord", F.array_distinct(tokens(F.col("term"), keep_stop=True)).alias("_p"))
     need = parts.select(*topic, "term", "ord", F.size("_p").alias("need"), F.explode("_p").alias("token"))
+    terms = terms.join(parts.where(F.size("_p") > 0).select(*topic, "term", "ord"), [*topic, "term", "ord"], "left_semi")
     held = sources.select(*topic, "source_id", F.explode(F.array_distinct(tokens(F.col("text"), keep_stop=True))).alias("token"))
     full = need.join(held, [*topic, "token"]).groupBy(*topic, "term", "ord", "source_id", "need").agg(F.count("*").alias("n")).where("n = need")
     counted = full.groupBy(*topic, "term", "ord").agg(F.count("*").alias("coverage"))
     out = terms.join(counted, [*topic, "term", "ord"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0)).cast("long"))
-    w = Window.partitionBy(*topic) if topic else Window.partitionBy(F.lit(0))
-    return out.withColumn("_any", F.max("coverage").over(w)).where("coverage > 0 or _any = 0").drop("_any")
+    any_ = counted.agg(F.max("coverage").alias("_any")) if not topic else counted.groupBy(*topic).agg(F.max("coverage").alias("_any"))
+    out = out.join(any_, topic, "left") if topic else out.crossJoin(F.broadcast(any_))  # any_ is one row
+    return out.where("coverage > 0 or _any is null").drop("_any")
 
 
 def video_score(terms: Column, title: Column, text: Column, seconds: Column, views: Column, channel: Column, url: Column) -> Column:
@@ -142,6 +149,11 @@ def budgeted_passages(scored: DataFrame, group: list[str], k: int, per_source: i
     return typed.join(taken, [*group, "source_id", "idx"]).select(*group, "source_id", F.col("idx").cast("int").alias("idx"), "text", "score")
 
 
+def in_source_order(chosen: DataFrame, group: list[str]) -> DataFrame:
+    """Chosen passages with at, their place in a group by source and index. A group has as many rows as were chosen for it."""
+    return chosen.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("source_id", "idx")))
+
+
 def extractive(passages: DataFrame, group: list[str], n: int = 4) -> DataFrame:
     """A body of the n best passages: excerpts with their source's tag, without a leading heading."""
     from ..functions.text import excerpt

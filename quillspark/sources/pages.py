@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,6 +149,29 @@ def parse_results(page: str | None, base: str = "https://duckduckgo.com") -> lis
     return out
 
 
+def parse_lite(page: str | None, base: str = "https://duckduckgo.com") -> list[tuple[str, str, str]]:
+    """(href, title, body) of the plain search page: links, each with the snippet that stands before the next link."""
+    parts = re.split(r"(?=<a\b[^>]*\bresult-link\b)", page or "")[1:]
+    text = lambda x: _squash(html.unescape(re.sub(r"<[^>]*>", "", x)))
+    out = []
+    for part in parts:
+        href = re.search(r"""href=["']([^"']*)["']""", part)
+        name = re.match(r"(?s)<a\b[^>]*>(.*?)</a>", part)
+        body = re.search(r"""(?s)class=["'][^"']*result-snippet[^"']*["'][^>]*>(.*?)</td>""", part)
+        if href and name:
+            out.append((search_target(href[1], base), text(name[1]), text(body[1]) if body else ""))
+    return out
+
+
+@F.pandas_udf(RESULTS)
+def lite_results(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: [{"href": h, "title": t, "body": b} for h, t, b in parse_lite(p)])
+
+
+def asks_for_captcha(page: Column) -> Column:
+    return page.rlike("(?i)anomaly|captcha|unusual traffic")
+
+
 @F.pandas_udf(RESULTS)
 def search_results(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: [{"href": h, "title": t, "body": b} for h, t, b in parse_results(p)])
@@ -191,21 +214,23 @@ def videos(pages: pd.Series) -> pd.Series:
     return pages.map(parse_videos)
 
 
-def robots_rules(robots: DataFrame) -> DataFrame:
-    """origin, agent, allow, pattern: the rules of robots.txt bodies (origin, body), agents in lower case."""
-    lines = F.transform(F.split(F.coalesce("body", F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*", "")))
-    pairs = F.filter(F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^([A-Za-z-]+)\s*:", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[A-Za-z-]+\s*:(.*)$", 1)).alias("v"))), lambda p: p["k"].isin("user-agent", "allow", "disallow"))
-    kind = "struct<agents:array<string>,open:boolean,out:array<struct<agent:string,allow:boolean,pattern:string>>>"
-    begin = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(False).alias("open"), F.array().cast("array<struct<agent:string,allow:boolean,pattern:string>>").alias("out")).cast(kind)
+def robots_lines(robots: DataFrame) -> DataFrame:
+    """origin, pos, field, value, part: the field lines of robots.txt bodies (origin, body); a part begins with the first of adjacent agent lines. 0: before any."""
+    line = r"^([A-Za-z-]+)\s*:\s*(.*)$"
+    raw = robots.select("origin", F.posexplode(F.split(F.coalesce("body", F.lit("")), r"\r?\n")).alias("pos", "raw")).withColumn("raw", F.trim(F.regexp_replace("raw", "#.*", ""))).where(F.col("raw").rlike(line))
+    fields = raw.select("origin", "pos", F.lower(F.regexp_extract("raw", line, 1)).alias("field"), F.trim(F.regexp_extract("raw", line, 2)).alias("value"))
+    w = Window.partitionBy("origin").orderBy("pos")  # a file's lines
+    begins = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(w), F.lit("")) != "user-agent")
+    return fields.withColumn("_b", begins.cast("int")).withColumn("part", F.sum("_b").over(w)).drop("_b")
 
-    def step(a: Column, p: Column) -> Column:
-        agent = F.array(F.lower(p["v"]))
-        named = F.struct(F.when(a["open"], F.concat(a["agents"], agent)).otherwise(agent).alias("agents"), F.lit(True).alias("open"), a["out"].alias("out"))
-        rule = F.struct(a["agents"].alias("agents"), F.lit(False).alias("open"), F.concat(a["out"], F.transform(a["agents"], lambda g: F.struct(g.alias("agent"), (p["k"] == "allow").alias("allow"), p["v"].alias("pattern")))).alias("out"))
-        return F.when(p["k"] == "user-agent", named).otherwise(rule).cast(kind)
 
-    rows = robots.select("origin", F.explode(F.aggregate(pairs, begin, step)["out"]).alias("r"))
-    return rows.select("origin", "r.agent", "r.allow", "r.pattern").where("pattern <> ''")
+def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """origin, allow, pattern: the rules for an agent, of the first part that names it, else of the first for ``*``. A part without rules allows all."""
+    lines = robots_lines(robots)
+    at = lambda name: F.min(F.when(F.lower("value") == name, F.col("part")))
+    mine = lines.where("field = 'user-agent'").groupBy("origin").agg(F.coalesce(at(agent.lower()), at("*")).alias("part")).where("part is not null")
+    rules = lines.where("field in ('allow', 'disallow') and value <> '' and part > 0").select("origin", "part", (F.col("field") == "allow").alias("allow"), F.col("value").alias("pattern"))
+    return rules.join(mine, ["origin", "part"]).drop("part")
 
 
 def pattern_regex(pattern: Column) -> Column:
@@ -215,17 +240,28 @@ def pattern_regex(pattern: Column) -> Column:
 
 
 def allowed_by_robots(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """urls (origin, path) with allowed: the longest rule of the agent's group, else of ``*``; ties allow, as do missing rules."""
-    rules = robots_rules(robots)
-    own = rules.where(F.col("agent") == agent.lower())
-    chosen = own.unionByName(rules.where("agent = '*'").join(own.select("origin").distinct(), "origin", "left_anti"))
+    """urls (origin, path) with allowed: the longest rule for the agent; ties allow, as do missing rules."""
+    chosen = robots_rules(robots, agent)
     met = urls.select("origin", "path").distinct().join(chosen, "origin").where(F.rlike("path", pattern_regex(F.col("pattern"))))
     best = met.groupBy("origin", "path").agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("allow"))
     return urls.join(best, ["origin", "path"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
 
 
-def page_gate(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Pages worth reading by their address alone: public hosts, no binary files. Done before any page is parsed."""
-    from ..functions.urls import is_binary, is_private_host
+def page_gate(pages: DataFrame, url: str = "url", robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
+    """Pages worth reading by their address alone: public hosts, no binary files, and none that robots rules (origin, body) refuse. Done before any page is parsed."""
+    from ..functions.urls import is_binary, is_private_host, origin, path_query
+
+    able = pages.where(~is_private_host(F.col(url)) & ~is_binary(F.col(url)))
+    if robots is None:
+        return able
+    asked = able.select(F.col(url), origin(F.col(url)).alias("origin"), path_query(F.col(url)).alias("path")).distinct()
+    return able.join(allowed_by_robots(asked, robots, agent).where("not allowed").select(url), url, "left_anti")
+
+
+def readable(pages: DataFrame, url: str = "url", robots: DataFrame | None = None, agent: str = "*", most: int = 20_000) -> DataFrame:
+    """Captured pages (url, html) that pass the gate and aren't dead, with title, date and text cut to the fixed size of pages."""
+    from ..functions.safety import looks_dead
 
-    return pages.where(~is_private_host(F.col(url)) & ~is_binary(F.col(url)))
+    parsed = page_gate(pages, url, robots, agent).withColumn("_p", page_text(F.col("html")))
+    text = F.substring(F.trim("_p.text"), 1, most)
+    return parsed.withColumns({"title": F.col("_p.title"), "date": F.col("_p.date"), "text": text}).drop("_p").where(~looks_dead(F.col("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.media import parse_date
@@ -10,6 +10,8 @@ from ..functions.text import authors_line, clean_wiki_extract, keyword_terms, sq
 from ..functions.urls import with_trust
 from .pages import html_to_text
 
+# Publishers where a payload names none.
+PREPRINTS, NEWS = "arXiv (preprint, not peer-reviewed)", "Google News"
 SOURCE = ["topic_id", "pos", "kind", "provider", "title", "url", "text", "date", "authors", "publisher"]
 
 
@@ -34,6 +36,11 @@ def _trusted(sources: DataFrame, least: float = 0.0) -> DataFrame:
     return found.withColumn("trust", F.greatest(F.lit(least), "trust"))
 
 
+def _first(rows: DataFrame, most: int) -> DataFrame:
+    """The first accepted rows of each topic, with their places among these."""
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("topic_id").orderBy("pos")) - 1).where(F.col("pos") < most)
+
+
 def wikipedia(payloads: DataFrame, most: int) -> DataFrame:
     """Articles of extract answers, without empty and disambiguation pages."""
     schema = "struct<query:struct<pages:map<string,struct<pageid:long,title:string,fullurl:string,extract:string>>>>"
@@ -43,8 +50,6 @@ def wikipedia(payloads: DataFrame, most: int) -> DataFrame:
     from ..operators.dedup import first_of_each
 
     first = first_of_each(good, ["topic_id", "p.title"], ["ord", "k"])
-    from pyspark.sql import Window
-
     placed = first.withColumn("pos", F.row_number().over(Window.partitionBy("topic_id").orderBy("ord", "k"))).where(F.col("pos") <= most)
     url = F.coalesce("p.fullurl", F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("p.title", F.lit(" "), F.lit("_"))))
     return _trusted(_sources(placed, "encyclopedia", "Wikipedia", title=F.col("p.title"), url=url, text=F.col("text"), publisher=F.lit("Wikipedia")))
@@ -60,8 +65,8 @@ def arxiv(payloads: DataFrame, most: int) -> DataFrame:
 
     entries = payloads.select("topic_id", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<entry[^>]*>(.*?)</entry>"), F.lit(1))).alias("pos", "e")).withColumn("e", F.concat(F.lit("<e>"), "e", F.lit("</e>")))
     entries = entries.withColumns({"title": at("e", "title"), "summary": at("e", "summary"), "id": F.regexp_replace(at("e", "id"), "^http:", "https:"), "published": at("e", "published"), "names": F.xpath("e", F.lit("/e/*[local-name()='author']/*[local-name()='name']/text()"))})
-    good = entries.where("title <> '' and summary <> '' and id <> ''").where(F.col("pos") < most)
-    return _trusted(_sources(good, "academic", "arXiv", title=F.col("title"), url=F.col("id"), text=F.col("summary"), date=F.substring("published", 1, 10), authors=authors_line(F.col("names")), publisher=F.lit("arXiv"), preprint=F.lit(True)))
+    good = _first(entries.where("title <> '' and summary <> '' and id <> ''"), most)
+    return _trusted(_sources(good, "academic", "arXiv", title=F.col("title"), url=F.col("id"), text=F.col("summary"), date=F.substring("published", 1, 10), authors=authors_line(F.col("names")), publisher=F.lit(PREPRINTS), preprint=F.lit(True)))
 
 
 def abstract_from_index(index: Column) -> Column:
@@ -81,8 +86,6 @@ def openalex(payloads: DataFrame, most: int) -> DataFrame:
     rows = works.select(
         "topic_id", "pos", F.col("w.title").alias("title"), F.coalesce(nz("w.doi"), nz("w.primary_location.landing_page_url"), nz("w.id")).alias("url"), abstract_from_index(F.col("w.abstract_inverted_index")).alias("text"),
         F.col("w.publication_year").cast("string").alias("date"), F.transform("w.authorships", lambda a: a["author"]["display_name"]).alias("names"), F.col("w.primary_location.source.display_name").alias("publisher"), F.col("w.cited_by_count").alias("cited_by"), F.col("w.type").alias("type"))
-    from pyspark.sql import Window
-
     good = rows.where("coalesce(title, '') <> '' and coalesce(text, '') <> '' and url is not null")
     best = good.withColumn("_r", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.coalesce("cited_by", F.lit(0)).desc(), "pos"))).where(F.col("_r") <= most).withColumn("pos", F.col("_r"))
     made = _sources(best, "academic", "OpenAlex", title=F.col("title"), url=F.col("url"), text=F.col("text"), date=F.col("date"), authors=authors_line(F.col("names")), publisher=F.col("publisher"), cited_by=F.coalesce("cited_by", F.lit(0)), type=F.col("type"))
@@ -108,13 +111,14 @@ def google_news(payloads: DataFrame, most: int) -> DataFrame:
     items = payloads.select("topic_id", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<item>.*?</item>"), F.lit(0))).alias("pos", "x"))
     at = lambda n: F.coalesce(F.xpath_string("x", F.lit(f"/item/{n}")), F.lit(""))
     rows = items.select("topic_id", "pos", at("title").alias("full"), at("link").alias("url"), at("pubDate").alias("pub"), at("source").alias("publisher"), html_to_text(at("description")).alias("snippet"))
-    title = F.when((F.col("publisher") != "") & F.col("full").endswith(F.concat(F.lit(" - "), "publisher")), F.expr("substring(full, 1, length(full) - length(publisher) - 3)")).otherwise(F.col("full"))
-    rows = rows.withColumn("title", title)
-    rest = F.when(F.col("snippet").startswith(F.col("title")), F.expr("substring(snippet, length(title) + 1)")).otherwise(F.col("snippet"))
-    short = F.regexp_replace(rest, r"^[\s–—-]+", "")
-    text = F.when((short == F.col("publisher")) | (short == ""), F.col("title")).otherwise(short)
-    good = rows.where("title <> '' and url <> ''").where(F.col("pos") < most)
-    return _sources(good, "news", "Google News", title=F.col("title"), url=F.col("url"), text=text, date=parse_date(F.col("pub")), publisher=F.col("publisher")).withColumn("trust", F.lit(0.6))
+    rows = rows.withColumn("publisher", F.when(F.col("publisher") == "", NEWS).otherwise(F.col("publisher")))
+    named = (F.col("publisher") != NEWS) & F.col("full").endswith(F.concat(F.lit(" - "), "publisher"))
+    rows = rows.withColumn("title", F.when(named, F.trim(F.expr("substring(full, 1, length(full) - length(publisher) - 3)"))).otherwise(F.col("full")))
+    dashes = r"^[\s\u2013\u2014-]+|[\s\u2013\u2014-]+\z"
+    rest = F.when(F.col("snippet").startswith(F.col("title")), F.regexp_replace(F.expr("substring(snippet, length(title) + 1)"), dashes, "")).otherwise(F.col("snippet"))
+    text = F.when(rest.isin("") | (rest == F.col("publisher")), F.col("title")).otherwise(rest)
+    good = _first(rows.where("full <> '' and url <> ''"), most)
+    return _sources(good, "news", NEWS, title=F.col("title"), url=F.col("url"), text=text, date=parse_date(F.col("pub")), publisher=F.col("publisher")).withColumn("trust", F.lit(0.6))
 
 
 def gdelt(payloads: DataFrame, most: int) -> DataFrame:

@@ -101,11 +101,18 @@ def describe_flag() -> Column:
 
 
 def verification(checked: DataFrame, report: list[str], most: int = 8) -> DataFrame:
-    """report, checked, flagged, distinct_flagged, lines: counts, and the first flags of different sentences."""
+    """report, checked, flagged, distinct_flagged, lines, summary: counts, the first flags of different sentences, and the line that tells the counts."""
     rows = checked.withColumn("text", describe_flag())
     counts = rows.groupBy(*report).agg(F.count("*").alias("checked"), F.sum(F.col("flagged").cast("long")).alias("flagged"), F.count_distinct(F.when(F.col("flagged"), F.col("sentence"))).alias("distinct_flagged"))
     flags = rows.where("flagged").groupBy(*report, "sentence").agg(F.min(F.struct("text_ord", "ord", "text")).alias("f"))
     w = Window.partitionBy(*report).orderBy("f")
     first = flags.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= most)
     lines = first.groupBy(*report).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col("f.text").alias("text")))), lambda x: x["text"]).alias("lines"))
-    return counts.join(lines, report, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+    return counts.join(lines, report, "left").withColumns({"lines": F.coalesce("lines", F.array().cast("array<string>")), "summary": counts_line()})
+
+
+def counts_line() -> Column:
+    # Fixed value: the wording.
+    return F.format_string(
+        "%d of %d cited sentences have strong word overlap with the source they cite; %d distinct sentence(s) are flagged below for you to check against the source.",
+        F.col("checked") - F.col("flagged"), F.col("checked"), F.col("distinct_flagged"))

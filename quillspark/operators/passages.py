@@ -81,10 +81,19 @@ def windows(segments: Column, seconds: int = 30) -> Column:
     return F.aggregate(segments, begin, step, lambda a: F.when(F.size(a["parts"]) > 0, F.concat(a["lines"], F.array(line(a["start"], a["parts"])))).otherwise(a["lines"]))
 
 
+def thin_step(lines: Column, max_chars: int) -> Column:
+    """1, or how many lines stand for one where all of them, with their line ends, are longer than max_chars."""
+    total = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x) + 1)
+    return F.greatest(F.lit(1), F.ceil(total / max_chars)).cast("int")
+
+
+def thinned(lines: Column, max_chars: int) -> Column:
+    """Every n-th of the lines, from the first."""
+    step = thin_step(lines, max_chars)
+    return F.filter(lines, lambda x, i: i % step == 0)
+
+
 def timestamped_text(segments: Column, max_chars: int = 9000, seconds: int = 30) -> Column:
     """Timed lines of a transcript; if they are too long, every n-th of them."""
     lines = F.transform(windows(segments, seconds), lambda w: F.concat(F.lit("["), fmt_timestamp(w["start"]), F.lit("] "), w["text"]))
-    total = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x) + 1)
-    step = F.greatest(F.lit(1), F.ceil(total / max_chars)).cast("int")
-    kept = F.filter(lines, lambda x, i: i % step == 0)
-    return F.substring(F.array_join(kept, "\n"), 1, max_chars)
+    return F.substring(F.array_join(thinned(lines, max_chars), "\n"), 1, max_chars)

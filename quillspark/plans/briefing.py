@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONTEXT_CHARS, PER_SOURCE, PROFILES, SECTIONS, Profile
 from ..functions.safety import explicit_hits, is_explicit_source, is_relevant
-from ..functions.text import kind_label
+from ..functions.text import excerpt, kind_label
 from ..operators.citations import support_check, verification
-from ..operators.dedup import greedy_two_key
+from ..operators.dedup import first_of_each, greedy_two_key
 from ..operators.passages import passages
-from ..operators.ranking import bm25, budgeted_passages, dense_ids, extractive, relevance, source_rank, top_per_kind
+from ..operators.protocols import parse_video
+from ..operators.ranking import bm25, budgeted_passages, dense_ids, extractive, relevance, source_rank, term_coverage, top_per_kind
+from ..sources.shared import kept as kept_
 
 TOPIC = ["topic_id"]
 
 
+def allowed(topic: Column) -> Column:
+    """Whether a topic is explicit itself, so that explicit sources may stay."""
+    return explicit_hits(topic) > 0
+
+
 def gather(sources: DataFrame, topics: DataFrame, this_year: int, profile: Profile = PROFILES["standard"]) -> DataFrame:
     """Ranked sources with ids. sources: of every provider, with ord; topics: topic_id, topic, terms.
 
-    Explicit sources go (unless the topic itself is), then irrelevant ones, then repeats; the rest is ranked and cut per kind.
+    Explicit sources go (unless the topic itself is), then irrelevant ones, then repeats; the rest is ranked and cut per kind. The result is
+    small, some rows of each kind, and is read by every later step, so it is written once.
     """
-    rows = sources.join(topics.select(*TOPIC, "terms", (explicit_hits(F.col("topic")) > 0).alias("_allowed")), TOPIC)
+    rows = sources.join(topics.select(*TOPIC, "terms", allowed(F.col("topic")).alias("_allowed")), TOPIC)
     clean = rows.where(F.col("_allowed") | ~is_explicit_source(F.col("title"), F.col("text"), F.col("publisher")))
     kept = greedy_two_key(clean.where(is_relevant(F.col("kind"), F.col("terms"), F.col("title"), F.col("text"))), TOPIC)
     scored = kept.withColumn("relevance", relevance(F.col("terms"), F.col("title"), F.col("text")))
     ranked = scored.withColumn("rank", source_rank(F.col("trust"), F.col("relevance"), F.col("date"), F.col("cited_by"), this_year))
-    return dense_ids(top_per_kind(ranked, profile.caps(), TOPIC), TOPIC).drop("_allowed", "terms")
+    return kept_(dense_ids(top_per_kind(ranked, profile.caps(), TOPIC), TOPIC).drop("_allowed", "terms"), "sources")
+
+
+def removed_sources(sources: DataFrame, topics: DataFrame) -> DataFrame:
+    """topic_id, removed, warning: how many sources the filter of explicit ones takes out, for topics where it takes any."""
+    rows = sources.join(topics.select(*TOPIC, allowed(F.col("topic")).alias("_allowed")), TOPIC)
+    n = rows.groupBy(*TOPIC).agg(F.count_if(~F.col("_allowed") & is_explicit_source(F.col("title"), F.col("text"), F.col("publisher"))).alias("removed"))
+    return n.where("removed > 0").withColumn("warning", F.concat(F.col("removed").cast("string"), F.lit(" source(s) removed by the adult-content filter")))
 
 
 def section_table(spark, names=tuple(SECTIONS)) -> DataFrame:
@@ -44,17 +59,55 @@ def feasible(sections: DataFrame, sources: DataFrame) -> DataFrame:
 def retrieve(sources: DataFrame, topics: DataFrame, sections: DataFrame, profile: Profile = PROFILES["standard"], max_chars: int = CONTEXT_CHARS["hosted"]) -> DataFrame:
     """topic_id, section, source_id, idx, text, score: the passages of each section.
 
-    Texts are split and tokenised once. Sections differ by their pools of kinds and their hints; all go through one BM25 job.
+    Texts are split once. Sections differ by their pools of kinds and their hints; all go through one BM25 job.
     """
-    parts = passages(sources.select(*TOPIC, F.col("id").cast("long").alias("source_id"), "kind", "text"), [*TOPIC, "source_id", "kind"])
     pools = feasible(sections, sources)
     kinds = sections.select("section", F.explode("kinds").alias("kind"))
-    pooled = parts.join(F.broadcast(kinds), "kind").join(pools.select(*TOPIC, "section"), [*TOPIC, "section"], "left_semi")
+    pooled = split_sources(sources).join(F.broadcast(kinds), "kind").join(pools.select(*TOPIC, "section"), [*TOPIC, "section"], "left_semi")  # eight sections
     queries = pools.join(topics.select(*TOPIC, "topic"), TOPIC).select(*TOPIC, "section", F.concat_ws(" ", "topic", "hint").alias("query"))
-    keys = [*TOPIC, "section", "source_id", "idx"]
-    hits = bm25(pooled, queries, keys, [*TOPIC, "section"], [])
+    return _best(pooled, queries, [*TOPIC, "section"], profile.passages, max_chars)
+
+
+def split_sources(sources: DataFrame) -> DataFrame:
+    """topic_id, source_id, kind, idx, text: passages, written once."""
+    return kept_(passages(sources.select(*TOPIC, F.col("id").cast("long").alias("source_id"), "kind", "text"), [*TOPIC, "source_id", "kind"]), "passages")
+
+
+def _best(pooled: DataFrame, queries: DataFrame, pool: list[str], k: int, max_chars: int) -> DataFrame:
+    keys = [*pool, "source_id", "idx"]
+    hits = bm25(pooled, queries, keys, pool, [])
     scored = pooled.select(*keys, "text").join(hits, keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return budgeted_passages(scored, [*TOPIC, "section"], profile.passages, PER_SOURCE, max_chars, pooled)
+    return budgeted_passages(scored, pool, k, PER_SOURCE, max_chars, pooled)
+
+
+def glossary_terms(sources: DataFrame, terms: DataFrame, profile: Profile = PROFILES["standard"]) -> DataFrame:
+    """topic_id, term, ord, coverage, place: the planned terms (topic_id, term, ord) that most sources cover, half as many again as the glossary holds."""
+    once = first_of_each(terms, [*TOPIC, F.lower("term")], ["ord"])
+    covered = term_coverage(once.select(*TOPIC, "term", "ord"), sources.select(*TOPIC, F.col("id").alias("source_id"), "text"), TOPIC)
+    w = Window.partitionBy(*TOPIC).orderBy(F.desc("coverage"), "ord")
+    return covered.withColumn("place", F.row_number().over(w)).where(F.col("place") <= profile.glossary_terms * 3 // 2)
+
+
+def glossary_passages(sources: DataFrame, topics: DataFrame, terms: DataFrame, profile: Profile = PROFILES["standard"], max_chars: int = CONTEXT_CHARS["hosted"]) -> DataFrame:
+    """topic_id, source_id, idx, text, score: passages for the glossary, of all kinds of sources."""
+    ranked = glossary_terms(sources, terms, profile)
+    listed = ranked.groupBy(*TOPIC).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda t: t["term"]), " ").alias("_terms"))
+    queries = topics.select(*TOPIC, "topic").join(listed, TOPIC, "left").select(*TOPIC, F.concat_ws(" ", "topic", F.lit("definition meaning"), "_terms").alias("query"))
+    return _best(split_sources(sources), queries, TOPIC, profile.passages + 2, max_chars)
+
+
+def video_entries(videos: DataFrame, replies: DataFrame, profile: Profile = PROFILES["standard"]) -> DataFrame:
+    """topic_id, id, summary, points, basis. videos: topic_id, id, place, text, duration, has_transcript; replies: topic_id, id, reply.
+
+    A reply counts for the first places of a topic, where there is a transcript and the reply has a summary; else the description's start is told.
+    """
+    met = videos.join(replies.select(*TOPIC, "id", "reply"), [*TOPIC, "id"], "left").withColumn("_v", parse_video(F.col("reply"), F.coalesce("duration", F.lit(0))))
+    told = (F.col("place") <= profile.transcripts) & F.col("has_transcript") & F.col("reply").isNotNull() & (F.col("_v.summary") != "")
+    about = F.when(F.coalesce("text", F.lit("")) != "", excerpt(F.col("text"), 280)).otherwise("No description available.")
+    tag = F.concat(F.lit(" [S"), F.col("id").cast("string"), F.lit("]"))
+    return met.select(
+        *TOPIC, "id", F.concat(F.when(told, F.col("_v.summary")).otherwise(about), tag).alias("summary"), F.when(told, F.col("_v.points")).otherwise(F.slice("_v.points", 1, 0)).alias("points"),
+        F.when(told, "transcript").otherwise("description").alias("basis"))
 
 
 def evidence(chosen: DataFrame, sources: DataFrame) -> DataFrame:

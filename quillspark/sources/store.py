@@ -98,7 +98,7 @@ def ordinal_pick(topics: DataFrame, seen: DataFrame, day: str) -> DataFrame:
     return listed_.where(F.size("l") > 0).select(F.element_at("l", turn + 1)["topic"].alias("topic"))
 
 
-def thinned(rows: DataFrame, order: list[str], step: int) -> DataFrame:
-    """Every step-th row in order, from the first."""
-    w = Window.partitionBy().orderBy(*order)
-    return rows.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") % step == 0).drop("_i")
+def summary(sources: DataFrame, refs: DataFrame, report: list[str]) -> DataFrame:
+    """report, cited, total: how many sources a report cites and has."""
+    total = sources.groupBy(*report).agg(F.count("*").alias("total"))
+    return total.join(refs.groupBy(*report).agg(F.count("*").alias("cited")), report, "left").select(*report, F.coalesce("cited", F.lit(0)).cast("long").alias("cited"), "total")

@@ -255,12 +255,6 @@ def t32_next_run(spark, d):
 
 
 # ---- predicates --------------------------------------------------------------------------------------
-@query(f"WITH p AS (SELECT page_id, {HOST_SQL} AS h FROM pages) SELECT page_id FROM p WHERE NOT EXISTS (SELECT 1 FROM {TRUST_SQL} WHERE class = 'low' AND {MATCH_SQL})")
-def f02_blocked_anti(spark, d):
-    blocked = _trust(spark).where("class = 'low'").withColumn("class", F.lit("blocked"))
-    return urls.with_trust(table(spark, d, "pages").select("page_id", "url"), "url", blocked).where("not blocked").select("page_id")
-
-
 @query("SELECT doc_id FROM documents WHERE length(text) < 600 OR " + " OR ".join(f"contains(lower(left(text, 500)), {quoted(m)})" for m in DEAD_MARKERS))
 def f03_looks_dead(spark, d):
     return table(spark, d, "documents").where(safety.looks_dead(F.col("text"))).select("doc_id")
@@ -271,11 +265,6 @@ def f04_binary(spark, d):
     return table(spark, d, "pages").select("page_id", urls.is_binary(F.col("url")).alias("is_binary"))
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(?:{EXPLICIT_WORDS})\\b')) AS hits FROM documents")
-def f07_explicit(spark, d):
-    return table(spark, d, "documents").select("doc_id", safety.explicit_hits(F.col("text")).cast("long").alias("hits"))
-
-
 @query(f"SELECT doc_id FROM documents WHERE doc_id % 4 NOT IN (2, 3) OR {hits_sql(TERMS_SQL, 'left(text, 60)')} >= 1 OR {hits_sql(TERMS_SQL, 'left(text, 1500)')} >= 2")
 def f01_relevant(spark, d):
     kinds = F.array(*map(F.lit, ("encyclopedia", "web", "academic", "news")))
@@ -386,11 +375,6 @@ def r09_pick_videos(spark, d):
 
 
 # ---- joins, dedup, store -----------------------------------------------------------------------------
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def j03_consulted_anti(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
-
-
 @query()
 def d02_greedy_dedup(spark, d):
     rows = table(spark, d, "pages").select(F.lit(1).alias("topic_id"), F.col("page_id").alias("ord"), "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
@@ -452,11 +436,6 @@ def c05_apply_mapping(spark, d):
     return spark.createDataFrame([("x [S7] y [S3][S7] [S8]",)], "t string").select(citations.apply_mapping(F.col("t"), m).alias("text"))
 
 
-@query(f"""SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\n'), lambda x: x <> '')) AS lines FROM conversations""")
-def c06_lines(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long").alias("lines"))
-
-
 @query()
 def c07_support_check(spark, d):
     """Every sentence of every document, each tagged with the document of the next doc_id (the smallest, where there is none)."""
@@ -569,3 +548,6 @@ def k08_anki(spark, d):
     reports = spark.createDataFrame([(1, "My topic")], "id int, topic string")
     cards = spark.createDataFrame([(1, 0, 0, "A & B", "def [2]"), (1, 1, 0, "q?", "a\nb")], "id int, part int, ord int, front string, back string")
     return render.anki(reports, cards, ["id"]).select("tsv")
+
+
+from . import queries_briefing  # noqa: E402, F401  (adds to QUERIES and SQL)

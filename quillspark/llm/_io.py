@@ -53,6 +53,6 @@ def written(df: DataFrame, what: str, used: Iterable[DataFrame] = ()) -> DataFra
     return out
 
 
-def tidy(spark: SparkSession) -> None:
+def sweep(spark: SparkSession) -> None:
     """Has the driver drop what finished steps leave: their plans, and the shuffles and broadcasts that executors hold as long as these live."""
     spark.sparkContext._jvm.System.gc()

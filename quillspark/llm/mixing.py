@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import tidy, written
+from ._io import sweep, written
 from ._scan import running
 
 EPOCHS = 4
@@ -132,7 +132,7 @@ def _budgets(leaves: DataFrame, ratio: float, weights: Mapping[tuple[str, ...],
             nodes = nodes.withColumn("weight", F.lit(None).cast("double"))
         rows = nodes.join(above, parent).withColumns({"weight": F.coalesce("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE))), "most": epochs * F.col("n")})
         above = written(_dealt(rows, parent, key).select(*parent, key, F.col("given").alias("budget")), "budgets")
-        tidy(spark)
+        sweep(spark)
     return leaves.join(above.drop(f"{_P}root"), path)
 
 
@@ -149,7 +149,7 @@ def _cuts(light: DataFrame, leaves: DataFrame) -> DataFrame:
         before = F.coalesce(F.sum("n").over(Window.partitionBy(*path).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 2 ** BITS rows a leaf
         end = sums.withColumn("before", before).where("before < rest and before + n >= rest").select(*path, F.col("bucket").alias("end"), "before")
         left = written(left.join(end, path).where(bucket == F.col("end")).withColumn("rest", F.col("rest") - F.col("before")).drop("end", "before"), "edge")
-        tidy(light.sparkSession)
+        sweep(light.sparkSession)
     order = Window.partitionBy(*path).orderBy("h", "id", "n")
     equal = Window.partitionBy(*path, "h", "id", "n")
     run = left.withColumn("_done", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

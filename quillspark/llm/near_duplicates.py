@@ -17,7 +17,7 @@ classes that matches often enough, which leaves no link out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import stars
-from ._io import written
+from ._io import sweep, written
 from ._text import Words, groups, mix, slices, tidy
 
 SKETCH = 18
@@ -174,9 +174,9 @@ def _may_reach(percent: int):
     return (100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (x, y) of doc_ids, those whose whole sets link, written as (a, b)."""
-    pairs = written(pairs, "candidates")
+def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, used: Iterable[DataFrame] = ()) -> DataFrame:
+    """Of pairs (x, y) of doc_ids, those whose whole sets link, written as (a, b). The folders of used, from which pairs come, go."""
+    pairs = written(pairs, "candidates", used)
     ids = written(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct(), "ids")
     # Up to SENT_IDS ids go to every task, so that only the texts that are compared are shuffled; more are joined by shuffle.
     few = ids.count() <= SENT_IDS
@@ -220,17 +220,20 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, hot_level: int =
     shared = every.withColumn("together", F.count("*").over(of)).where("together > 1 or spread").drop("together")
     # kept: how many shingles of the document's prefix before this one others have too.
     shared = written(shared, "postings")
-    rows = shared.withColumns({"kept": (F.row_number().over(Window.partitionBy("doc").orderBy("at")) - 1).cast("int"), "class": F.col("doc")})
-    links, turn, documents, old = None, 0, max(1, summaries.count()), shared
+    rows = written(shared.withColumns({"kept": (F.row_number().over(Window.partitionBy("doc").orderBy("at")) - 1).cast("int"), "class": F.col("doc")}), "open", [shared])
+    sweep(docs.sparkSession)
+    links, turn, documents = None, 0, max(1, summaries.count())
     while True:
-        found = verified(docs, _star_pairs(_starred(rows, turn), percent), size, percent)
+        starred = written(_starred(rows, turn), "starred")
+        found = verified(docs, _star_pairs(starred, percent), size, percent, [starred])
         new = found.count()
         links = stars(found if links is None else links.unionByName(found), [found] if links is None else [found, links])
         known = links.select(F.col("a").alias("doc"), F.col("b").alias("class"))
-        rows = rows.drop("class").join(known, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
-        mixed = rows.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
-        rows = written(rows.join(mixed, "token", "left_semi"), "open", [old])
-        turn, old = turn + 1, rows
+        classed = written(rows.drop("class").join(known, "doc", "left").withColumn("class", F.coalesce("class", "doc")), "classed", [rows])
+        mixed = classed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
+        rows = written(classed.join(mixed, "token", "left_semi"), "open", [classed])
+        sweep(docs.sparkSession)
+        turn += 1
         if turn == TURNS or new <= WORTH * documents or _pairs_across(rows) <= PAIRS_A_DOCUMENT * documents:
             break
     # Both sides are read from the shared folder, so the runtime divides the posting of a hot shingle on either side (a skewed join).

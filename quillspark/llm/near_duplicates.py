@@ -238,8 +238,9 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, hot_level: int =
             break
     # Both sides are read from the shared folder, so the runtime divides the posting of a hot shingle on either side (a skewed join).
     side = lambda k, token: rows.select(F.col("token").alias(token), F.col("doc").alias(k), *(F.col(c).alias(f"{c[0]}{k}") for c in ("n", "g", "at", "kept")), F.col("ell").alias(f"l{k}"), F.col("class").alias(f"c{k}"))
-    x, y = side("x", "token"), side("y", "other")
-    across = x.join(y, (F.col("token") == F.col("other")) & (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & _may_reach(percent))
+    # All columns of both are renamed, so that the plan sees one exchange of the same rows and makes it once.
+    x, y = side("x", "held"), side("y", "other")
+    across = x.join(y, (F.col("held") == F.col("other")) & (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & _may_reach(percent))
     second = verified(docs, _matching(across, percent).where(_can_reach(percent)).select("x", "y"), size, percent)
 
     named = summaries.where("n > 0").select("doc_id", "n", "s1", "s2").join(copies, ["n", "s1", "s2"]).select("doc_id", "n", "rep")

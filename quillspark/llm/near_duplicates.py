@@ -174,13 +174,16 @@ def _may_reach(percent: int):
     return (100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Up to SENT_IDS ids go to every task, so that what is joined with them stays where it is; more are joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, used: Iterable[DataFrame] = ()) -> DataFrame:
     """Of pairs (x, y) of doc_ids, those whose whole sets link, written as (a, b). The folders of used, from which pairs come, go."""
     pairs = written(pairs, "candidates", used)
     ids = written(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct(), "ids")
-    # Up to SENT_IDS ids go to every task, so that only the texts that are compared are shuffled; more are joined by shuffle.
-    few = ids.count() <= SENT_IDS
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "compared", [ids])
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_sent(ids), "doc_id", "left_semi"), "compared", [ids])
     full = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
 
     def compare(batches):
@@ -256,9 +259,12 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, hot_level: int =
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each class, that of its smallest doc_id (of rows that repeat it, that of the least text); rows of null doc_id stay."""
     found = written(classes(docs, size, percent), "classes")
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    # Only rows that repeat a doc_id are shuffled.
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # Texts stay where they are while the ids are few, and are shuffled once otherwise. Rows of null doc_id never are.
+    marks = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("again")).where("gone or again")
+    marks = written(marks, "marks", [found])
+    named = docs.where("doc_id is not null")
+    once = named.join(_sent(marks.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    again = named.join(_sent(marks.where("again and not gone").select("doc_id")), "doc_id", "left_semi").select(docs.columns)
     rest = F.to_json(F.struct(*docs.columns))
-    first = kept.join(repeated, "doc_id", "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", rest))).where("_at = 1")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+    first = again.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", rest))).where("_at = 1")
+    return once.unionByName(first.select(docs.columns)).unionByName(docs.where("doc_id is null"))

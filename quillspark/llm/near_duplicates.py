@@ -259,7 +259,8 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, hot_level: int =
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each class, that of its smallest doc_id (of rows that repeat it, that of the least text); rows of null doc_id stay."""
     found = written(classes(docs, size, percent), "classes")
-    # Texts stay where they are while the ids are few, and are shuffled once otherwise. Rows of null doc_id never are.
+    # Texts stay where they are while the ids are few, and are shuffled once otherwise (again if ids that repeat are many too). Rows of null
+    # doc_id never are.
     marks = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("again")).where("gone or again")
     marks = written(marks, "marks", [found])
     named = docs.where("doc_id is not null")

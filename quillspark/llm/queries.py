@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, mixing, near_duplicates, nearest, personal_data, suffix_tree, token_files, toxicity
+from . import decontamination, divergence, exact_search, html_text, language_id, merkle, mixing, near_duplicates, nearest, personal_data, suffix_tree, token_files, toxicity
 from ._io import table
 
 
@@ -50,10 +50,22 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.documents_manifest(table(spark, sf_dir, "documents")))
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.exact_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The methods aren't SQL; tests/llm holds the queries against brute-force versions."""
-    return {}
+    """The other methods aren't SQL; tests/llm holds their queries against brute-force versions."""
+    return {"op11_manifest": merkle.SQL, "op12_exact_search": exact_search.SQL, "op13_divergence": divergence.SQL}

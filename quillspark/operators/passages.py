@@ -44,7 +44,7 @@ def split_passages(text: str | None, most: int = 900, least: int = 120) -> list[
     for piece, kind in _pieces(text or "", most, least):
         if room is None or kind == "full" or (kind == "block" and len(piece) > room):
             groups.append([])
-            room = most + 1
+            room = most
         groups[-1].append(piece)
         room = None if kind == "full" else room - len(piece) - 1
     made = ["\n".join(g) for g in groups]

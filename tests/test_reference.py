@@ -182,3 +182,45 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-02 00:00:00", 2)], "ns string, t string, v int").selectExpr("ns", "to_timestamp(t) t", "v").write.parquet(src)
     keep_latest(spark.readStream.schema("ns string, t timestamp, v int").parquet(src), str(tmp_path / "out"), str(tmp_path / "cp"), ["ns"], "t").awaitTermination()
     assert [r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+
+
+def test_passages_hold_the_line_feed():
+    """The line feed between two blocks counts: 450 and 450 with it are 901, one too many."""
+    assert [len(p) for p in split_passages("a" * 449 + "\n\n" + "b" * 450, 900)] == [900]
+    assert [len(p) for p in split_passages("a" * 450 + "\n\n" + "b" * 450, 900)] == [450, 450]
+    rng = random.Random(8)
+    for _ in range(300):
+        blocks = ["x" * rng.randint(1, 60) for _ in range(rng.randint(1, 12))]
+        assert all(len(p) <= 70 for p in split_passages("\n\n".join(blocks), 70, 1))
+
+
+def plain_greedy(data):
+    """data: (topic, ord, keys)."""
+    gone, seen = set(), set()
+    for topic, at, keys in sorted(data):
+        keys = {(topic, k) for k in keys}
+        if seen & keys:
+            gone.add((topic, at))
+        else:
+            seen |= keys
+    return gone
+
+
+@pytest.mark.parametrize("walk", [0, 7, 10**6])
+def test_dedup_in_turns(spark, walk):
+    """Against the walk: random rows, a chain that settles one link a turn, a title that a third of the rows share, and rows whose only key is shared."""
+    rng = random.Random(walk)
+    data = [(1, i, [f"u{rng.randint(0, 90)}", f"t{rng.randint(0, 90)}"]) for i in range(200)] + [(2, i, [f"k{i}", f"k{i + 1}"]) for i in range(12)]
+    data += [(3, i, [f"u{i // 2}", "t:" if i % 3 == 0 else f"t{i % 50}"]) for i in range(150)] + [(4, i, ["same"]) for i in range(30)] + [(5, 0, ["alone"]), (6, -4, ["a", "b"]), (6, 2**40, ["b", "c"]), (6, 2**41, ["c"])]
+    df = spark.createDataFrame(data, "topic_id int, ord bigint, keys array<string>").repartition(3)
+    got = [tuple(r) for r in dedup.first_independent(df, ["topic_id"], "ord", F.col("keys"), walk).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_greedy(data)
+
+
+def test_dedup_of_odd_rows(spark):
+    """No address: the title stands for it. Titles without letters share a key. No rows, no result."""
+    data = [(1, 0, None, "A b"), (1, 1, "", "a B"), (1, 2, "https://e.org/1", "!!"), (1, 3, "https://e.org/2", "??"), (1, 4, None, None), (1, 5, "https://www.e.org/1/", "other")]
+    df = spark.createDataFrame(data, "topic_id int, ord bigint, url string, title string").withColumn("_key", F.lit("clash"))
+    kept = dedup.greedy_two_key(df, ["topic_id"])
+    assert sorted(r["ord"] for r in kept.collect()) == [0, 2] and kept.columns == df.columns
+    assert dedup.greedy_two_key(df.limit(0), ["topic_id"]).count() == 0

@@ -40,14 +40,16 @@ class Pivots:
     sample: np.ndarray  # its vectors
 
 
-def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """x @ q in exact integers, held at the ends of 64 bits."""
+def exactly(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x and q as the smallest kind of number in which their products and all sums of these are exact."""
     most = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * x.shape[1]
-    if most < 2.0**53:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    if most < 2.0**62:
-        return x @ q
-    return np.clip(x.astype(object) @ q.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
+    kind = np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64 if most < 2.0**62 else object
+    return x.astype(kind), q.astype(kind)
+
+
+def _whole(score: np.ndarray) -> np.ndarray:
+    """Products as 64-bit integers, held at the ends of these."""
+    return (np.clip(score, -(2**63), 2**63 - 1) if score.dtype == object else score).astype(np.int64)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -77,20 +79,24 @@ def bounds(far: np.ndarray, norm: np.ndarray, q_far: np.ndarray, q_norm: float)
 
 
 def best(x: np.ndarray, ids: np.ndarray, top: np.ndarray, q: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, products, evaluated): the k largest products of at least ``least``, ties to smaller ids; candidates are taken by top, their bounds, until these fall short."""
+    """(ids, products, evaluated): the k largest products of at least ``least``, ties to smaller ids; candidates are taken by top, their bounds, until these fall short.
+
+    x and q: as exactly() gives them.
+    """
     over = np.flatnonzero(top >= least)
     over = over[np.argsort(-top[over], kind="stable")]
     got, score, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 8 * k
     while at < len(over) and top[over[at]] >= least:
         take = over[at : at + step]
-        got, score = np.concatenate((got, ids[take])), np.concatenate((score, _products(x[take], q)))
-        keep = np.lexsort((got, -score))[:k] if score.min(initial=0) > -(2**63) else np.array(sorted(range(len(got)), key=lambda i: (-int(score[i]), got[i]))[:k])
+        new = _whole(x[take] @ q)
+        reach = new >= least
+        got, score = np.concatenate((got, ids[take[reach]])), np.concatenate((score, new[reach]))
+        keep = np.lexsort((got, ~score))[:k]  # ~ turns the order around without leaving 64 bits
         got, score = got[keep], score[keep]
         if len(score) == k:
             least = max(least, int(score[-1]))
         at, step = at + len(take), step * 2
-    keep = score >= least
-    return got[keep], score[keep], at
+    return got, score, at
 
 
 def _matrix(column, kind=np.int64) -> np.ndarray:
@@ -110,10 +116,11 @@ def _measured(rows: DataFrame, sent, k: int) -> DataFrame:
                 far = _distances(x, pivots.pivots if pivots else np.zeros((1, d), np.int64))
                 least = np.full(len(x), -(2**63), np.int64)
                 if k and pivots:
+                    sample, q = exactly(pivots.sample, x)
                     for i, own in enumerate(ids):
-                        score = np.sort(_products(pivots.sample[pivots.ids != own], x[i]))
+                        score = _whole(sample @ q[i])[pivots.ids != own]
                         if len(score) >= k:
-                            least[i] = score[-k]
+                            least[i] = np.partition(score, -k)[-k]
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("d"), part.column("v"), pa.array(list(far), pa.list_(pa.float32())), pa.array(least)], names=["vec_id", "d", "v", "far", "least"])
 
     return rows.mapInArrow(measure, "vec_id bigint, d int, v array<bigint>, far array<float>, least bigint")
@@ -159,6 +166,7 @@ def exact_search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
             ids, x, far = candidates.column("vec_id").to_numpy(), _matrix(candidates.column("v")).reshape(len(candidates), d), np.ascontiguousarray(_matrix(candidates.column("far"), np.float32).T)
             q, q_far = _matrix(asking.column("v")).reshape(len(asking), d), _matrix(asking.column("far"), np.float32)
             norm, q_norm = (x.astype(float) ** 2).sum(1), (q.astype(float) ** 2).sum(1)
+            x, q = exactly(x, q)
             for i, (name, least) in enumerate(zip(asking.column("query_id").to_pylist(), asking.column("least").to_pylist())):
                 got, score, _ = best(x, ids, bounds(far, norm, q_far[i], q_norm[i]), q[i], least, k + 1)
                 found_q.append(np.full(len(got), name, np.int64))

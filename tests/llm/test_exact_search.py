@@ -58,7 +58,8 @@ def test_bounds_hold_and_candidates_are_left_out():
         top = exact_search.bounds(np.ascontiguousarray(far.T), norm, far[i], norm[i])
         score = x @ x[i]
         assert (top >= score).all()
-        got, best, evaluated = exact_search.best(x, np.arange(3000), top, x[i], -(2**63), 21)
+        rows, q = exact_search.exactly(x, x[i])
+        got, best, evaluated = exact_search.best(rows, np.arange(3000), top, q, -(2**63), 21)
         want = np.lexsort((np.arange(3000), -score))[:21]
         assert got.tolist() == want.tolist() and best.tolist() == score[want].tolist()
         assert evaluated < 1500

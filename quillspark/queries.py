@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .config import BLOCKED, DEAD_MARKERS, EXPLICIT_WORDS, LOW_QUALITY, STOPWORDS, TRUSTED
 from .functions import media, safety, text as tx, urls
-from .operators import citations, dedup, passages as pg, protocols, ranking
+from .operators import citations, dedup, index, passages as pg, protocols, ranking
 from .plans import briefing, render
 from .sources import pages as pages_, store
+from .sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -290,6 +291,31 @@ def j06_bm25_documents(spark, d):
     return _bm25(spark, d).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
+ITEMS_SQL = f"""toks AS (SELECT doc_id, source, {tokens_sql('text')} AS t FROM documents), lens AS (SELECT doc_id, source, greatest(len(t), 1) AS len FROM toks), stats AS (SELECT source, count(*) AS n, avg(len) AS avg_len FROM lens GROUP BY source),
+terms AS (SELECT DISTINCT item_id, 'src' || (item_id % 20) AS source, unnest({tokens_sql('text')}) AS term FROM benchmark), tf AS (SELECT doc_id, source, term, count(*) AS tf FROM (SELECT doc_id, source, unnest(t) AS term FROM toks) GROUP BY ALL),
+df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL),
+found AS (SELECT item_id, source, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM terms JOIN tf USING (source, term) JOIN df USING (source, term) JOIN lens USING (doc_id, source) JOIN stats USING (source) GROUP BY ALL)"""
+
+
+@query(f"WITH {ITEMS_SQL} SELECT item_id, source, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM found QUALIFY place <= 10")
+def j06_index_search(spark, d):
+    """Each benchmark item searched among the documents of one source, over a kept index."""
+    made = _index(spark, d)
+    asked = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("src"), F.pmod("item_id", F.lit(20)).cast("string")).alias("source"), F.col("text").alias("query"))
+    return made.search(asked, ["item_id"], 10).select("item_id", "source", "doc_id", "score", F.col("rank").cast("long").alias("place"))
+
+
+@query("WITH " + ITEMS_SQL + " SELECT source, term, df FROM df")
+def a03_index_df(spark, d):
+    return _index(spark, d).frequencies
+
+
+def _index(spark, d) -> index.Index:
+    """The index of all documents, one pool for each source."""
+    docs = table(spark, d, "documents").select("source", "doc_id", "text")
+    return index.build(docs, ["source", "doc_id"], ["source"], new_folder(spark, "index"))
+
+
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY term")
 def a03_df(spark, d):
     return ranking.term_counts(table(spark, d, "documents"), ["doc_id"]).groupBy("term").agg(F.count("*").alias("df"))

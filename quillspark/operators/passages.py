@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.media import fmt_timestamp
+from ..sources.shared import kept
 
 # What parts blocks, and what a heading looks like.
 _BREAK = re.compile(r"\n\s*\n|\n(?==+ )")
@@ -65,6 +66,51 @@ def passages(rows: DataFrame, keys: list[str], text: str = "text", most: int = 9
     return rows.select(*keys, text).mapInArrow(cut, f"{kinds}, idx int, text string")
 
 
+def timed_lines(segments: DataFrame, keys: list[str], seconds: int = 30) -> DataFrame:
+    """keys, line (from 1), start, text, segments: segments (keys, pos, start, text) joined to lines, as windows() joins those of an array.
+
+    A line ends with the first segment that starts ``seconds`` or more after it, in whole microseconds; the next segment begins another. So each
+    segment points at the line that would follow one begun by it, and the lines of a transcript are what its first segment reaches. Pointers are
+    doubled in turns: turn r takes all of the first 2**r lines as many lines further, and a transcript needs as many turns as its number of lines
+    has bits, whatever its length. Transcripts whose starts go back are folded as arrays. Missing starts count as 0, missing texts as empty.
+    """
+    of = Window.partitionBy(*keys)
+    rows = segments.select(*keys, "pos", F.coalesce(F.col("start").cast("double"), F.lit(0.0)).alias("start"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_m", F.round(F.col("start") * 1_000_000).cast("long"))
+    in_order = of.orderBy("pos", "start", "text")
+    placed = rows.withColumns({"at": F.row_number().over(in_order), "_back": F.coalesce(F.col("_m") < F.lag("_m").over(in_order), F.lit(False))})
+    placed = kept(placed.withColumns({"_back": F.max("_back").over(of), "_n": F.count("*").over(of)}), "segments")
+    onward = placed.where("not _back")
+    after = F.min("at").over(of.orderBy("_m").rangeBetween(seconds * 1_000_000, Window.unboundedFollowing)) + 1
+    pointers = kept(onward.select(*keys, "at", after.alias("to"), "_n").where("to <= _n").drop("_n"), "pointers")
+    reached = kept(onward.where("at = 1").select(*keys, "at"), "reached")
+    found = [reached]
+    while True:
+        new = kept(reached.join(pointers, [*keys, "at"]).select(*keys, F.col("to").alias("at")), "reached")
+        if new.isEmpty():
+            break
+        found.append(new)
+        reached = kept(reached.unionByName(new), "reached")
+        further = pointers.select(*keys, F.col("at").alias("to"), F.col("to").alias("_to"))
+        pointers = kept(pointers.join(further, [*keys, "to"]).select(*keys, "at", F.col("_to").alias("to")), "pointers", [pointers])
+    begins = found[0]
+    for more in found[1:]:
+        begins = begins.unionByName(more)
+    told = onward.join(begins.withColumn("_begins", F.lit(1)), [*keys, "at"], "left").withColumn("line", F.count("_begins").over(of.orderBy("at")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    lines = told.groupBy(*keys, "line").agg(F.min_by("start", "at").alias("start"), F.array_join(parts, " ").alias("text"), F.count("*").alias("segments"))
+    folded = placed.where("_back").groupBy(*keys).agg(windows(F.transform(F.array_sort(F.collect_list(F.struct("at", "start", "text"))), lambda x: F.struct(x["start"], x["text"])), seconds).alias("_l"))
+    return lines.unionByName(folded.select(*keys, F.posexplode("_l").alias("_p", "_x")).select(*keys, (F.col("_p") + 1).cast("long").alias("line"), "_x.start", "_x.text", F.lit(None).cast("long").alias("segments")))
+
+
+def timed_text(segments: DataFrame, keys: list[str], max_chars: int = 9000, seconds: int = 30) -> DataFrame:
+    """keys, text: what timestamped_text() makes of an array, of segments as rows: timed lines, every n-th of them if they are too long."""
+    lines = timed_lines(segments, keys, seconds).withColumn("_line", F.concat(F.lit("["), fmt_timestamp(F.col("start")), F.lit("] "), "text"))
+    sized = lines.withColumn("_total", F.sum(F.length("_line") + 1).over(Window.partitionBy(*keys)))
+    step = F.greatest(F.lit(1), F.ceil(F.col("_total") / max_chars))
+    rest = sized.where((F.col("line") - 1) % step == 0).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "_line"))), lambda x: x["_line"]).alias("_l"))
+    return rest.select(*keys, F.substring(F.array_join("_l", "\n"), 1, max_chars).alias("text"))
+
+
 def windows(segments: Column, seconds: int = 30) -> Column:
     """Segments (start, text) joined to lines of at least ``seconds``; the segment that passes the mark belongs to the line."""
     state = "struct<start:double,parts:array<string>,lines:array<struct<start:double,text:string>>>"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EDU_CHANNELS, KINDS
 from ..functions.media import recency_bonus
 from ..functions.text import term_hits, tokens
+from ..sources.shared import kept
 
 K1, B = 1.5, 0.75
 
@@ -71,14 +72,30 @@ def ids_after(videos: DataFrame, numbered: DataFrame, topic: list[str]) -> DataF
     return videos.join(last, topic, "left").withColumn("id", F.coalesce("_last", F.lit(0)) + F.col("place")).drop("_last")
 
 
+def containment(terms: DataFrame, sources: DataFrame, topic: list[str]) -> DataFrame:
+    """topic, term, ord, source_id: the sources that hold all tokens of a term (topic, term, ord).
+
+    Of the sources' tokens only those that some term has are kept. A term's rarest token proposes sources, and only these are asked for its others.
+    """
+    parts = terms.select(*topic, "term", "ord", F.array_distinct(tokens(F.col("term"), keep_stop=True)).alias("_p"))
+    need = kept(parts.select(*topic, "term", "ord", F.size("_p").alias("need"), F.explode("_p").alias("token")), "need")
+    every = sources.select(*topic, "source_id", F.explode(F.array_distinct(tokens(F.col("text"), keep_stop=True))).alias("token"))
+    held = kept(every.join(need.select(*topic, "token").distinct(), [*topic, "token"], "left_semi"), "held")
+    often = held.groupBy(*topic, "token").agg(F.count("*").alias("_df"))
+    counted = need.join(often, [*topic, "token"], "left")
+    rarest = counted.groupBy(*topic, "term", "ord", "need").agg(F.min_by("token", F.struct(F.coalesce("_df", F.lit(0)), "token")).alias("token"))
+    proposed = rarest.join(held, [*topic, "token"])
+    others = proposed.join(need.select(*topic, "term", "ord", F.col("token").alias("_other")), [*topic, "term", "ord"]).where("_other <> token")
+    met = others.join(held.withColumnRenamed("token", "_other"), [*topic, "source_id", "_other"])
+    full = met.groupBy(*topic, "term", "ord", "source_id", "need").agg(F.count("*").alias("_n")).where("_n = need - 1")
+    alone = proposed.where("need = 1")
+    return alone.select(*topic, "term", "ord", "source_id").unionByName(full.select(*topic, "term", "ord", "source_id"))
+
+
 def term_coverage(terms: DataFrame, sources: DataFrame, topic: list[str]) -> DataFrame:
     """terms (topic, term, ord) with coverage: how many sources hold all tokens of the term. Terms of none go, unless all are."""
-    parts = terms.select(*topic, "term", "ord", F.array_distinct(tokens(F.col("term"), keep_stop=True)).alias("_p"))
-    need = parts.select(*topic, "term", "ord", F.size("_p").alias("need"), F.explode("_p").alias("token"))
-    terms = terms.join(parts.where(F.size("_p") > 0).select(*topic, "term", "ord"), [*topic, "term", "ord"], "left_semi")
-    held = sources.select(*topic, "source_id", F.explode(F.array_distinct(tokens(F.col("text"), keep_stop=True))).alias("token"))
-    full = need.join(held, [*topic, "token"]).groupBy(*topic, "term", "ord", "source_id", "need").agg(F.count("*").alias("n")).where("n = need")
-    counted = full.groupBy(*topic, "term", "ord").agg(F.count("*").alias("coverage"))
+    terms = terms.where(F.size(tokens(F.col("term"), keep_stop=True)) > 0)
+    counted = containment(terms, sources, topic).groupBy(*topic, "term", "ord").agg(F.count("*").alias("coverage"))
     out = terms.join(counted, [*topic, "term", "ord"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0)).cast("long"))
     any_ = counted.agg(F.max("coverage").alias("_any")) if not topic else counted.groupBy(*topic).agg(F.max("coverage").alias("_any"))
     out = out.join(any_, topic, "left") if topic else out.crossJoin(F.broadcast(any_))  # any_ is one row

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .config import BLOCKED, DEAD_MARKERS, EXPLICIT_WORDS, LOW_QUALITY, STOPWORDS, TRUSTED
 from .functions import media, safety, text as tx, urls
-from .operators import citations, dedup, index, passages as pg, protocols, ranking
+from .operators import citations, dedup, index, passages as pg, protocols, ranking, substring
 from .plans import briefing, render
 from .sources import pages as pages_, store
 from .sources.shared import new_folder
@@ -515,10 +515,32 @@ def p11_parse_video(spark, d):
     return r.select("v.summary", F.explode("v.points").alias("p")).select("summary", "p.second", "p.text")
 
 
-@query()
+def _lines_sql(segments: str, key: str) -> str:
+    """seg (key, i, start, text) walked one by one: lines (key, line, start, text, n)."""
+    full = "w.start - w.began >= 30"
+    return f"""seg AS ({segments}), w AS (SELECT {key}, i, start AS began, start, 1 AS line, text FROM seg WHERE i = 1 UNION ALL
+SELECT s.{key}, s.i, CASE WHEN {full} THEN s.start ELSE w.began END, s.start, CASE WHEN {full} THEN line + 1 ELSE line END, s.text FROM w JOIN seg s ON s.{key} = w.{key} AND s.i = w.i + 1),
+lines AS (SELECT {key}, line, min(began) AS start, string_agg(text, ' ' ORDER BY i) AS text, count(*) AS n FROM w GROUP BY ALL)"""
+
+
+STAMP_SQL = "CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(((s % 3600) // 60)::VARCHAR, 2, '0') ELSE (s // 60)::VARCHAR END || ':' || lpad((s % 60)::VARCHAR, 2, '0')"
+
+
+@query(f"""WITH RECURSIVE {_lines_sql("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i, turn * 10.0 AS start, text FROM conversations", "conv_id")},
+told AS (SELECT conv_id, line, '[' || {STAMP_SQL} || '] ' || text AS t FROM (SELECT *, start::BIGINT AS s FROM lines)), sized AS (SELECT *, greatest(1, ceil(sum(length(t) + 1) OVER (PARTITION BY conv_id) / 9000.0))::BIGINT AS step FROM told)
+SELECT conv_id, left(string_agg(t, chr(10) ORDER BY line), 9000) AS text FROM sized WHERE (line - 1) % step = 0 GROUP BY conv_id""")
 def p12_windows(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((F.col("turn") * 10).cast("double").alias("start"), "text"))).alias("s"))
-    return rows.select("conv_id", pg.timestamped_text(F.col("s")).alias("text"))
+    """Conversations as transcripts, a turn each ten seconds."""
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), (F.col("turn") * 10).cast("double").alias("start"), "text")
+    return pg.timed_text(rows, ["conv_id"])
+
+
+@query(f"""WITH RECURSIVE {_lines_sql("SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, doc_id * 0.25 AS start, left(text, 40) AS text FROM documents", "source")}
+SELECT source, line::BIGINT AS line, start::DOUBLE AS start, n AS segments, text FROM lines""")
+def p12_transcript_lines(spark, d):
+    """A transcript for each source, with a segment for each document's first forty characters."""
+    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("pos"), (F.col("doc_id") * 0.25).alias("start"), F.substring("text", 1, 40).alias("text"))
+    return pg.timed_lines(rows, ["source"]).select("source", "line", "start", "segments", "text")
 
 
 # ---- pages, passages, plans, forms -------------------------------------------------------------------
@@ -547,6 +569,40 @@ def s15_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", pages_.page_text(F.col("html")).alias("p")).select("page_id", "p.title", "p.date", "p.text")
 
 
+#: Rules of every origin, made of the paths of its own pages: whole paths, parts of them with wildcards and ends, and ties of both kinds.
+RULES_SQL = r"""p AS (SELECT page_id, regexp_extract(url, '^(\w+://[^/?#]*)', 1) AS origin, regexp_extract(url, '^\w+://[^/?#]*([^#]*)', 1) AS path FROM pages), named AS (SELECT page_id, lower(origin) AS origin, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM p),
+rules AS (SELECT origin, CASE page_id % 7 WHEN 0 THEN path WHEN 1 THEN left(path, 5) WHEN 2 THEN left(path, 4) || '*' || right(path, 2) WHEN 3 THEN path || '$' WHEN 4 THEN left(path, 2) || '*$' WHEN 5 THEN '*' || right(path, 1) || '$' ELSE '/en' END AS pattern, page_id % 3 = 0 AS allow FROM named),
+shape AS (SELECT DISTINCT origin, allow, length(pattern) AS n, '^' || replace(regexp_replace(regexp_replace(pattern, '\$$', ''), '([.+?^${}()|\[\]\\])', '\\\1', 'g'), '*', '.*') || CASE WHEN pattern LIKE '%$' THEN '$' ELSE '' END AS rx FROM rules)"""
+
+
+@query(f"""WITH {RULES_SQL}, best AS (SELECT page_id, allow FROM named JOIN shape USING (origin) WHERE regexp_matches(path, rx) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, allow DESC) = 1)
+SELECT page_id, coalesce(allow, true) AS allowed FROM named LEFT JOIN best USING (page_id)""")
+def s13_robots_rules(spark, d):
+    p = table(spark, d, "pages").select("page_id", urls.origin(F.col("url")).alias("origin"), urls.path_query(F.col("url")).alias("path"))
+    cut = lambda n: F.substring("path", 1, n)
+    end = lambda n: F.expr(f"right(path, {n})")
+    made = [F.col("path"), cut(5), F.concat(cut(4), F.lit("*"), end(2)), F.concat("path", F.lit("$")), F.concat(cut(2), F.lit("*$")), F.concat(F.lit("*"), end(1), F.lit("$")), F.lit("/en")]
+    line = F.concat(F.when(F.col("page_id") % 3 == 0, "Allow: ").otherwise("Disallow: "), F.element_at(F.array(*made), (F.col("page_id") % 7 + 1).cast("int")))
+    robots = p.groupBy("origin").agg(F.concat(F.lit("User-agent: *\n"), F.array_join(F.collect_list(line), "\n")).alias("body"))
+    return pages_.allowed_by_robots(p, robots, "visitor").select("page_id", "allowed")
+
+
+@query("""WITH s AS (SELECT doc_id, lower(left(string_split(text, chr(10))[1], 60)) AS t FROM documents) SELECT a.doc_id AS search_id, b.doc_id AS doc_id FROM (SELECT doc_id, trim(substr(t, 1 + doc_id % 20, 5 + doc_id % 7)) AS needle FROM s) a JOIN s b ON contains(b.t, a.needle)""")
+def f13_substring_searches(spark, d):
+    """Of each document's title a part of five to eleven characters is searched in all titles."""
+    docs = table(spark, d, "documents").select("doc_id", F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60).alias("title"))
+    asked = docs.select(F.col("doc_id").alias("search_id"), F.substr("title", (F.col("doc_id") % 20 + 1).cast("int"), (F.col("doc_id") % 7 + 5).cast("int")).alias("needle"))
+    return substring.find(asked, docs, substring.grams(docs, ["doc_id"], "title"), ["doc_id"], "title")
+
+
+@query(f"""WITH t AS (SELECT item_id AS ord, text AS term, list_distinct({tokens_sql('left(text, 24)', True)}) AS p FROM benchmark), d AS (SELECT doc_id, {tokens_sql('text', True)} AS k FROM documents), c AS (SELECT ord, doc_id FROM t, d WHERE len(p) > 0 AND list_has_all(k, p))
+SELECT ord, doc_id FROM c""")
+def j10_term_containment(spark, d):
+    """The documents that hold all words of a benchmark item's beginning."""
+    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 24).alias("term"))
+    return ranking.containment(terms, table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text"), []).select("ord", F.col("source_id").alias("doc_id"))
+
+
 ROBOTS = [("https://a", "User-agent: *\nDisallow: /x\nAllow: /x/y\nDisallow: /z*.pdf$\n\nUser-agent: me\nDisallow: /only")]
 PATHS = [("https://a", "/x/1", False), ("https://a", "/x/y/2", True), ("https://a", "/z/a.pdf", False), ("https://a", "/z/a.pdfx", True), ("https://b", "/x", True)]
 

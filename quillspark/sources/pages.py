@@ -240,9 +240,18 @@ def pattern_regex(pattern: Column) -> Column:
 
 
 def allowed_by_robots(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """urls (origin, path) with allowed: the longest rule for the agent; ties allow, as do missing rules."""
-    chosen = robots_rules(robots, agent)
-    met = urls.select("origin", "path").distinct().join(chosen, "origin").where(F.rlike("path", pattern_regex(F.col("pattern"))))
+    """urls (origin, path) with allowed: the longest rule for the agent; ties allow, as do missing rules.
+
+    A rule can only match paths that begin with its literal part, what stands before the first ``*`` or a last ``$``. Each path is cut to the lengths
+    that literal parts of its origin have, and meets rules by equality with these prefixes; only then are wildcards looked at. So rules
+    and paths of an origin never form a product, but for rules that begin with a wildcard.
+    """
+    literal = F.regexp_extract(F.regexp_replace("pattern", r"\$\z", ""), r"^[^*]*", 0)
+    rules = robots_rules(robots, agent).distinct().withColumns({"_prefix": literal, "_wild": F.col("pattern").contains("*") | F.col("pattern").endswith("$")})
+    lengths = rules.groupBy("origin").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))  # as many as a path has characters, at most
+    asked = urls.select("origin", "path").distinct().join(lengths, "origin")
+    cut = asked.select("origin", "path", F.explode(F.filter("_lengths", lambda n: n <= F.length("path"))).alias("_n")).withColumn("_prefix", F.expr("left(path, _n)"))
+    met = cut.join(rules, ["origin", "_prefix"]).where(~F.col("_wild") | F.rlike("path", pattern_regex(F.col("pattern"))))
     best = met.groupBy("origin", "path").agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("allow"))
     return urls.join(best, ["origin", "path"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
 

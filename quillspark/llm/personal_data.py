@@ -72,7 +72,8 @@ def luhn(digits: Column) -> Column:
 
 def valid(kind: str, m: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(m, "[.]"), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit(999)) <= 255)
+        part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"  # of any number of digits: leading zeros count for nothing
+        return F.rlike(m, F.lit(rf"^{part}(?:\.{part}){{3}}$"))
     n = F.length(_digits(m))
     return {"email": F.lit(True), "card": n.between(12, 19) & luhn(_digits(m)), "phone": n.between(9, 15)}[kind]
 
@@ -129,7 +130,7 @@ def _vote(yes: Column, no: Column) -> Column:
 def _possible(kind: str, m: Column) -> Column:
     """Whether a match has as many digits as its kind can have."""
     n = F.length(_digits(m))
-    return {"email": F.lit(True), "ip": n <= 20, "card": n.between(12, 19), "phone": n.between(7, 17)}[kind]
+    return {"email": F.lit(True), "ip": F.lit(True), "card": n.between(12, 19), "phone": n.between(7, 17)}[kind]
 
 
 def _described(kind: str, x: Column, base: bool) -> Column:

@@ -214,7 +214,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, hot_level: int =
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     docs: doc_id, text; other columns are ignored. A null or empty text has no shingles and links with nothing. Rows that repeat a doc_id
-    are one node: each gets a row, and their links are united. A row of null doc_id gets a null component. An empty table gives no rows.
+    are one node: each gets a row, and their links are united. A row of null doc_id gets the size of its set and a null component. An empty table gives no rows.
     """
     summaries = _summaries(docs, size, percent, hot_level)
     # One row for each different set. Written, so that joins with it have no aggregate beside them and the runtime can divide a group of copies.
@@ -252,8 +252,19 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, hot_level: int =
     repeated = nodes.join(least, "doc_id").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
     final = stars(links.unionByName(second).unionByName(repeated), [links, second]).select(F.col("a").alias("rep"), F.col("b").alias("class"))
     out = nodes.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "rep").alias("component_id"))
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nameless)
+    return out.unionByName(_nameless(docs, size))
+
+
+def _nameless(docs: DataFrame, size: int) -> DataFrame:
+    """Rows of null doc_id with the sizes of their sets: no links lead to or from them, so they have no class."""
+
+    def count(batches):
+        for batch in batches:
+            n = pa.array([len(s) for s in _sets(batch, size)], pa.int64())
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, n, none], names=["doc_id", "n_shingles", "component_id"])
+
+    return docs.where("doc_id is null").select("text").mapInArrow(tidy(count), "doc_id bigint, n_shingles bigint, component_id bigint")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

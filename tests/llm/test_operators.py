@@ -75,6 +75,12 @@ def test_near_duplicates(spark, docs):
     assert near_duplicates.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_an_id(spark):
+    rows = [(None, "a b c d e f"), (None, "short"), (None, None), (None, ""), (1, "a b c d e f")]
+    got = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (0, 0, 0), (0, 1, 0), (0, 2, 0), (1, 2, 1)]
+
+
 def test_near_duplicate_group_of_many(spark):
     rng = random.Random(5)
     base = [f"w{k}" for k in range(120)]
@@ -223,6 +229,16 @@ def test_personal_data(spark, docs):
         assert set(filter(None, joined.split(","))) <= set(got[i]["spans"].split(","))
 
 
+def test_addresses_with_leading_zeros(spark):
+    """Parts are bounded by their value alone; no rows and clashing columns are nothing special."""
+    odd = ["0" * 27 + "1.2.3.4", "0" * 52 + ".0.0.0", "01.2.3.4", "00256.1.1.1", "1.2.3." + "0" * 400 + "255", "1.2.3." + "0" * 400 + "256", "1.02.3.4444"]
+    d = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("kind", "start", "end", "base", "spans", "n_ip", "m", "votes")})
+    got = {r["doc_id"]: (r["n_ip"], r["spans"].split(",")[0]) for r in personal_data.personal_data(d).collect()}
+    assert [got[i][0] for i in range(len(odd))] == [1, 1, 1, 0, 1, 0, 0]
+    assert got[0][1] == f"ip:0:{len(odd[0])}" and got[4][1] == f"ip:0:{len(odd[4])}"
+    assert personal_data.personal_data(d.limit(0)).count() == 0
+
+
 def test_decontamination(spark, docs):
     q = "A train leaves Boston at 5 pm with 120 passengers and travels 300 km to Chicago while John eats 5 apples on the way home."
     b = spark.createDataFrame([(1, q), (2, None), (3, "short one here now")], "item_id long, text string")

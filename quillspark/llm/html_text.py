@@ -31,6 +31,8 @@ FEW_PAGES, MOST_SHARE = 3, 0.5
 MIN_PAGES, MIN_SHARE = 5, 0.1
 MANY_PAGES = 50
 MOST_OF_ROOT = 0.25
+MOST_LINKS = 0.5
+LEAST_LEFT = 0.1
 #: Template hashes that go to every task, of 8 bytes each; more are joined.
 SENT = 1 << 21
 #: Stands for a page itself among its hashes.
@@ -52,6 +54,12 @@ _NAMES = frozenset((
     "ad ads advert adverts advertisement sponsored banner cookie-notice cookie-banner cookies consent notice notices popup modal sidebar sidebar-left sidebar-right widget widgets related recommended "
     "comment comments comment-list commentlist comments-area reader-comments reply replies respond disqus_thread nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer site-footer "
     "site-header masthead newsletter newsletter-signup subscribe login toolbar skip-link social-links share-buttons paywall").split())
+#: ... and those that do so as a part of a class or id, between hyphens, underscores or capital letters.
+_PARTS = frozenset("ad ads advert adverts advertisement advertising comment comments commentlist cookie cookies sponsor sponsored sidebar newsletter breadcrumb breadcrumbs pagination popup modal nav navbar navigation masthead".split())
+_WITHOUT = frozenset("no not non without has with hide toggle free".split())
+_QUOTED = frozenset("blockquote q pre code table figure math".split())
+_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
+_FORM = frozenset("form button input select textarea option label fieldset".split())
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption tr tbody thead".split())
 _ROOTS = frozenset("html body article main".split())
 
@@ -122,10 +130,14 @@ def _close(stack: list[Node], name: str) -> None:
             return
 
 
-def _names(attrs: str) -> tuple[set[str], dict[str, str]]:
-    """(classes and id in lower case, attributes) of a start tag."""
-    found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(attrs)}
-    return {*found.get("class", "").lower().split(), found.get("id", "").strip().lower()}, found
+def _attributes(attrs: str) -> dict[str, str]:
+    return {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(attrs)}
+
+
+def _named(found: dict[str, str]) -> bool:
+    """Whether a class or the id names what is no article."""
+    names = [*found.get("class", "").split(), found.get("id", "").strip()]
+    return any(n.lower() in _NAMES or any(p in _PARTS for p in parts) and not parts & _WITHOUT for n in names for parts in [{p.lower() for p in _PART.findall(n)}])
 
 
 def _no_article(node: Node, inside: bool, most: float) -> bool:
@@ -134,10 +146,10 @@ def _no_article(node: Node, inside: bool, most: float) -> bool:
         return True
     if not node.attrs or node.tag in _ROOTS and node.tag != "article":
         return False
-    names, attrs = _names(node.attrs)
+    attrs = _attributes(node.attrs)
     if node.tag != "article" and (attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()):
         return True
-    return bool(names & _NAMES) and node.size < most
+    return node.size < most and _named(attrs)
 
 
 def prune(root: Node, whole: int) -> None:
@@ -181,21 +193,54 @@ def _hash(parts: list) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def roots(root: Node) -> list[Node]:
-    """The outermost articles; or else main; or else the whole page."""
+def _outermost(root: Node, tag: str) -> list[Node]:
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == tag:
+            found.append(node)
+        else:
+            stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
+    return found
+
+
+def roots(root: Node, least: float = 0.0) -> list[Node]:
+    """The outermost articles, or else main, if they hold text and at least ``least`` of all there is; or else the whole page."""
     for tag in ("article", "main"):
-        found, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if node.tag == tag:
-                found.append(node)
-            else:
-                stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
-        if any(n.size for n in found):
+        found = _outermost(root, tag)
+        if (own := sum(n.size for n in found)) and own >= least * root.size:
             return found
     return [root]
 
 
+def _at_the_end(article: Node, common: set[int]) -> list[Node]:
+    """Elements among common that no text of the article comes after, but that of others of them; those that hold quotations and such end the search."""
+    found, stack = [], [article]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            if node.strip():
+                break
+        elif id(node) in common and not any(x.tag in _QUOTED for x in _each(node)):
+            found.append(node)
+        elif node.size and (node.tag in _LEAVES or id(node) in common):
+            break
+        else:
+            stack += node.kids
+    return found
+
+
+def _no_content(node: Node) -> bool:
+    """Whether an element of an article shows by more than recurring that it isn't the article's."""
+    links = 0
+    for x in _each(node):
+        if x.tag in _FORM:
+            return True
+        if x.tag == "a":
+            links += x.size
+    return links >= MOST_LINKS * node.size or node.tag in _NO_TEXT or bool(node.attrs) and _named(_attributes(node.attrs))
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks below node, in page order."""
     found: list[str] = []
@@ -238,14 +283,16 @@ def extract(page: str, template: Callable[[list[int]], Iterable[bool]] | None =
     if template is not None:
         inner = {id(n): r.size for r in main for n in _each(r)} if main != [root] else {}
         own = [n for n in found if _countable(n)]
-        gone = {id(n) for n, told in zip(own, template([n.hash for n in own])) if told and (id(n) not in inner or n.tag not in _LEAVES and n.size < MOST_OF_ROOT * inner[id(n)])}
+        common = [n for n, told in zip(own, template([n.hash for n in own])) if told and (id(n) not in inner or n.tag not in _LEAVES and n.size < MOST_OF_ROOT * inner[id(n)])]
+        last = {id(n) for r in main for n in _at_the_end(r, {id(n) for n in common})} if common else set()
+        gone = {id(n) for n in common if id(n) not in inner or id(n) in last or _no_content(n)}
         if gone:
             for node in found:
                 node.kids = [k for k in node.kids if isinstance(k, str) or id(k) not in gone]
             hash_subtrees(root)
     prune(root, whole)
     hash_subtrees(root)
-    return "\n".join(b for r in roots(root) for b in blocks(r))
+    return "\n".join(b for r in roots(root, LEAST_LEFT) for b in blocks(r))
 
 
 def subtrees(page: str) -> tuple[int, list[int]]:

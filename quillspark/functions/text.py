@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import STOPWORDS
@@ -19,12 +19,24 @@ def _cut(t: Column, n: int) -> Column:
     return F.substring(t, F.lit(1), F.length(t) - n)
 
 
+def _ends(t: Column, *ends: str) -> Column:
+    out = t.endswith(ends[0])
+    for end in ends[1:]:
+        out = out | t.endswith(end)
+    return out
+
+
+def _bare(t: Column) -> Column:
+    """A match of TOKEN in lower case, without the apostrophes and hyphens at its end; none begins with one."""
+    return F.rtrim(F.lower(t), F.lit("'-"))
+
+
 def _plural(t: Column) -> Column:
     return (
         F.when(F.length(t) <= 3, t)
         .when(t.endswith("ies"), F.concat(_cut(t, 3), F.lit("y")))
-        .when(t.rlike(r"(sses|xes|zes|ches|shes)\z"), _cut(t, 2))
-        .when(t.endswith("s") & ~t.rlike(r"(ss|us|is)\z"), _cut(t, 1))
+        .when(_ends(t, "sses", "xes", "zes", "ches", "shes"), _cut(t, 2))
+        .when(t.endswith("s") & ~_ends(t, "ss", "us", "is"), _cut(t, 1))
         .otherwise(t))
 
 
@@ -55,12 +67,27 @@ def stem(token: Column) -> Column:
     return F.element_at(stem_all(F.array(token)), 1)
 
 
+def word_rows(rows: DataFrame, keys: list[str], text: str = "text", keep_stop: bool = False, name: str = "term", marked: bool = False) -> DataFrame:
+    """keys, name: a row for each token of a text, as tokens() gives them in an array. marked: and one of the empty token, also for texts without any.
+
+    For what counts or joins tokens: words are stemmed as plain columns, in generated code, where functions of arrays are interpreted.
+    """
+    t = F.col(name)
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
+    raw = rows.select(*keys, F.explode(F.concat(F.array(F.lit("")), found) if marked else found).alias(name)).withColumn(name, _bare(t))
+    raw = raw.where((F.length(t) >= 2) | (t == "") if marked else F.length(t) >= 2)
+    raw = raw if keep_stop else raw.where(~_is_stop(t))
+    for step in (_plural, _participle, _final_e, _double):
+        raw = raw.withColumn(name, step(t))
+    return raw
+
+
 def _is_stop(t: Column) -> Column:
     return t.isin(*STOPWORDS)
 
 
 def words(text: Column, keep_stop: bool = False, least: int = 2) -> Column:
-    raw = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(F.lower(t), r"^[-']+|[-']+\z", ""))
+    raw = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), _bare)
     return F.filter(raw, lambda t: (F.length(t) >= least) & (F.lit(True) if keep_stop else ~_is_stop(t)))
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import tokens, words
 from ..sources.shared import kept
 from .ranking import B, K1, term_counts
 
@@ -121,7 +121,7 @@ def build(docs: DataFrame, keys: list[str], pool: list[str], path: str, text: st
     """Writes the index of docs (keys, text) to path, which must not exist. keys tell passages apart; null texts have no tokens and length 1."""
     spark = docs.sparkSession
     rest = [c for c in keys if c not in pool]
-    passages = docs.select(*keys, F.greatest(F.size(tokens(F.col(text))), F.lit(1)).cast("long").alias("len"))
+    passages = docs.select(*keys, F.greatest(F.size(words(F.col(text))), F.lit(1)).cast("long").alias("len"))
     passages.write.parquet(f"{path}/passages")
     out = Index(spark, path, keys, pool, buckets)
     told = out.passages
@@ -130,9 +130,9 @@ def build(docs: DataFrame, keys: list[str], pool: list[str], path: str, text: st
     # Passages of a pool by length: class 2 * log2(len), and as many blocks of each as they fill.
     kind = F.floor(2 * F.log2(F.col("len"))).cast("long")
     full = told.groupBy(*pool, kind.alias("_class")).agg(F.ceil(F.count("*") / block).cast("long").alias("_parts"))
-    counted = term_counts(docs, keys, text).withColumn("_class", kind).join(full, [*pool, "_class"])
+    counted = term_counts(docs, keys, text).join(told.withColumn("_class", kind).join(full, [*pool, "_class"]), keys)
     pools = out.part("pools")
-    counted = counted.join(pools, pool) if pool else counted.crossJoin(F.broadcast(pools))  # without a pool, pools is one row
+    counted = counted.join(pools.select(*pool, "avg_len"), pool) if pool else counted.crossJoin(F.broadcast(pools))  # without a pool, pools is one row
     placed = counted.select(*keys, "term", "tf", "len", _share(F.col("avg_len")).alias("_share"), (F.col("_class") * (1 << 32) + F.pmod(F.xxhash64(*rest), F.col("_parts"))).alias("block"), _bucket(F.col("term"), buckets).alias("bucket"))
     ranged = placed.repartitionByRange("bucket", *pool, "term", "block", F.xxhash64(*rest)).sortWithinPartitions("bucket", *pool, "term", "block")
     ranged.write.partitionBy("bucket").parquet(f"{path}/postings")

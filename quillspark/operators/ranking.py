@@ -7,28 +7,30 @@ from pyspark.sql import functions as F
 
 from ..config import EDU_CHANNELS, KINDS
 from ..functions.media import recency_bonus
-from ..functions.text import term_hits, tokens
+from ..functions.text import term_hits, tokens, word_rows
 from ..sources.shared import kept
 
 K1, B = 1.5, 0.75
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, term, tf (count of the term) and len (tokens of the document, at least 1)."""
-    return docs.select(*keys, tokens(F.col(text)).alias("_t")).select(*keys, F.greatest(F.size("_t"), F.lit(1)).cast("long").alias("len"), F.explode("_t").alias("term")).groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+    """keys, term, tf (count of the term)."""
+    return word_rows(docs, keys, text).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], pool: list[str], query_keys: list[str], text: str = "text") -> DataFrame:
     """Scores of the documents of a pool for its queries, those that match.
 
-    docs: keys (with pool among them) and text; queries: pool, query_keys, query. Only terms of queries are counted and shuffled, and beside
-    them one row of the empty term for each document, which carries its length. So the counts by document are the only shuffle of the
-    corpus, and statistics of pools and terms read the same exchange: every aggregate uses tf, or the planner would prune it and count anew.
+    docs: keys (with pool among them) and text; queries: pool, query_keys, query. Terms that no query of the pool has are counted together, before any
+    shuffle, as the empty term, of which each document also has one occurrence too many. So a document has a row for each term asked for and one
+    more, and its length is their sum. Statistics of pools and terms read the same exchange as the scores.
     """
     asked = queries.select(*pool, *query_keys, F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = asked.select(*pool, "term").unionByName(queries.select(*pool, F.lit("").alias("term"))).distinct()
-    held = docs.select(*keys, tokens(F.col(text)).alias("_t")).select(*keys, F.greatest(F.size("_t"), F.lit(1)).cast("long").alias("len"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
-    tf = held.join(wanted, [*pool, "term"], "left_semi").groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+    wanted = asked.select(*pool, "term").unionByName(queries.select(*pool, F.lit("").alias("term"))).distinct().withColumn("_wanted", F.lit(True))
+    pools = wanted.select(*pool, F.lit(True).alias("_asked")).distinct()
+    held = word_rows(docs.join(pools, pool, "left_semi") if pool else docs, keys, text, marked=True).join(wanted, [*pool, "term"], "left")
+    counted = held.groupBy(*keys, F.when(F.col("_wanted"), F.col("term")).otherwise("").alias("term")).agg(F.count("*").alias("tf"))
+    tf = counted.withColumn("len", F.greatest(F.lit(1).cast("long"), F.sum("tf").over(Window.partitionBy(*keys)) - 1))
     by_term = tf.groupBy(*pool, "term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"), F.avg(F.when(F.col("tf") > 0, F.col("len"))).alias("_mean"))
     whole = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
     sizes = (by_term.groupBy(*pool) if pool else by_term.groupBy()).agg(whole("df").alias("n"), whole("_mean").alias("avg_len"), F.max("df").alias("_df"))

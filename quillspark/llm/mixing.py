@@ -7,8 +7,8 @@ order of a hash of the seed, the epoch and doc_id, the last of them in part.
 
 Of the documents only sums reach one place: tokens of each leaf, and of the 256 ranges of the hash in each, three times over, each time within the
 range in which the leaf's prefix ends. Only the documents of the last such range, one in 2 ** 24 of the leaf, are ordered, and a leaf's cut is one row.
-Budgets are dealt level by level over tables of the tree's nodes, whose running sums are taken in ranges (_scan.py), so a node may have any
-number of children. Nothing but a few totals reaches the driver.
+Budgets of at most TREE leaves are dealt by the driver. Those of more are dealt level by level over tables of the tree's nodes, whose running sums are
+taken in ranges (_scan.py), so a node may have any number of children, and nothing but a few totals reaches the driver.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ BITS, TURNS = 8, 3
 TEMPERATURE = 0.5
 SEED = 17
 LEVELS = ("domain", "lang", "source")
+#: Leaves of a tree whose budgets the driver deals, of some hundred bytes each; those of more are dealt level by level in Spark, to the same result.
+TREE = 20_000
 _P = "_mix_"
 
 
@@ -120,7 +122,12 @@ def _budgets(leaves: DataFrame, ratio: float, weights: Mapping[tuple[str, ...],
     """leaves (the three levels, n: tokens) with budget."""
     spark = leaves.sparkSession
     path = [f"{_P}{k}" for k in LEVELS]
-    total = int(leaves.agg(F.sum("n")).first()[0] or 0)
+    count, total = leaves.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if count <= TREE:
+        tree = {tuple(r[k] for k in path): r["n"] for r in leaves.collect()}
+        dealt = budgets(tree, min(round(ratio * total), epochs * total), weights, epochs)
+        named = spark.createDataFrame([(*p, n) for p, n in dealt.items()], ", ".join(f"{c} string" for c in path) + ", budget bigint")
+        return leaves.join(F.broadcast(named), path)  # TREE rows at most
     above = leaves.select(F.lit(0).alias(f"{_P}root")).limit(1).withColumn("budget", F.lit(min(round(ratio * total), epochs * total)).cast("long"))
     for depth, key in enumerate(path):
         parent = [f"{_P}root", *path[:depth]]

@@ -63,3 +63,10 @@ def test_running(spark):
         want[i] = at[g]
         at[g] += n
     assert got == same == want
+
+
+@pytest.mark.parametrize("ratio, weights, epochs", [(0.6, {}, 4), (1.7, {("web",): 1.0, ("book",): 5.0, ("code",): 0.0, ("web", "fr"): 3.0, ("web", "en", "s1"): 9.0}, 2), (9.0, {("code",): 1.0}, 3)])
+def test_budgets_of_many_leaves(spark, monkeypatch, ratio, weights, epochs):
+    """The same for trees that are too large for the driver."""
+    monkeypatch.setattr(mixing, "TREE", 0)
+    test_budgets(spark, ratio, weights, epochs)

@@ -67,14 +67,18 @@ def stem(token: Column) -> Column:
     return F.element_at(stem_all(F.array(token)), 1)
 
 
-def word_rows(rows: DataFrame, keys: list[str], text: str = "text", keep_stop: bool = False, name: str = "term", marked: bool = False) -> DataFrame:
+def word_rows(rows: DataFrame, keys: list[str], text: str = "text", keep_stop: bool = False, name: str = "term", marked: bool = False, at: str | None = None) -> DataFrame:
     """keys, name: a row for each token of a text, as tokens() gives them in an array. marked: and one of the empty token, also for texts without any.
 
+    at: a column for the token's place among the words of the text. A filter of the token, or an inner join by it, should stand above an aggregate that
+    is written first: moved down by the planner, it would repeat the steps of stemming within each other.
+
     For what counts or joins tokens: words are stemmed as plain columns, in generated code, where functions of arrays are interpreted.
     """
     t = F.col(name)
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
-    raw = rows.select(*keys, F.explode(F.concat(F.array(F.lit("")), found) if marked else found).alias(name)).withColumn(name, _bare(t))
+    found = F.concat(F.array(F.lit("")), found) if marked else found
+    raw = rows.select(*keys, F.posexplode(found).alias(at, name) if at else F.explode(found).alias(name)).withColumn(name, _bare(t))
     raw = raw.where((F.length(t) >= 2) | (t == "") if marked else F.length(t) >= 2)
     raw = raw if keep_stop else raw.where(~_is_stop(t))
     for step in (_plural, _participle, _final_e, _double):

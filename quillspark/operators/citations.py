@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, words, stem_all
+from ..functions.text import word_rows
+from ..sources.shared import kept
 
 SUPPORT, LEAST_WORDS = 0.35, 5
 _GROUP = r"(?i)[\[【［]\s*(S\d+(?:\s*[,;/&]\s*S\d+)*)\s*[\]】］]"
@@ -52,7 +53,7 @@ def apply_mapping(text: Column, mapping: Column) -> Column:
 
 def clean_body(text: Column, valid: Column) -> Column:
     """strip_invalid, without heading lines."""
-    kept = F.filter(F.split(strip_invalid(text, valid)["text"], "\n"), lambda line: ~line.rlike(r"^\s*#"))
+    kept = F.filter(F.split(strip_invalid(text, valid)["text"], "\n"), lambda line: ~line.rlike(r"^\s*#{1,6}\s"))
     return F.regexp_replace(F.array_join(kept, "\n"), r"(?U)^\s+|\s+\z", "")
 
 
@@ -61,27 +62,58 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_SENTENCE), F.lit(0))
 
 
+def _runs(sources: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pair, run: the runs of digits and points of each text without its commas, by every two characters that stand together in them."""
+    runs = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), ",", ""), F.lit(r"[0-9.]{2,}"), F.lit(0)))
+    each = sources.select(*keys, F.explode(runs).alias("run"))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.substring("run", i, 2)))
+    return each.select(*keys, "run", F.explode(pairs).alias("pair"))
+
+
+def missing_numbers(asked: DataFrame, sources: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
+    """row of those asked (row, keys, number) whose number is nowhere in the text of its source (keys, text), commas in either left out.
+
+    A number lies within one run of digits and points. It meets the runs of its source that hold its first two characters, and only these.
+    """
+    bare = asked.withColumn("_n", F.regexp_replace("number", ",", "")).withColumn("pair", F.substring("_n", 1, 2))
+    seen = bare.join(_runs(sources, keys), [*keys, "pair"]).where(F.col("run").contains(F.col("_n"))).select(*row).distinct()
+    return asked.select(*row).distinct().join(seen, row, "left_anti")
+
+
 def support_check(texts: DataFrame, sources: DataFrame, report: list[str]) -> DataFrame:
     """A row for each checked sentence: report, text_ord, ord, sentence, ids, overlap, missing (numbers), flagged.
 
     texts: report, text_ord, text. sources: report, source_id, text. Sentences without an id of a source, or with fewer than five content
-    words, aren't checked. Each source is tokenised once.
+    words, aren't checked.
+
+    Sentences and sources meet as rows of single words, by (source, word), so no text or set of words is carried to a sentence, and what cites one
+    source is spread over its words. Numbers meet runs of digits. A sentence gets counts back.
     """
-    key = [*report, "text_ord", "ord"]
+    key, of_source = [*report, "text_ord", "ord"], [*report, "source_id"]
     cut = texts.select(*report, "text_ord", F.posexplode(sentences(normalize(F.col("text")))).alias("ord", "raw"))
     plain = F.regexp_replace("raw", r"\[S\d+\]", "")
-    content = F.filter(stem_all(words(plain)), lambda t: (F.length(t) >= 4) & ~t.isin(*_stop()))
-    cited = cut.select(*key, "raw", plain.alias("plain"), find_ids(F.col("raw")).alias("cited"), content.alias("words")).where(F.size("words") >= LEAST_WORDS)
-    each = cited.select(*key, "raw", "plain", "words", F.posexplode(F.array_distinct("cited")).alias("_p", "source_id"))
-    bags = sources.select(*report, F.col("source_id").cast("long").alias("source_id"), F.array_distinct(tokens(F.col("text"), keep_stop=True)).alias("bag"), F.regexp_replace(F.coalesce("text", F.lit("")), ",", "").alias("body"))
-    met = each.join(bags, [*report, "source_id"])
+    found = cut.select(*key, plain.alias("plain"), F.array_distinct(find_ids(F.col("raw"))).alias("cited")).where(F.size("cited") > 0)
+    texts_of = sources.select(*report, F.col("source_id").cast("long").alias("source_id"), "text")
+    known = texts_of.select(*of_source).distinct()
+    valid = found.select(*key, "plain", F.posexplode("cited").alias("_p", "source_id")).join(known, of_source)
+    cited = kept(valid.groupBy(*key).agg(F.first("plain").alias("plain"), F.transform(F.array_sort(F.collect_list(F.struct("_p", "source_id"))), lambda x: x["source_id"]).alias("ids")), "cited")
+
+    asked = word_rows(cited, [*key, "ids"], "plain", name="word", at="at").select(*key, "at", "word", F.explode("ids").alias("source_id"))
+    held = kept(word_rows(texts_of, of_source, keep_stop=True, name="word").distinct(), "held").withColumn("_held", F.lit(True))
+    content = F.when((F.length("word") >= 4) & ~F.col("word").isin(*_stop()), F.col("at"))
+    hit = F.when(F.col("_held"), content)
+    # A place counts once, however many of the sentence's sources it meets. A sentence has a bounded number of words.
+    met = asked.join(held, [*of_source, "word"], "left").groupBy(*key).agg(F.size(F.collect_set(content)).alias("_words"), F.size(F.collect_set(hit)).alias("_hits"))
+
     numbers = F.filter(F.regexp_extract_all("plain", F.lit(_NUMBER), F.lit(0)), lambda x: F.length(F.regexp_replace(x, "[,.]", "")) >= 2)
-    held = met.select(*key, "raw", "plain", "words", "_p", "source_id", F.transform("words", lambda w: F.array_contains(F.col("bag"), w)).alias("hit"), F.filter(numbers, lambda x: F.col("body").contains(F.regexp_replace(x, ",", ""))).alias("seen"), numbers.alias("numbers"))
-    whole = held.groupBy(*key).agg(
-        F.first("plain").alias("plain"), F.first("words").alias("words"), F.first("numbers").alias("numbers"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "source_id"))), lambda x: x["source_id"]).alias("ids"), F.collect_list("hit").alias("hits"), F.flatten(F.collect_list("seen")).alias("seen"))
-    matched = F.size(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.exists("hits", lambda h: F.element_at(h, i + 1))))
-    out = whole.select(*key, F.regexp_replace("plain", r"(?U)^\s+|\s+\z", "").alias("sentence"), "ids", (matched / F.size("words")).alias("overlap"), F.slice(F.filter("numbers", lambda x: ~F.array_contains(F.col("seen"), x)), 1, 4).alias("missing"))
+    told = cited.select(*key, "ids", F.posexplode(numbers).alias("_k", "number"))
+    row = [*key, "_k"]
+    some = told.select(*row, "number", F.explode("ids").alias("source_id"))
+    # Missing is what none of the sentence's sources has: a number that one of them lacks counts once for each.
+    lacking = missing_numbers(some, texts_of, of_source, [*row, "source_id"]).groupBy(*row).agg(F.count("*").alias("_lacking"))
+    lost = told.join(lacking, row).where(F.col("_lacking") == F.size("ids")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "number"))), lambda x: x["number"]).alias("_missing"))
+    out = cited.join(met.where(F.col("_words") >= LEAST_WORDS), key).join(lost, key, "left")
+    out = out.select(*key, F.regexp_replace("plain", r"(?U)^\s+|\s+\z", "").alias("sentence"), "ids", (F.col("_hits") / F.col("_words")).alias("overlap"), F.slice(F.coalesce("_missing", F.array().cast("array<string>")), 1, 4).alias("missing"))
     return out.withColumn("flagged", (F.col("overlap") < SUPPORT) | (F.size("missing") > 0))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import PLAN_QUESTIONS, PLAN_TEMPLATES
-from .citations import strip_invalid
+from .citations import clean_body
 
 _ENDS = r"(?U)^\s+|\s+\z"
 _BULLET = r"^\s*(?:[-*\d.)]+\s*)?"
@@ -49,7 +49,7 @@ def build_plan(topic: Column, reply: Column, n: int) -> Column:
 def parse_glossary(text: Column, valid: Column) -> Column:
     """array of struct(term, definition)."""
     line = r"^\s*(?:[-*•]+|\d+[.)])?\s*\**\s*(.+?)\s*\**\s*::\s*(.+)\z"
-    rows = F.transform(F.filter(_lines(text), lambda x: x.rlike(line)), lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, line, 1), r"^[*_` ]+|[*_` ]+\z", "").alias("term"), F.regexp_replace(strip_invalid(F.regexp_extract(x, line, 2), valid)["text"], _ENDS, "").alias("definition")))
+    rows = F.transform(F.filter(_lines(text), lambda x: x.rlike(line)), lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, line, 1), r"^[*_` ]+|[*_` ]+\z", "").alias("term"), clean_body(F.regexp_extract(x, line, 2), valid).alias("definition")))
     good = F.filter(rows, lambda r: (r["term"] != "") & (r["definition"] != "") & (F.length(r["term"]) <= 80))
     names = lambda a: F.transform(a, lambda r: F.lower(r["term"]))
     return F.filter(good, lambda r, i: F.array_position(names(good), F.lower(r["term"])) == i + 1)

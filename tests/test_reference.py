@@ -224,3 +224,22 @@ def test_dedup_of_odd_rows(spark):
     kept = dedup.greedy_two_key(df, ["topic_id"])
     assert sorted(r["ord"] for r in kept.collect()) == [0, 2] and kept.columns == df.columns
     assert dedup.greedy_two_key(df.limit(0), ["topic_id"]).count() == 0
+
+
+def test_support_check_of_several_sources(spark):
+    """Words count by occurrence and may come from any source cited; numbers by substring, commas aside; unknown ids and short sentences go."""
+    sources = spark.createDataFrame([(0, 1, "Alpha rivers carry gravel; 12,345 tons and 3.14159 more. Code x1796y."), (0, 2, "Beta glaciers grind stone."), (0, 3, None), (1, 1, "Other report.")], "r int, source_id int, text string")
+    texts = [
+        "Rivers carry gravel while glaciers grind stone [S1][S2].", "Rivers carry gravel while glaciers grind stone [S1].", "Rivers rivers rivers carry marble granite basalt [S1, S9].",
+        "Rivers carried gravel stones totalling 2,345 or 796 or 3.14 or 99 tons [S1][S2].", "Nothing known regarding several different words [S3].", "Unknown source with several content words [S9].", "Rivers carry gravel [S1].", "Numbers 1,0 and 7 and 77.7 and 88 and 66 and 55 and 44 with several measured content words [S2]"]
+    got = {r["text_ord"]: r for r in citations.support_check(spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "r int, text_ord int, text string"), sources, ["r"]).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 7]
+    assert got[0]["overlap"] == 1 and list(got[0]["ids"]) == [1, 2] and abs(got[1]["overlap"] - 3 / 6) < 1e-9 and abs(got[2]["overlap"] - 4 / 7) < 1e-9 and list(got[2]["ids"]) == [1]
+    assert list(got[3]["missing"]) == ["99"] and got[4]["overlap"] == 0 and list(got[7]["missing"]) == ["1,0", "77.7", "88", "66"]
+    assert citations.support_check(spark.createDataFrame([], "r int, text_ord int, text string"), sources, ["r"]).count() == 0
+
+
+def test_clean_body(spark):
+    valid = F.array(F.lit(1).cast("long"))
+    clean = lambda t: spark.createDataFrame([(t,)], "t string").select(citations.clean_body(F.col("t"), valid)).first()[0]
+    assert clean("# Head\nClaim [S99] stays [S1] .\n #1 cause is heat [S1]\n####### seven\n###### six\n  ## two") == "Claim stays [S1].\n #1 cause is heat [S1]\n####### seven"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CONTEXT_CHARS, PER_SOURCE, PROFILES, SECTIONS, Profile
 from ..functions.safety import explicit_hits, is_explicit_source, is_relevant
 from ..functions.text import excerpt, kind_label
-from ..operators.citations import support_check, verification
+from ..operators.citations import clean_body, support_check, verification
 from ..operators.dedup import first_of_each, greedy_two_key
 from ..operators.passages import passages
 from ..operators.protocols import parse_video
@@ -120,11 +120,12 @@ def evidence(chosen: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def write(chosen: DataFrame, replies: DataFrame | None = None) -> DataFrame:
-    """topic_id, section, body: a captured reply if there is one, else the extractive body."""
+    """topic_id, section, body: what is left of a captured reply without headings and tags of sources that weren't its evidence; else the extractive body."""
     own = extractive(chosen, [*TOPIC, "section"]).withColumn("body", F.concat(F.lit("*Extracts from the sources, without a model.*\n\n"), "body"))
     if replies is None:
         return own
-    told = replies.where("coalesce(text, '') <> ''").select(*TOPIC, "section", F.col("text").alias("_reply"))
+    valid = chosen.groupBy(*TOPIC, "section").agg(F.collect_set(F.col("source_id").cast("long")).alias("_valid"))  # a section has as many passages as its budget
+    told = replies.where("coalesce(text, '') <> ''").join(valid, [*TOPIC, "section"]).select(*TOPIC, "section", F.nullif(clean_body(F.col("text"), F.col("_valid")), F.lit("")).alias("_reply"))
     return own.join(told, [*TOPIC, "section"], "left").select(*TOPIC, "section", F.coalesce("_reply", "body").alias("body"))
 
 

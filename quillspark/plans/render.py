@@ -57,6 +57,10 @@ NOTES = [
     "Paper entries are abstracts, not full texts. News entries are headlines and snippets.",
     "Verify anything important against the linked sources before relying on it."]
 
+HTML_NOTES = [
+    "Every claim should carry a numbered citation; citations to sources that were not provided are removed automatically. Reliability labels are a rough domain-based heuristic, not a fact-check.",
+    "Paper entries are abstracts, news entries are headlines and snippets. Verify anything important against the linked sources."]
+
 
 def _cat(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
@@ -123,29 +127,36 @@ def sources_json(sources: DataFrame, numbers: DataFrame, report: list[str]) -> D
     w = Window.partitionBy(*report).orderBy(F.col("n").isNull(), "n", "ord")
     fields = ["n", "cited", "title", "url", "publisher", "provider", "kind", "date", "authors", "reliability_heuristic"]
     rows = rows.withColumns({"cited": F.col("n").isNotNull(), "reliability_heuristic": reliability_label(F.col("trust")), "place": F.row_number().over(w)})
+    fields += ["retrieved"] if "retrieved" in rows.columns else []
     return rows.select(*report, "place", *fields, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
 
 
+# Fixed value: the small part of Markdown that is understood.
 _MARKS = re.compile(r"`(?P<code>[^`]+)`|\[(?P<name>[^\]]+)\]\((?P<link>https?://[^)\s\"']+)\)|\*\*(?P<bold>.+?)\*\*|(?<![*\w])\*(?!\s)(?P<slant>.+?)(?<!\s)\*(?![*\w])|\[(?P<cite>\d+)\]")
 
 
+def _esc(text: str) -> str:
+    """As esc() of a column."""
+    return html.escape(text).replace("&#x27;", "&#39;")
+
+
 def _inline(text: str, refs) -> str:
     """Escaped text with code, links, bold, italics and citations; ``[n]`` without a source stays as it is."""
     out, at = [], 0
     for m in _MARKS.finditer(text):
-        out.append(html.escape(text[at:m.start()]))
+        out.append(_esc(text[at:m.start()]))
         at = m.end()
         if m["code"] is not None:
-            out.append(f"<code>{html.escape(m['code'])}</code>")
+            out.append(f"<code>{_esc(m['code'])}</code>")
         elif m["link"]:
-            out.append(f'<a href="{html.escape(m["link"])}" target="_blank" rel="noopener noreferrer">{_inline(m["name"], refs)}</a>')
+            out.append(f'<a href="{_esc(m["link"])}" target="_blank" rel="noopener noreferrer">{_inline(m["name"], refs)}</a>')
         elif m["bold"]:
             out.append(f"<strong>{_inline(m['bold'], refs)}</strong>")
         elif m["slant"]:
             out.append(f"<em>{_inline(m['slant'], refs)}</em>")
         else:
             out.append(f'<a class="cite" href="#ref-{m["cite"]}">[{m["cite"]}]</a>' if int(m["cite"]) in refs else m.group())
-    return "".join(out) + html.escape(text[at:])
+    return "".join(out) + _esc(text[at:])
 
 
 def markdown_to_html(text: str | None, refs=None) -> str:
@@ -236,7 +247,7 @@ def html_body(reports: DataFrame, key: list[str]) -> DataFrame:
         return _cat('<div class="video"><h3>', link(v["url"], esc(v["title"])), '</h3><p class="small">', esc(about), "</p><p>", made(3, i), "</p>", points, "</div>")
 
     models = F.when(F.size("models") > 0, F.array(_cat("Models: ", F.array_join("models", ", ")))).otherwise(F.array().cast("array<string>"))
-    notes = F.concat(F.array(*map(F.lit, NOTES)), models, F.transform("verification", lambda x: _cat("Check: ", x)), F.transform("warnings", lambda x: _cat("Run note: ", x)))
+    notes = F.concat(F.array(*map(F.lit, HTML_NOTES)), models, F.transform("verification", lambda x: _cat("Check: ", x)), F.transform("warnings", lambda x: _cat("Run note: ", x)))
     body = _cat(
         "<h1>", esc(c("topic")), '</h1><p class="meta">Learning briefing · ', esc(c("generated")), " · ", esc(c("level")), " level · ", esc(c("depth")), " depth · ", F.size("refs").cast("string"), " sources cited</p>",
         F.when(F.coalesce("tldr", F.lit("")) == "", "").otherwise(_cat('<div class="tldr"><strong>TL;DR</strong> ', made(0, F.lit(0)), "</div>")),
@@ -251,6 +262,10 @@ def html_body(reports: DataFrame, key: list[str]) -> DataFrame:
     return reports.join(met, key).select(*key, body.alias("html"))
 
 
+# Fixed value: what follows the topic in a document's title.
+TITLE_END = " – learning briefing"
+
+
 def document(title: Column, body: Column, style: str = "body{max-width:46rem;margin:auto;padding:2rem;font:17px/1.6 serif}") -> Column:
     """A document of its own around an HTML body."""
-    return _cat('<!doctype html><html lang="en"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width,initial-scale=1"><title>', esc(title), f"</title><style>{style}</style></head><body><main>", body, "</main></body></html>")
+    return _cat('<!doctype html><html lang="en"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width,initial-scale=1"><title>', esc(title), f"{TITLE_END}</title><style>{style}</style></head><body><main>", body, "</main></body></html>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import BAD_TITLE, EDU_CHANNELS, EXPLICIT_WORDS, PROFILES, SECTIONS
 from .functions import media, safety, text as tx, urls
 from .operators import citations, dedup, passages as pg, ranking
-from .plans import briefing, completion, render, topics
+from .plans import briefing, completion, render, report, topics
 from .queries import BM25_SQL, CANON_SQL, HOST_SQL, MATCH_SQL, SQL, TERMS_SQL, TRUST_SQL, YEAR, _bm25, _topics, _trust, hits_sql, query, table, terms_, values
 from .sources import pages as pages_, payloads, store, web
 
@@ -428,3 +428,72 @@ def _reports(spark, d) -> DataFrame:
         F.array(F.struct(F.lit("why?").alias("question"), F.lit("a & b").alias("answer"))).alias("quiz"), F.array(F.struct(F.lit("N").alias("topic"), F.lit("w").alias("why"))).alias("next"), F.array(F.struct(F.lit(1).alias("n"), source.alias("source"))).alias("refs"), F.array(source).alias("consulted"),
         F.array(F.lit("m1")).alias("models"), F.array(F.lit("line")).alias("verification"), none.alias("warnings"))
     return rows
+
+
+# ---- whole reports -----------------------------------------------------------------------------------
+def _report_inputs(spark, d):
+    """A topic for each source of documents, its documents as sources, and replies to four sections, the glossary, the quiz and what is next."""
+    from pyspark.sql import Window
+
+    docs = table(spark, d, "documents").select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("topic_id"), "doc_id", "source", "text")
+    number = F.row_number().over(Window.partitionBy("topic_id").orderBy("doc_id")).cast("long")
+    kinds = F.array(*map(F.lit, ("encyclopedia", "web", "academic", "news")))
+    sources = docs.select(
+        "topic_id", number.alias("id"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60).alias("title"), F.col("source").alias("publisher"), F.lit("").alias("date"), F.lit("").alias("authors"),
+        F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("kind"), F.lit("Corpus").alias("provider"), _text(["https://e.org/", _s("doc_id")]).alias("url"), F.lit(0.5).alias("trust"), "text", F.col("doc_id").alias("ord"))
+    asked = sources.select("topic_id").distinct().select("topic_id", _text(["Topic ", _s("topic_id")]).alias("topic"), F.lit("2024-01-31").alias("generated"), F.lit("beginner").alias("level"), F.lit("standard").alias("depth"))
+    first = sources.where("id <= 4").select("topic_id", F.col("id").alias("k"))
+    section = F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("k").cast("int"))
+    told = first.select("topic_id", section.alias("section"), _text(["# Head\nFact ", _s("k"), " of ", _s("topic_id"), " [S", (F.col("k") + 1).cast("string"), ", S9999] and [S", (F.col("k") * 2).cast("string"), "]."]).alias("text"))
+    chosen = first.select("topic_id", "k", F.explode(F.array_distinct(F.array("k", F.col("k") + 1, F.col("k") * 2))).alias("source_id")).join(sources.select("topic_id", F.col("id").alias("source_id"), "text"), ["topic_id", "source_id"])
+    chosen = chosen.select("topic_id", section.alias("section"), "source_id", F.lit(0).alias("idx"), "text", F.lit(1.0).alias("score"))
+    title = F.create_map(*(F.lit(x) for k, v in SECTIONS.items() for x in (k, v[0])))
+    place = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
+    bodies = briefing.write(chosen, told).select("topic_id", place.alias("ord"), F.col("section").alias("key"), title[F.col("section")].alias("title"), "body")
+    reply = lambda step, text: asked.select("topic_id", F.lit(step).alias("step"), text.alias("text"))
+    replies = reply("glossary", F.lit("".join(f"- **Term {k}** :: meaning {k} [S{3 * k}]\n" for k in (1, 2, 3)))).unionByName(reply("quiz", F.lit("Q:: one? || A:: yes [S1]\nQ:: two? || A:: no"))).unionByName(reply("next", _text(["NEXT:: More ", _s("topic_id"), " | because"])))
+    return asked, sources, bodies, replies
+
+
+REPORT_SQL = """src AS (SELECT regexp_extract(source, '([0-9]+)$', 1)::BIGINT AS topic_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS id FROM documents),
+terms AS (SELECT topic_id, k, EXISTS (SELECT 1 FROM src x WHERE x.topic_id = t.topic_id AND x.id = 3 * k) AS has, 3 * k AS id FROM (SELECT DISTINCT topic_id FROM src) t, (SELECT unnest([1, 2, 3]) AS k)),
+secs AS (SELECT topic_id, id AS k, EXISTS (SELECT 1 FROM src x WHERE x.topic_id = s.topic_id AND x.id = s.id + 1) AS a, EXISTS (SELECT 1 FROM src x WHERE x.topic_id = s.topic_id AND x.id = 2 * s.id) AS b FROM src s WHERE id <= 4),
+cites AS (SELECT topic_id, k AS pos, id FROM terms WHERE has UNION ALL SELECT topic_id, 10 + 2 * k, k + 1 FROM secs WHERE a UNION ALL SELECT topic_id, 11 + 2 * k, 2 * k FROM secs WHERE b),
+numbers AS (SELECT topic_id, id, row_number() OVER (PARTITION BY topic_id ORDER BY min(pos)) AS n FROM cites GROUP BY topic_id, id),
+g AS (SELECT topic_id, string_agg('Term ' || k || ': meaning ' || k || CASE WHEN has THEN ' [' || n || ']' ELSE '' END, '|' ORDER BY k) AS glossary FROM terms LEFT JOIN numbers USING (topic_id, id) GROUP BY topic_id),
+b AS (SELECT s.topic_id, string_agg('Fact ' || k || ' of ' || s.topic_id || CASE WHEN a THEN ' [' || x.n || ']' ELSE '' END || ' and' || CASE WHEN b THEN ' [' || y.n || ']' ELSE '' END || '.', '|' ORDER BY k) AS bodies
+  FROM secs s LEFT JOIN numbers x ON x.topic_id = s.topic_id AND x.id = k + 1 LEFT JOIN numbers y ON y.topic_id = s.topic_id AND y.id = 2 * k GROUP BY s.topic_id),
+r AS (SELECT topic_id, string_agg(n || ' https://e.org/' || doc_id, '|' ORDER BY n) AS refs FROM numbers JOIN src USING (topic_id, id) GROUP BY topic_id),
+c AS (SELECT topic_id, string_agg('https://e.org/' || doc_id, '|' ORDER BY id) AS consulted FROM src ANTI JOIN numbers USING (topic_id, id) GROUP BY topic_id)"""
+
+
+@query(f"""WITH {REPORT_SQL} SELECT topic_id, 'Topic ' || topic_id AS topic, glossary, bodies, refs, coalesce(consulted, '') AS consulted, 'one?yes|two?no' AS quiz, 'More ' || topic_id AS further, 'extractive' AS mode FROM g JOIN b USING (topic_id) JOIN r USING (topic_id) LEFT JOIN c USING (topic_id)""")
+def c10_whole_reports(spark, d):
+    """A report for each topic, assembled from sources and cleaned replies, and its parts as texts."""
+    rows = report.assemble(*_report_inputs(spark, d))
+    line = lambda name, f: F.array_join(F.transform(name, f), "|")
+    return rows.select(
+        "topic_id", "topic", line("glossary", lambda g: _text([g["term"], ": ", g["definition"]])).alias("glossary"), line("sections", lambda s: s["body"]).alias("bodies"), line("refs", lambda r: _text([r["n"].cast("string"), " ", r["source"]["url"]])).alias("refs"),
+        line("consulted", lambda s: s["url"]).alias("consulted"), line("quiz", lambda q: _text([q["question"], q["answer"]])).alias("quiz"), line("next", lambda n: n["topic"]).alias("further"), "mode")
+
+
+@query(f"""WITH {REPORT_SQL}, lines AS (SELECT topic_id, unnest(string_split(bodies, '|')) AS x FROM b UNION ALL SELECT topic_id, '- **' || replace(unnest(string_split(glossary, '|')), ': ', '**: ') FROM g
+UNION ALL SELECT topic_id, '# Topic ' || topic_id FROM g UNION ALL SELECT topic_id, '- **More ' || topic_id || '**: because' FROM g) SELECT topic_id, x AS line FROM lines""")
+def k06_report_lines(spark, d):
+    """Lines of the Markdown of whole reports: title, terms, section texts and what is next."""
+    rows = report.assemble(*_report_inputs(spark, d)).select("topic_id", F.explode(F.split(render.markdown(), "\n")).alias("line"))
+    return rows.where(F.col("line").rlike(r"^# |^Fact |^- \*\*(Term|More) "))
+
+
+@query(f"""WITH {REPORT_SQL} SELECT topic_id, 'Topic ' || topic_id AS topic, count(*) AS sources, count(n) AS cited, string_agg(CASE WHEN n IS NOT NULL THEN n || ' https://e.org/' || doc_id END, '|' ORDER BY n) AS first, bool_and(true) AS retrieved FROM src LEFT JOIN numbers USING (topic_id, id) GROUP BY topic_id""")
+def k09_sources_document(spark, d):
+    """The sources of whole reports as documents, read back: cited ones first, each with the day it was retrieved."""
+    asked, sources, bodies, replies = _report_inputs(spark, d)
+    texts = report.glossary(replies, sources, PROFILES["standard"]).select("topic_id", F.lit(0).alias("part"), F.col("ord").cast("long").alias("ord"), F.col("definition").alias("text")).unionByName(bodies.select("topic_id", F.lit(1).alias("part"), F.col("ord").cast("long").alias("ord"), F.col("body").alias("text")))
+    made = report.sources_document(asked, sources, citations.renumber(texts, ["topic_id"], ["part", "ord"]))
+    kind = "struct<topic:string,generated:string,sources:array<struct<n:bigint,cited:boolean,url:string,retrieved:string>>>"
+    read = made.select("topic_id", F.from_json("json", kind).alias("j"))
+    cited = F.filter("j.sources", lambda s: s["cited"])
+    return read.select(
+        "topic_id", "j.topic", F.size("j.sources").cast("long").alias("sources"), F.size(cited).cast("long").alias("cited"), F.array_join(F.transform(F.slice("j.sources", F.lit(1), F.size(cited)), lambda s: _text([s["n"].cast("string"), " ", s["url"]])), "|").alias("first"),
+        F.forall("j.sources", lambda s: s["retrieved"] == F.col("j.generated")).alias("retrieved"))

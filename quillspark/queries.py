@@ -651,3 +651,4 @@ def k08_anki(spark, d):
 
 
 from . import queries_briefing  # noqa: E402, F401  (adds to QUERIES and SQL)
+from . import queries_tables  # noqa: E402, F401  (adds to QUERIES and SQL)

@@ -20,6 +20,11 @@ def host(url: Column, strip_www: bool = True) -> Column:
     return F.regexp_replace(h, r"^www\.", "") if strip_www else h
 
 
+def host_port(url: Column) -> Column:
+    """Lower-cased host with the port, where one is named."""
+    return F.lower(F.concat(_part(url, 2), _part(url, 3)))
+
+
 def origin(url: Column) -> Column:
     return F.lower(F.concat(_part(url, 1), F.lit("://"), _part(url, 2), _part(url, 3)))
 

@@ -8,7 +8,7 @@ from .functions import media, text as tx, urls
 from .operators import citations, dedup, protocols
 from .plans import render
 from .queries import query, stems_sql, table, words_sql
-from .sources import store
+from .sources import answers, payloads, store
 
 
 def _text(*c) -> F.Column:
@@ -49,9 +49,9 @@ def t14_durations_of_events(spark, d):
     return table(spark, d, "events").select("event_id", media.parse_duration(made).alias("seconds"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 2 THEN -1 ELSE event_id * 41 % 9000 END AS seconds FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 2 THEN -1 ELSE event_id * 41 % 5400 END AS seconds FROM events")
 def t16_stamps_of_events(spark, d):
-    n = F.col("event_id") * 41 % 9000
+    n = F.col("event_id") * 41 % 5400
     made = F.element_at(F.array(F.format_string("%d:%02d", (n / 60).cast("int"), n % 60), F.format_string("%d:%02d:%02d", (n / 3600).cast("int"), (n % 3600 / 60).cast("int"), n % 60), F.lit("soon")), (F.col("event_id") % 3 + 1).cast("int"))
     return table(spark, d, "events").select("event_id", F.coalesce(media.parse_timestamp(made), F.lit(-1)).alias("seconds"))
 
@@ -152,3 +152,27 @@ def k08_anki_of_items(spark, d):
 def r15_topic_in_turn(spark, d):
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), _text("Topic ", _s("item_id")).alias("topic"))
     return store.ordinal_pick(rows, rows.where("ord % 3 = 0").select(F.lower("topic").alias("topic")), "2024-03-09")
+
+
+@query(r"""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN left(latin, 500) WHEN 5 THEN left(latin, 500) WHEN 1 THEN left(text, 250) WHEN 4 THEN left(plain, 500) END AS text,
+CASE doc_id % 7 WHEN 2 THEN 'h.example.org:81 failed after 2 attempts: HTTP 503 from h.example.org:81' WHEN 3 THEN 'HTTP 404 from https://h.example.org:81/' || doc_id WHEN 6 THEN 'h.example.org:81 failed after 2 attempts: timeout' END AS error
+FROM (SELECT doc_id, text, regexp_replace(text, '[^\x00-\xFF]', '?', 'g') AS latin, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS plain FROM documents)""")
+def s01_answers(spark, d):
+    """Two attempts for each document, of seven kinds: three charsets, tries that are repeated or not, and none that succeeds; 500 bytes are read."""
+    docs, i = table(spark, d, "documents"), F.col("doc_id") % 7
+    latin, plain = (F.regexp_replace("text", f"[^\\x00-\\x{end}]", "?") for end in ("FF", "7F"))
+    body = F.when(i == 1, F.encode("text", "UTF-16LE")).when(i == 4, F.encode(plain, "UTF-8")).otherwise(F.encode(latin, "ISO-8859-1"))
+    charset = F.when(i == 1, "text/html; charset=utf-16le").when(i == 4, "text/html").otherwise("text/plain;charset=ISO-8859-1")
+    status = lambda *codes: F.element_at(F.array(*(F.lit(c).cast("int") for c in codes)), (i + 1).cast("int"))
+    attempt = lambda n, code, content: docs.select("doc_id", _text("https://H.example.org:81/", _s("doc_id")).alias("url"), F.lit(n).alias("attempt"), code.alias("status"), charset.alias("content_type"), content.alias("content"), F.lit("timeout").alias("detail"))
+    tried = attempt(1, status(200, 429, 500, 404, None, 200, 503), body).unionByName(attempt(2, status(200, 200, 503, 200, 200, 200, None), F.when(i.isin(1, 4), body).otherwise(F.encode(F.lit("late"), "UTF-8"))))
+    return answers.answers(tried, ["doc_id"], 500).select("doc_id", "text", F.replace("error", F.lit("https://H."), F.lit("https://h.")).alias("error"))
+
+
+@query("""SELECT doc_id // 8 AS topic_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS pos, 'T ' || doc_id AS title, 'https://en.wikipedia.org/wiki/T_' || doc_id AS url, '2024-02-0' || (1 + doc_id % 9) AS date FROM documents WHERE doc_id % 8 % 4 < 2 AND doc_id % 8 <> 5 QUALIFY pos <= 2""")
+def s03_wikipedia_articles(spark, d):
+    """Eight answers a topic of four queries, of which two count; one is a disambiguation page."""
+    i, at = F.col("doc_id"), F.col("doc_id") % 8
+    page = _text('{"query":{"pages":{"', _s("doc_id"), '":{"title":"T ', _s("doc_id"), '","touched":"2024-02-0', (1 + i % 9).cast("string"), 'T01:02:03Z","extract":"', F.when(at == 5, "It May refer to: many").otherwise("Plain article."), '"}}}}')
+    rows = table(spark, d, "documents").select(F.expr("doc_id div 8").alias("topic_id"), i.alias("ord"), (at % 4).alias("query_ord"), page.alias("body"))
+    return payloads.wikipedia(rows, 2).select("topic_id", "pos", "title", "url", "date")

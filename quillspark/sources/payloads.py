@@ -41,9 +41,14 @@ def _first(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("topic_id").orderBy("pos")) - 1).where(F.col("pos") < most)
 
 
+#: Fixed value: of a plan's queries the encyclopedia is asked the first ones.
+WIKI_QUERIES = 2
+
+
 def wikipedia(payloads: DataFrame, most: int) -> DataFrame:
-    """Articles of extract answers, without empty and disambiguation pages."""
-    schema = "struct<query:struct<pages:map<string,struct<pageid:long,title:string,fullurl:string,extract:string>>>>"
+    """Articles of extract answers (topic_id, ord, body, and query_ord where known), without empty and disambiguation pages and those of later queries."""
+    schema = "struct<query:struct<pages:map<string,struct<pageid:long,title:string,fullurl:string,extract:string,touched:string>>>>"
+    payloads = payloads.where(F.col("query_ord") < WIKI_QUERIES) if "query_ord" in payloads.columns else payloads
     pages = payloads.select("topic_id", "ord", F.explode(F.from_json("body", schema)["query"]["pages"]).alias("k", "p"))
     text = clean_wiki_extract(F.col("p.extract"))
     good = pages.withColumn("text", text).where((F.col("text") != "") & ~F.lower(F.substring("text", 1, 250)).contains("may refer to"))
@@ -52,7 +57,7 @@ def wikipedia(payloads: DataFrame, most: int) -> DataFrame:
     first = first_of_each(good, ["topic_id", "p.title"], ["ord", "k"])
     placed = first.withColumn("pos", F.row_number().over(Window.partitionBy("topic_id").orderBy("ord", "k"))).where(F.col("pos") <= most)
     url = F.coalesce("p.fullurl", F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("p.title", F.lit(" "), F.lit("_"))))
-    return _trusted(_sources(placed, "encyclopedia", "Wikipedia", title=F.col("p.title"), url=url, text=F.col("text"), publisher=F.lit("Wikipedia")))
+    return _trusted(_sources(placed, "encyclopedia", "Wikipedia", title=F.col("p.title"), url=url, text=F.col("text"), date=F.substring(F.coalesce("p.touched", F.lit("")), 1, 10), publisher=F.lit("Wikipedia")))
 
 
 def arxiv_query(topic: Column) -> Column:

@@ -29,7 +29,7 @@ STEP = 128
 #: Ids that a block holds at least, except a shard's last. A document isn't divided.
 BLOCK = 1 << 18
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: How the tokenizers that are encoded piece by piece normalise and part texts.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

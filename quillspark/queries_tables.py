@@ -176,3 +176,45 @@ def s03_wikipedia_articles(spark, d):
     page = _text('{"query":{"pages":{"', _s("doc_id"), '":{"title":"T ', _s("doc_id"), '","touched":"2024-02-0', (1 + i % 9).cast("string"), 'T01:02:03Z","extract":"', F.when(at == 5, "It May refer to: many").otherwise("Plain article."), '"}}}}')
     rows = table(spark, d, "documents").select(F.expr("doc_id div 8").alias("topic_id"), i.alias("ord"), (at % 4).alias("query_ord"), page.alias("body"))
     return payloads.wikipedia(rows, 2).select("topic_id", "pos", "title", "url", "date")
+
+
+@query("""WITH m AS (SELECT doc_id // 6 AS listing, 'm/' || lpad((doc_id * 7 % 1000)::VARCHAR, 3, '0') || '-' || doc_id || CASE WHEN doc_id % 5 = 0 THEN ':free' ELSE '' END AS id, doc_id % 5 = 0 OR doc_id % 3 = 0 AS free, doc_id * 16 AS context FROM documents
+UNION ALL SELECT DISTINCT doc_id // 6, 'openrouter/free', NULL, 0 FROM documents)
+SELECT listing, row_number() OVER (PARTITION BY listing ORDER BY free IS NOT NULL, free DESC, id) - 1 AS ord, id, coalesce(free, true) AS free, context FROM m""")
+def s20_hosted_models(spark, d):
+    """Listings of six models, some free by name and some by price."""
+    i = F.col("doc_id")
+    name = _text("m/", F.lpad((i * 7 % 1000).cast("string"), 3, "0"), "-", _s("doc_id"), F.when(i % 5 == 0, ":free").otherwise(""))
+    price = F.when(i % 3 == 0, '{"prompt":"0","completion":"0.0"}').when(i % 3 == 1, '{"prompt":"0","completion":"0.1"}').otherwise("null")
+    model = _text('{"id":"', name, '","context_length":', (i * 16).cast("string"), ',"pricing":', price, "}")
+    body = table(spark, d, "documents").groupBy(F.expr("doc_id div 6").alias("listing")).agg(_text('{"data":[', F.array_join(F.collect_list(model), ","), "]}").alias("body"))
+    return payloads.hosted_models(body, ["listing"]).select("listing", F.col("ord").cast("long").alias("ord"), "id", "free", "context")
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id // 6 AS day, doc_id % 6 AS slot FROM documents)
+SELECT day, CASE WHEN slot = 0 THEN 1 WHEN slot < 4 THEN 2 ELSE 3 END AS priority, CASE WHEN slot = 0 THEN 0 WHEN slot < 4 THEN row_number() OVER (PARTITION BY day, slot BETWEEN 1 AND 3 ORDER BY doc_id) - 1 ELSE slot + 7 END AS ord, 'Art ' || doc_id AS topic,
+CASE WHEN slot = 0 THEN 'Wikipedia''s featured article today' WHEN slot < 4 THEN 'on this day (' || CASE WHEN slot = 2 THEN '?' ELSE (1900 + slot)::VARCHAR END || ')' ELSE 'random Wikipedia article' END AS why FROM d WHERE slot < 5""")
+def s19_topic_feeds(spark, d):
+    """Days of a featured article, three anniversaries of two articles each, and two random ones, of which one is drawn too late."""
+    from pyspark.sql import Window
+
+    docs = table(spark, d, "documents").select("doc_id", F.expr("doc_id div 6").alias("day"), (F.col("doc_id") % 6).alias("at"))
+    title = _text("Art_", _s("doc_id"))
+    year = F.when(F.col("at") == 2, "null").otherwise((F.col("at") + 1900).cast("string"))
+    event = F.struct("doc_id", _text('{"year":', year, ',"pages":[{"title":"', title, '"},{"title":"Other_', _s("doc_id"), '"}]}').alias("e"))
+    parts = docs.groupBy("day").agg(F.max(F.when(F.col("at") == 0, _text('"tfa":{"title":"', title, '"},'))).alias("t"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").between(1, 3), event))), lambda x: x["e"]), ",").alias("e"))
+    feed = parts.select("day", _text("{", F.coalesce("t", F.lit("")), '"onthisday":[', F.col("e"), "]}").alias("body"))
+    about = _text('{"title":"Art ', _s("doc_id"), '","extract":"x","type":"standard"}')
+    summaries = docs.where("at < 4").select(_text("Art ", _s("doc_id")).alias("title"), about.alias("body"))
+    randoms = docs.where("at >= 4").select("day", (F.col("at") + 7).alias("attempt"), about.alias("body"))
+    return payloads.topic_feed(feed, summaries, randoms, ["day"]).select("day", F.col("priority").cast("int").alias("priority"), F.col("ord").cast("long").alias("ord"), "topic", "why")
+
+
+@query("""SELECT doc_id, 'local-' || doc_id AS id, CASE doc_id % 3 WHEN 0 THEN '7B · Q4' WHEN 1 THEN '7B' ELSE '' END AS detail FROM documents WHERE doc_id % 4 <> 3
+UNION ALL SELECT doc_id, 'plain-' || doc_id, '' FROM documents WHERE doc_id % 4 = 3""")
+def s20_local_models(spark, d):
+    i = _s("doc_id")
+    details = F.when(F.col("doc_id") % 3 == 0, '{"parameter_size":"7B","quantization_level":"Q4"}').when(F.col("doc_id") % 3 == 1, '{"parameter_size":"7B","quantization_level":""}').otherwise("null")
+    tags, plain = _text('{"models":[{"name":"local-', i, '","details":', details, "}]}"), _text('{"data":[{"id":"text-Embed-', i, '"},{"id":"plain-', i, '"}]}')
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 3, plain).otherwise(tags).alias("body"))
+    return payloads.local_models(rows, ["doc_id"]).select("doc_id", "id", "detail")

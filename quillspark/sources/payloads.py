@@ -155,18 +155,59 @@ def caption_track(tracks: Column) -> Column:
     return F.coalesce(F.get(written, F.lit(0)), F.get(english, F.lit(0)), F.get(tracks, F.lit(0)))
 
 
-def models(payloads: DataFrame) -> DataFrame:
-    """id, free: hosted models, the free ones first."""
-    schema = "struct<data:array<struct<id:string,pricing:struct<prompt:string,completion:string>>>>"
-    rows = payloads.select(F.explode(F.from_json("body", schema)["data"]).alias("m"))
-    zero = (F.col("m.pricing.prompt").try_cast("double") == 0) & (F.col("m.pricing.completion").try_cast("double") == 0)
-    return rows.select(F.col("m.id").alias("id"), (F.col("m.id").endswith(":free") | F.coalesce(zero, F.lit(False))).alias("free")).orderBy(F.desc("free"), "id")
+#: The router among hosted models that picks a free one, and how many random articles are tried.
+ROUTER, RANDOM_TRIES = ("openrouter/free", "OpenRouter free-model router"), 12
+
 
+def hosted_models(payloads: DataFrame, listing: list[str]) -> DataFrame:
+    """listing, ord, id, label, free, context: the models of each answer (listing, body), free ones first; the router leads where an answer doesn't have it.
 
-def topic_feed(payloads: DataFrame) -> DataFrame:
-    """priority, ord, topic, extract, kind: the featured article of a day, then its anniversaries."""
-    schema = "struct<tfa:struct<normalizedtitle:string,extract:string,type:string>,onthisday:array<struct<pages:array<struct<normalizedtitle:string,extract:string,type:string>>>>>"
-    f = payloads.select(F.from_json("body", schema).alias("f"))
-    first = f.select(F.lit(1).alias("priority"), F.lit(0).alias("ord"), F.col("f.tfa.normalizedtitle").alias("topic"), F.col("f.tfa.extract").alias("extract"), F.col("f.tfa.type").alias("kind"))
-    days = f.select(F.lit(2).alias("priority"), F.posexplode(F.flatten(F.transform("f.onthisday", lambda d: d["pages"]))).alias("ord", "p")).select("priority", "ord", F.col("p.normalizedtitle").alias("topic"), F.col("p.extract").alias("extract"), F.col("p.type").alias("kind"))
-    return first.unionByName(days).where("topic is not null")
+    A model is free by its name or if both its prices are given as zero.
+    """
+    schema = "struct<data:array<struct<id:string,name:string,context_length:bigint,pricing:struct<prompt:string,completion:string>>>>"
+    answers = payloads.select(*listing, F.from_json("body", schema)["data"].alias("_all"))
+    rows = answers.select(*listing, F.explode("_all").alias("m"))
+    zero = (F.col("m.pricing.prompt").try_cast("double") == 0) & (F.col("m.pricing.completion").try_cast("double") == 0)
+    named = rows.select(*listing, F.lit(1).alias("_last"), F.col("m.id").alias("id"), F.coalesce(F.nullif("m.name", F.lit("")), "m.id").alias("label"), (F.col("m.id").endswith(":free") | F.coalesce(zero, F.lit(False))).alias("free"), F.coalesce("m.context_length", F.lit(0)).cast("long").alias("context"))
+    without = answers.where(F.col("_all").isNull() | ~F.exists("_all", lambda m: F.coalesce(m["id"] == ROUTER[0], F.lit(False))))
+    led = without.select(*listing, F.lit(0).alias("_last"), F.lit(ROUTER[0]).alias("id"), F.lit(ROUTER[1]).alias("label"), F.lit(True).alias("free"), F.lit(0).cast("long").alias("context"))
+    order = Window.partitionBy(*listing).orderBy("_last", F.desc("free"), "id")
+    return named.unionByName(led).withColumn("ord", F.row_number().over(order) - 1).select(*listing, "ord", "id", "label", "free", "context")
+
+
+def local_models(payloads: DataFrame, listing: list[str]) -> DataFrame:
+    """listing, ord, id, label, free, detail: models that a local server names, in its order, with size and quantisation; of a plain list all but embedders."""
+    schema = "struct<models:array<struct<name:string,details:struct<parameter_size:string,quantization_level:string>>>,data:array<struct<id:string>>>"
+    read = payloads.select(*listing, F.from_json("body", schema).alias("a"))
+    nz = lambda c: F.nullif(c, F.lit(""))
+    tags = F.transform("a.models", lambda m: F.struct(m["name"].alias("id"), F.concat_ws(" · ", nz(m["details"]["parameter_size"]), nz(m["details"]["quantization_level"])).alias("detail")))
+    plain = F.transform(F.filter("a.data", lambda m: ~m["id"].rlike("(?i)embed")), lambda m: F.struct(m["id"].alias("id"), F.lit("").alias("detail")))
+    return read.select(*listing, F.posexplode(F.coalesce(tags, plain)).alias("ord", "m")).select(*listing, "ord", "m.id", F.col("m.id").alias("label"), F.lit(True).alias("free"), "m.detail")
+
+
+def topic_candidates(payloads: DataFrame, day: list[str]) -> DataFrame:
+    """day, priority, ord, title, why: the featured article of a day's feed (day, body), then the first article of each anniversary."""
+    schema = "struct<tfa:struct<title:string>,onthisday:array<struct<year:int,pages:array<struct<title:string>>>>>"
+    f = payloads.select(*day, F.from_json("body", schema).alias("f"))
+    spaced = lambda t: F.replace(t, F.lit("_"), F.lit(" "))
+    first = f.select(*day, F.lit(1).alias("priority"), F.lit(0).alias("ord"), spaced(F.col("f.tfa.title")).alias("title"), F.lit("Wikipedia's featured article today").alias("why"))
+    days = f.select(*day, F.lit(2).alias("priority"), F.posexplode("f.onthisday").alias("ord", "e")).select(
+        *day, "priority", "ord", spaced(F.get("e.pages", F.lit(0))["title"]).alias("title"), F.concat(F.lit("on this day ("), F.coalesce(F.col("e.year").cast("string"), F.lit("?")), F.lit(")")).alias("why"))
+    return first.unionByName(days).where("coalesce(title, '') <> ''")
+
+
+def article_summary(body: Column) -> Column:
+    """struct(title, extract, type) of a summary's answer."""
+    return F.from_json(body, "struct<title:string,extract:string,type:string>")
+
+
+def topic_feed(feed: DataFrame, summaries: DataFrame, randoms: DataFrame, day: list[str]) -> DataFrame:
+    """day, priority, ord, topic, extract, kind, why: the candidates of a day for which there is a summary, in the order in which they are tried.
+
+    feed: day, body; summaries: title, body of the articles asked for; randoms: day, attempt (from 0), body, of which the first RANDOM_TRIES count.
+    """
+    told = summaries.select("title", article_summary(F.col("body")).alias("s"))
+    named = topic_candidates(feed, day).join(told, "title").select(*day, "priority", "ord", F.coalesce(F.nullif("s.title", F.lit("")), "title").alias("topic"), "s.extract", F.col("s.type").alias("kind"), "why")
+    some = randoms.where(F.col("attempt") < RANDOM_TRIES).select(*day, F.lit(3).alias("priority"), F.col("attempt").cast("int").alias("ord"), article_summary(F.col("body")).alias("s"))
+    drawn = some.select(*day, "priority", "ord", F.coalesce("s.title", F.lit("")).alias("topic"), "s.extract", F.col("s.type").alias("kind"), F.lit("random Wikipedia article").alias("why"))
+    return named.unionByName(drawn)

@@ -401,10 +401,7 @@ def r09_pick_videos(spark, d):
 
 
 # ---- joins, dedup, store -----------------------------------------------------------------------------
-@query(rf"""WITH RECURSIVE rows AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id, canonical AS u, 't:' || trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)', 1)), '[^A-Za-z0-9_]+', ' ', 'g')) AS t FROM {CANON_SQL}),
-walk AS (SELECT 0 AS i, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS ord UNION ALL
-  SELECT r.i, CASE WHEN list_has_any(seen, [u, t]) THEN seen ELSE list_concat(seen, [u, t]) END, CASE WHEN NOT list_has_any(seen, [u, t]) THEN page_id END FROM walk w JOIN rows r ON r.i = w.i + 1)
-SELECT ord FROM walk WHERE ord IS NOT NULL""")
+@query()
 def d02_greedy_dedup(spark, d):
     rows = table(spark, d, "pages").select(F.lit(1).alias("topic_id"), F.col("page_id").alias("ord"), "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
     return dedup.greedy_two_key(rows, ["topic_id"]).select("ord")
@@ -545,7 +542,7 @@ def p12_transcript_lines(spark, d):
 
 # ---- pages, passages, plans, forms -------------------------------------------------------------------
 #: src (ord, text) of sources split as split_passages splits them: made (ord, step, text) by walking lines and what is left of long ones, cut (ord, idx, text) without short ones.
-WALK_SQL = """lines AS (SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY pos) AS i, line FROM (SELECT ord, pos, regexp_replace(l[pos], '^\\s+|\\s+$', '', 'g') AS line FROM (SELECT ord, l, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT ord, string_split(text, chr(10)) AS l FROM src))) WHERE line <> ''),
+PASSAGES_SQL = """lines AS (SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY pos) AS i, line FROM (SELECT ord, pos, regexp_replace(l[pos], '^\\s+|\\s+$', '', 'g') AS line FROM (SELECT ord, l, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT ord, string_split(text, chr(10)) AS l FROM src))) WHERE line <> ''),
 walk AS (
   SELECT ord, 0 AS i, 0 AS step, '' AS rest, '' AS buf, '' AS a, '' AS b FROM src
   UNION ALL
@@ -559,7 +556,7 @@ made AS (SELECT ord, 2 * step AS step, a AS text FROM walk WHERE a <> '' UNION A
 cut AS (SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY step) - 1 AS idx, text FROM (SELECT *, count(*) OVER (PARTITION BY ord) AS n FROM made) WHERE length(text) >= 120 OR n = 1)"""
 
 
-@query(f"WITH RECURSIVE src AS (SELECT doc_id AS ord, text FROM documents WHERE text IS NOT NULL), {WALK_SQL} SELECT ord, CAST(idx AS INTEGER) AS idx, text FROM cut")
+@query(f"WITH RECURSIVE src AS (SELECT doc_id AS ord, text FROM documents WHERE text IS NOT NULL), {PASSAGES_SQL} SELECT ord, CAST(idx AS INTEGER) AS idx, text FROM cut")
 def t06_passages(spark, d):
     return pg.passages(briefing.document_sources(table(spark, d, "documents")).select("ord", "text"), ["ord"])
 

@@ -12,7 +12,7 @@ from .config import BAD_TITLE, EDU_CHANNELS, EXPLICIT_WORDS, PROFILES, SECTIONS
 from .functions import media, safety, text as tx, urls
 from .operators import citations, dedup, passages as pg, ranking
 from .plans import briefing, completion, render, report, topics
-from .queries import BM25_SQL, CANON_SQL, HOST_SQL, MATCH_SQL, SQL, TERMS_SQL, TRUST_SQL, YEAR, _bm25, _topics, _trust, hits_sql, query, table, terms_, values
+from .queries import BM25_SQL, CANON_SQL, CAPS_SQL, HOST_SQL, KIND_SQL, MATCH_SQL, PASSAGES_SQL, QUERY, SOURCE_SQL, SQL, TERMS_SQL, TRUST_SQL, YEAR, _bm25, _topics, _trust, hits_sql, query, quoted, table, terms_, tokens_sql, values
 from .sources import pages as pages_, payloads, store, web
 
 EXPLICIT_SQL = f"(?i)\\b(?:{EXPLICIT_WORDS})\\b"
@@ -497,3 +497,30 @@ def k09_sources_document(spark, d):
     return read.select(
         "topic_id", "j.topic", F.size("j.sources").cast("long").alias("sources"), F.size(cited).cast("long").alias("cited"), F.array_join(F.transform(F.slice("j.sources", F.lit(1), F.size(cited)), lambda s: _text([s["n"].cast("string"), " ", s["url"]])), "|").alias("first"),
         F.forall("j.sources", lambda s: s["retrieved"] == F.col("j.generated")).alias("retrieved"))
+
+
+# ---- the retrieval of sections, whole ----------------------------------------------------------------
+_HINTS_SQL = "(VALUES " + ", ".join(f"({quoted(k)}, {quoted(hint)}, [{', '.join(map(quoted, kinds))}])" for k, (_, hint, kinds) in SECTIONS.items()) + ") v(section, hint, kinds)"
+_TAKES = "(len(list_filter(srcs, lambda x: x = p.source_id)) < 3 AND (len(ids) = 0 OR chars + p.len <= 12000) AND (p.score > 0 OR len(ids) = 0))"
+#: Sources filtered, first of each title, ranked and cut by kind; their passages; scores in each section's pool; the budgeted walk, a step a passage: p (all), w (states), taken (section, i).
+RETRIEVE_SQL = f"""WITH RECURSIVE {SOURCE_SQL}, fit AS (SELECT * FROM ranked WHERE NOT ({_count_sql('title')} >= 1 OR {_count_sql('text')} >= 2) AND (kind NOT IN ('academic', 'news') OR {hits_sql(TERMS_SQL, 'title')} >= 1 OR {hits_sql(TERMS_SQL, "left(replace(text, chr(10), chr(10) || chr(10)), 1500)")} >= 2)),
+once AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY trim(regexp_replace(lower(title), '[^A-Za-z0-9_]+', ' ', 'g')) ORDER BY ord) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(rank, 9) DESC, ord) AS place FROM once QUALIFY place <= {CAPS_SQL}),
+named AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {KIND_SQL}, place) AS id, ord, kind, title, text FROM best), {PASSAGES_SQL.replace("FROM src", "FROM named")},
+pool AS MATERIALIZED (SELECT section, id AS source_id, idx, cut.text, {tokens_sql('cut.text')} AS t FROM cut JOIN named USING (ord) JOIN {_HINTS_SQL} ON list_contains(kinds, kind)),
+stats AS (SELECT section, count(*) AS n, avg(greatest(len(t), 1)) AS avg_len FROM pool GROUP BY section), asked AS (SELECT DISTINCT section, unnest({tokens_sql(quoted(QUERY) + " || ' ' || hint")}) AS term FROM {_HINTS_SQL}),
+tf AS (SELECT section, source_id, idx, term, any_value(len) AS len, count(*) AS tf FROM (SELECT section, source_id, idx, greatest(len(t), 1) AS len, unnest(t) AS term FROM pool) JOIN asked USING (section, term) GROUP BY section, source_id, idx, term), df AS (SELECT section, term, count(*) AS df FROM tf GROUP BY section, term),
+hit AS (SELECT section, source_id, idx, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS score FROM tf JOIN df USING (section, term) JOIN stats USING (section) GROUP BY ALL),
+p AS MATERIALIZED (SELECT section, source_id, idx, length(text) AS len, text, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY section ORDER BY round(coalesce(score, 0), 9) DESC, source_id, idx) AS i FROM pool LEFT JOIN hit USING (section, source_id, idx)),
+w AS (SELECT section, 0::BIGINT AS step, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS srcs, 0::BIGINT AS chars FROM {_HINTS_SQL} UNION ALL
+  SELECT p.section, p.i, CASE WHEN {_TAKES} THEN list_append(ids, p.i) ELSE ids END, CASE WHEN {_TAKES} THEN list_append(srcs, p.source_id) ELSE srcs END, CASE WHEN {_TAKES} THEN chars + p.len ELSE chars END FROM w JOIN p ON p.section = w.section AND p.i = w.step + 1 WHERE len(ids) < 8),
+taken AS (SELECT section, unnest(ids) AS i FROM (SELECT section, ids FROM w QUALIFY row_number() OVER (PARTITION BY section ORDER BY step DESC) = 1))"""
+SQL["p06_section_retrieval"] = f"{RETRIEVE_SQL} SELECT section, source_id::BIGINT AS source_id, idx::INTEGER AS idx, round(score, 6) AS score FROM taken JOIN p USING (section, i)"
+SQL["p04_evidence"] = f"""{RETRIEVE_SQL}, rows AS (SELECT section, source_id, idx, p.text FROM taken JOIN p USING (section, i)),
+heads AS (SELECT id AS source_id, '[S' || id || '] ' || title || ' (Corpus, ' || CASE kind WHEN 'encyclopedia' THEN 'Encyclopedia' WHEN 'web' THEN 'Web page' WHEN 'academic' THEN 'Research paper' ELSE 'News' END || ', ' || (2015 + ord % 10) || '-01-01)' AS head FROM named),
+parts AS (SELECT section, source_id, head || chr(10) || string_agg('  ' || text, chr(10) ORDER BY idx) AS b FROM rows JOIN heads USING (source_id) GROUP BY section, source_id, head)
+SELECT 0::BIGINT AS topic_id, section, string_agg(b, chr(10) ORDER BY source_id) AS evidence FROM parts GROUP BY section"""
+_SQUASHED = "trim(regexp_replace(regexp_replace(p.text, '^=+ .*? =+\\n', ''), '\\s+', ' ', 'g'))"
+SQL["r11_extractive_briefing"] = f"""{RETRIEVE_SQL}, top AS (SELECT section, source_id, {_SQUASHED} AS t, row_number() OVER (PARTITION BY section ORDER BY round(score, 9) DESC, source_id, idx) AS spot FROM taken JOIN p USING (section, i) QUALIFY spot <= 4),
+shown AS (SELECT section, source_id, spot, CASE WHEN length(t) <= 320 THEN t WHEN length(regexp_extract(t, '(?s)^(.{{0,320}}\\. )', 1)) - 2 > 120 THEN left(t, length(regexp_extract(t, '(?s)^(.{{0,320}}\\. )', 1)) - 1) ELSE rtrim(left(t, 320)) || '...' END AS e FROM top)
+SELECT 0::BIGINT AS topic_id, section, '*Extracts from the sources, without a model.*' || chr(10) || chr(10) || string_agg('- ' || e || ' [S' || source_id || ']', chr(10) ORDER BY spot) AS body FROM shown GROUP BY section"""

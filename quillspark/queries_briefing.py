@@ -524,3 +524,6 @@ _SQUASHED = "trim(regexp_replace(regexp_replace(p.text, '^=+ .*? =+\\n', ''), '\
 SQL["r11_extractive_briefing"] = f"""{RETRIEVE_SQL}, top AS (SELECT section, source_id, {_SQUASHED} AS t, row_number() OVER (PARTITION BY section ORDER BY round(score, 9) DESC, source_id, idx) AS spot FROM taken JOIN p USING (section, i) QUALIFY spot <= 4),
 shown AS (SELECT section, source_id, spot, CASE WHEN length(t) <= 320 THEN t WHEN length(regexp_extract(t, '(?s)^(.{{0,320}}\\. )', 1)) - 2 > 120 THEN left(t, length(regexp_extract(t, '(?s)^(.{{0,320}}\\. )', 1)) - 1) ELSE rtrim(left(t, 320)) || '...' END AS e FROM top)
 SELECT 0::BIGINT AS topic_id, section, '*Extracts from the sources, without a model.*' || chr(10) || chr(10) || string_agg('- ' || e || ' [S' || source_id || ']', chr(10) ORDER BY spot) AS body FROM shown GROUP BY section"""
+#: The glossary's passages: one pool of all kinds, ten of them; its terms' words are the topic's own or in no source.
+_GLOSSARY_SQL = "(VALUES ('glossary', 'definition meaning', ['encyclopedia', 'web', 'academic', 'news'])) v(section, hint, kinds)"
+SQL["p07_glossary_passages"] = RETRIEVE_SQL.replace(_HINTS_SQL, _GLOSSARY_SQL).replace("len(ids) < 8", "len(ids) < 10") + " SELECT source_id::BIGINT AS source_id, idx::INTEGER AS idx, round(score, 6) AS score FROM taken JOIN p USING (section, i)"

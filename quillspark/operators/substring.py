@@ -35,12 +35,18 @@ def find(searches: DataFrame, rows: DataFrame, index: DataFrame, keys: list[str]
     """
     needle = F.trim(folded(F.col("needle")))
     asked = kept(searches.select("search_id", needle.alias("_needle")), "searches")
+    # Equal texts are looked at once, as are equal needles; only what is found is told to all of them.
+    marked = rows.select(*keys, folded(F.col(text)).alias("_text")).dropna(subset=keys).withColumn("_same", F.sha2("_text", 256))
+    members = kept(marked.select(*keys, "_same"), "members")
+    first = members.groupBy("_same").agg(F.min(F.struct(*keys)).alias("_first")).select("_same", *(F.col("_first")[k].alias(k) for k in keys))
+    first = kept(first, "texts")
     of = F.when(F.length("_needle") < 3, F.array("_needle")).otherwise(_cut(F.col("_needle"), 3))
-    wanted = asked.select("search_id", F.explode(of).alias("gram"))
-    postings = kept(index.join(wanted.select("gram").distinct(), "gram", "left_semi"), "postings")
+    wanted = asked.select("_needle").distinct().select("_needle", F.explode(of).alias("gram"))
+    postings = kept(index.join(wanted.select("gram").distinct(), "gram", "left_semi").join(first, keys).select("gram", "_same"), "postings")
     often = wanted.join(postings.groupBy("gram").agg(F.count("*").alias("_df")), "gram", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
-    rare = often.withColumn("_place", F.row_number().over(Window.partitionBy("search_id").orderBy("_df", "gram"))).where(F.col("_place") <= MET)
-    need = rare.groupBy("search_id").agg(F.count("*").alias("_need"))
-    met = rare.join(postings, "gram").groupBy("search_id", *keys).agg(F.count("*").alias("_n")).join(need, "search_id").where("_n = _need")
-    told = met.select("search_id", *keys).join(rows.select(*keys, folded(F.col(text)).alias("_text")), keys).join(asked, "search_id")
-    return told.where(F.col("_text").contains(F.col("_needle"))).select("search_id", *keys)
+    rare = kept(often.withColumn("_place", F.row_number().over(Window.partitionBy("_needle").orderBy("_df", "gram"))).where(F.col("_place") <= MET), "rare")
+    need = rare.groupBy("_needle").agg(F.count("*").alias("_need"))
+    met = rare.join(postings, "gram").groupBy("_needle", "_same").agg(F.count("*").alias("_n")).join(need, "_needle").where("_n = _need")
+    told = met.select("_needle", "_same").join(marked.join(first, ["_same", *keys], "left_semi").select("_same", "_text"), "_same").where(F.col("_text").contains(F.col("_needle")))
+    found = kept(told.select("_needle", "_same"), "found", [postings, rare])
+    return found.join(asked, "_needle").join(members, "_same").select("search_id", *keys)

@@ -80,7 +80,8 @@ def timed_lines(segments: DataFrame, keys: list[str], seconds: int = 30) -> Data
     placed = rows.withColumns({"at": F.row_number().over(in_order), "_back": F.coalesce(F.col("_m") < F.lag("_m").over(in_order), F.lit(False))})
     placed = kept(placed.withColumns({"_back": F.max("_back").over(of), "_n": F.count("*").over(of)}), "segments")
     onward = placed.where("not _back")
-    after = F.min("at").over(of.orderBy("_m").rangeBetween(seconds * 1_000_000, Window.unboundedFollowing)) + 1
+    # From the last segment on, so that the frame grows; one that shrinks is summed up anew for each row.
+    after = F.min("at").over(of.orderBy(F.desc("_m")).rangeBetween(Window.unboundedPreceding, -seconds * 1_000_000)) + 1
     pointers = kept(onward.select(*keys, "at", after.alias("to"), "_n").where("to <= _n").drop("_n"), "pointers")
     reached = kept(onward.where("at = 1").select(*keys, "at"), "reached")
     found = [reached]

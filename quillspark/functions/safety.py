@@ -22,7 +22,8 @@ def is_explicit_snippet(title: Column, body: Column) -> Column:
 
 def is_explicit_source(title: Column, text: Column, publisher: Column) -> Column:
     head = F.concat_ws(" ", F.substring(text, 1, 4000), F.coalesce(publisher, F.lit("")))
-    return (explicit_hits(title) >= 1) | (explicit_hits(head) >= 2) | (explicit_hits(text) >= 4)
+    # A text that is all head has its hits there.
+    return (explicit_hits(title) >= 1) | (explicit_hits(head) >= 2) | ((F.length(text) > 4000) & (explicit_hits(text) >= 4))
 
 
 def looks_dead(text: Column) -> Column:

@@ -105,9 +105,15 @@ def keyword_terms(text: Column, limit: int = 8) -> Column:
 
 
 def term_hits(terms: Column, text: Column) -> Column:
-    """How many of the terms occur in the text, by stem."""
-    found = tokens(text, keep_stop=True)
-    return F.size(F.filter(stem_all(F.transform(terms, F.lower)), lambda t: F.array_contains(found, t)))
+    """How many of the terms occur in the text, by stem.
+
+    Endings are cut from words, and -ies becomes -y, so only words that begin as some term's stem does without its last letter are stemmed. Arrays of
+    one element hold what a lambda would work out anew for each term.
+    """
+    begins = lambda w, stems: F.exists(stems, lambda t: F.startswith(w, _cut(t, 1)))
+    found = lambda stems: stem_all(F.filter(F.array_distinct(words(text, keep_stop=True)), lambda w: begins(w, stems)))
+    hits = lambda stems: F.transform(F.array(found(stems)), lambda f: F.size(F.filter(stems, lambda t: F.array_contains(f, t))))
+    return F.element_at(F.element_at(F.transform(F.array(stem_all(F.transform(terms, F.lower))), hits), 1), 1)
 
 
 def excerpt(text: Column, limit: int = 320, least: int = 120) -> Column:

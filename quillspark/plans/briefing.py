@@ -28,18 +28,25 @@ def gather(sources: DataFrame, topics: DataFrame, this_year: int, profile: Profi
 
     Explicit sources go (unless the topic itself is), then irrelevant ones, then repeats; the rest is ranked and cut per kind. The result is
     small, some rows of each kind, and is read by every later step, so it is written once.
+
+    Texts are filtered and scored in one reading, which leaves what repeats and ranks go by; those of the sources chosen are read again.
     """
-    rows = sources.join(topics.select(*TOPIC, "terms", allowed(F.col("topic")).alias("_allowed")), TOPIC)
-    clean = rows.where(F.col("_allowed") | ~is_explicit_source(F.col("title"), F.col("text"), F.col("publisher")))
-    kept = greedy_two_key(clean.where(is_relevant(F.col("kind"), F.col("terms"), F.col("title"), F.col("text"))), TOPIC)
-    scored = kept.withColumn("relevance", relevance(F.col("terms"), F.col("title"), F.col("text")))
+    topics = F.broadcast(topics.select(*TOPIC, "terms", allowed(F.col("topic")).alias("_allowed")))  # a line for each briefing; not a product that reads the texts again for each part of topics
+    row = F.xxhash64("ord", "kind", "title", "url", "text")
+    rows = sources.join(topics, TOPIC)
+    clean = rows.where(F.col("_allowed") | ~is_explicit_source(F.col("title"), F.col("text"), F.col("publisher"))).where(is_relevant(F.col("kind"), F.col("terms"), F.col("title"), F.col("text")))
+    scored = clean.withColumn("relevance", relevance(F.col("terms"), F.col("title"), F.col("text")))
     ranked = scored.withColumn("rank", source_rank(F.col("trust"), F.col("relevance"), F.col("date"), F.col("cited_by"), this_year))
-    return kept_(dense_ids(top_per_kind(ranked, profile.caps(), TOPIC), TOPIC).drop("_allowed", "terms"), "sources")
+    able = kept_(ranked.select(*TOPIC, "ord", "kind", "title", "url", "relevance", "rank", row.alias("_row")), "able")
+    chosen = kept_(dense_ids(top_per_kind(greedy_two_key(able, TOPIC), profile.caps(), TOPIC), TOPIC).select(*TOPIC, "_row", "relevance", "rank", "place", "id"), "chosen", [able])
+    told = F.broadcast(chosen.select(*TOPIC, "_row").distinct())  # some rows of each kind
+    texts = sources.withColumn("_row", row).join(told, [*TOPIC, "_row"], "left_semi").dropDuplicates([*TOPIC, "_row"])
+    return kept_(texts.join(chosen, [*TOPIC, "_row"]).select(*sources.columns, "relevance", "rank", "place", "id"), "sources")
 
 
 def removed_sources(sources: DataFrame, topics: DataFrame) -> DataFrame:
     """topic_id, removed, warning: how many sources the filter of explicit ones takes out, for topics where it takes any."""
-    rows = sources.join(topics.select(*TOPIC, allowed(F.col("topic")).alias("_allowed")), TOPIC)
+    rows = sources.join(F.broadcast(topics.select(*TOPIC, allowed(F.col("topic")).alias("_allowed"))), TOPIC)
     n = rows.groupBy(*TOPIC).agg(F.count_if(~F.col("_allowed") & is_explicit_source(F.col("title"), F.col("text"), F.col("publisher"))).alias("removed"))
     return n.where("removed > 0").withColumn("warning", F.concat(F.col("removed").cast("string"), F.lit(" source(s) removed by the adult-content filter")))
 

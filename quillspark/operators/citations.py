@@ -99,6 +99,8 @@ def support_check(texts: DataFrame, sources: DataFrame, report: list[str]) -> Da
     cited = kept(valid.groupBy(*key).agg(F.first("plain").alias("plain"), F.transform(F.array_sort(F.collect_list(F.struct("_p", "source_id"))), lambda x: x["source_id"]).alias("ids")), "cited")
 
     asked = word_rows(cited, [*key, "ids"], "plain", name="word", at="at").select(*key, "at", "word", F.explode("ids").alias("source_id"))
+    # Words of a source that no sentence cites meet nothing. A text is shuffled with its source, rather than its words each by itself.
+    texts_of = texts_of.join(cited.select(*report, F.explode("ids").alias("source_id")).distinct(), of_source, "left_semi")
     held = kept(word_rows(texts_of, of_source, keep_stop=True, name="word").distinct(), "held").withColumn("_held", F.lit(True))
     content = F.when((F.length("word") >= 4) & ~F.col("word").isin(*_stop()), F.col("at"))
     hit = F.when(F.col("_held"), content)

@@ -19,7 +19,8 @@ def complete(asks: DataFrame, attempts: DataFrame, chain: DataFrame, cache: Data
     wins, and what is in the cache is not asked at all. error: the last six that were met before.
     """
     text = clean_completion(F.coalesce("text", F.lit("")))
-    rows = attempts.where(F.col("attempt") <= TRIES).join(chain, "model").withColumn("_text", F.when(F.col("kind") == "ok", text).otherwise(""))
+    # A chain is a few models, a row each; dealt by model, all attempts would meet it in as many tasks.
+    rows = attempts.where(F.col("attempt") <= TRIES).join(F.broadcast(chain), "model").withColumn("_text", F.when(F.col("kind") == "ok", text).otherwise(""))
     one = Window.partitionBy("key", "model").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
     reached = rows.where(F.col("attempt") == 1).unionByName(rows.withColumn("_r", F.bool_and(F.col("kind") == "retry").over(one)).where("attempt > 1 and _r").drop("_r"))
     at = F.struct("ord", "attempt")

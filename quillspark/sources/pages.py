@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,9 +115,10 @@ def extract_page(page: str | None, least: int = 40) -> tuple[str, str, str]:
     return title, date, "\n\n".join(out)
 
 
-@F.pandas_udf(PAGE)
-def page_text(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extract_page(p) for p in pages], columns=["title", "date", "text"])
+@F.arrow_udf(PAGE)
+def page_text(pages: pa.Array) -> pa.Array:
+    """A batch's pages become strings of Python one by one, not all beside their texts."""
+    return pa.array((dict(zip(("title", "date", "text"), extract_page(p.as_py()))) for p in pages), pa.struct([(n, pa.string()) for n in ("title", "date", "text")]))
 
 
 @F.pandas_udf(_S)

@@ -11,10 +11,11 @@ All arithmetic is exact: shares are whole billionths, at least 1, so a value is
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,9 @@ TERMS = 200
 #: Terms of a block and sources of a tile, about.
 BLOCK = 512
 TILE = 64
-#: Sums that a task holds before it passes them on.
-HELD = 200_000
+#: Sums that a task holds, and bytes of text that it has read, before it passes them on.
+HELD = 500_000
+READ = 1 << 26
 #: Elements of a matrix of differences.
 CELLS = 1 << 20
 
@@ -40,36 +42,39 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_BYTES).split()
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: occurrences and documents. Each source also has a row of null term, with all its documents."""
+def sums(batches):
+    """Batches of lang, source, term, n, docs from ones of text, lang, source, all binary: what is held at a time has one row each."""
+    held: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    size = read = 0
+
+    def out():
+        rows: list[list] = [[], [], [], [], []]
+        for (lang, source), (n, of) in held.items():
+            own = [lang] * (len(n) + 1), [source] * (len(n) + 1), [None, *n], [0, *n.values()], [of[None], *map(of.__getitem__, n)]
+            for column, more in zip(rows, own):
+                column += more
+        held.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()).cast(pa.string()) for x in rows[:3]), *(pa.array(x, pa.int64()) for x in rows[3:])], names=["lang", "source", "term", "n", "docs"])
+
+    for batch in batches:
+        for text, lang, source in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source"))):
+            n, of = held[lang, source]
+            before = len(n)
+            found = terms(text)
+            n.update(found)
+            of.update({None, *found})
+            size += len(n) - before + 1
+            read += len(text)
+            if size > HELD or read > READ:
+                yield out()
+                size = read = 0
+    yield out()
 
-    def add(batches):
-        held: dict[tuple, list[int]] = {}
-
-        def out():
-            lang, source, term, n, of = zip(*((*k, *v) for k, v in held.items())) if held else ((),) * 5
-            held.clear()
-            text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([text(lang), text(source), text(term), pa.array(n, pa.int64()), pa.array(of, pa.int64())], names=["lang", "source", "term", "n", "docs"])
-
-        for batch in batches:
-            for text, lang, source in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source"))):
-                own: dict[bytes | None, int] = defaultdict(int)
-                own[None] = 0
-                for t in terms(text):
-                    own[t] += 1
-                for t, n in own.items():
-                    if (at := held.get((lang, source, t))) is None:
-                        held[lang, source, t] = [n, 1]
-                    else:
-                        at[0] += n
-                        at[1] += 1
-                if len(held) > HELD:
-                    yield out()
-        yield out()
 
+def counts(docs: DataFrame) -> DataFrame:
+    """lang, source, term, n, docs: occurrences and documents. Each source also has a row of null term, with all its documents."""
     read = docs.select(*(F.coalesce(F.col(c), F.lit("")).cast("binary").alias(c) for c in ("text", "lang", "source")))
-    parts = read.mapInArrow(add, "lang string, source string, term string, n bigint, docs bigint")
+    parts = read.mapInArrow(sums, "lang string, source string, term string, n bigint, docs bigint")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -123,18 +128,14 @@ def audit(docs: DataFrame, most: int = TERMS) -> DataFrame:
     def tile(key, members: pa.Table, cells: pa.Table) -> pa.Table:
         lang, low, high, _ = (k.as_py() for k in key)
         members = members.sort_by("source").to_pydict()
-        row = {s: k for k, s in enumerate(members["source"])}
-        names, column = members["source"], {}
-        found = cells.to_pydict()
-        for t, s in zip(found["term"], found["source"]):
-            if s is None:
-                column[t] = len(column)
-        of_group, of_lang = np.zeros((len(names), len(column)), np.int64), np.zeros((1, len(column)), np.int64)
-        for s, t, n in zip(found["source"], found["term"], found["n"]):
-            if s is None:
-                of_lang[0, column[t]] = n
-            else:
-                of_group[row[s], column[t]] = n
+        names = members["source"]
+        in_lang = pc.is_null(cells["source"])
+        whole, own = cells.filter(in_lang), cells.filter(pc.invert(in_lang))
+        column = whole["term"].combine_chunks()
+        place = lambda found, among: pc.index_in(found, value_set=among).to_numpy()
+        of_group, of_lang = np.zeros((len(names), len(column)), np.int64), whole["n"].to_numpy()[None]
+        if len(own):
+            of_group[place(own["source"], pa.array(names, own["source"].type)), place(own["term"], column)] = own["n"].to_numpy()
         v = np.array(members["v"], np.int64)[:, None]
         p = shares(of_group, np.maximum(np.array(members["n"], np.int64)[:, None] + v, 1))
         tiles = np.array(members["tile"], np.int64)
@@ -143,11 +144,11 @@ def audit(docs: DataFrame, most: int = TERMS) -> DataFrame:
         for mine, other in [(a, b)] if low == high else [(a, b), (b, a)]:
             sums = pair_sums(p[mine], p[other])
             out += [(names[i], "pair", names[j], int(sums[x, y])) for x, i in enumerate(mine) for y, j in enumerate(other) if i != j]
-        if low == high and column:
+        if low == high and len(column):
             q = shares(of_lang, np.maximum(np.array(members["total"][:1], np.int64)[:, None] + v[:1], 1))
             gap = p - q
             value = gap * gap // q
-            words = list(column)
+            words = column.to_pylist()
             for i, name in enumerate(names):
                 over = np.flatnonzero((of_group[i] > 0) & (gap[i] > 0))
                 out += [(name, "term", t, -x) for x, t in _least(((-int(value[i, c]), words[c]) for c in over), most)]

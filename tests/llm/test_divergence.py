@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.llm import divergence
@@ -63,3 +64,17 @@ def test_shares_are_exact():
     # The largest gaps stay within 64 bits.
     p, q = np.array([[10**9 + 1, 1]]), np.array([[1, 10**9 + 1]])
     assert divergence.pair_sums(p, q)[0, 0] == 10**18 + (10**18) // (10**9 + 1)
+
+
+def test_a_task_sends_each_sum_once():
+    """Terms that are read again are summed up before they are sent, also beyond 200,000 of them; what is held stays bounded."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    text = " ".join(str(k).translate(letters) for k in range(250_000)).encode()
+    batch = lambda texts, lang="de": pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary()) for c, v in (("text", texts), ("lang", [lang.encode()] * len(texts)), ("source", [b"s"] * len(texts)))})
+    sent = [b for b in divergence.sums([batch([text]), batch([text, b"", b"a"])]) if b.num_rows]
+    rows = pa.Table.from_batches(sent).to_pydict()
+    assert len(rows["term"]) == len(set(rows["term"])) == 250_001
+    found = dict(zip(rows["term"], zip(rows["n"], rows["docs"])))
+    assert found[None] == (0, 4) and found["a"] == (3, 3) and found["b"] == (2, 2)
+    small = [b.num_rows for b in divergence.sums([batch([b"one"] * (divergence.HELD + 5))])]
+    assert small == [2, 2]

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +92,90 @@ def word_rows(rows: DataFrame, keys: list[str], text: str = "text", keep_stop: b
     return raw
 
 
+#: For bytes.translate: A-Z in lower case, other bytes of tokens as they are, the rest spaces. A run holds one token, or none: what is left without the
+#: apostrophes and hyphens at its ends.
+_RUNS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if re.match(rb"[a-z0-9'\-]", bytes([b])) else 0x20 for b in range(256))
+#: Runs whose tokens a task remembers, letters of the longest of them, and rows that it sends at a time.
+REMEMBERED, LONG, SENT = 200_000, 40, 100_000
+
+
+def stemmed(t: str) -> str:
+    """stem() of one token in lower case."""
+    if len(t) > 3:
+        if t.endswith("ies"):
+            t = t[:-3] + "y"
+        elif t.endswith(("sses", "xes", "zes", "ches", "shes")):
+            t = t[:-2]
+        elif t.endswith("s") and not t.endswith(("ss", "us", "is")):
+            t = t[:-1]
+    for suffix in ("ingly", "edly", "ing", "ed"):
+        if t.endswith(suffix) and len(t) >= len(suffix) + 3:
+            t = t[: -len(suffix)]
+            break
+    if len(t) > 3 and t.endswith("e"):
+        t = t[:-1]
+    return t[:-1] if len(t) > 3 and t[-1] == t[-2] and t[-1] not in "lsz" else t
+
+
+def counted_words(rows: DataFrame, keys: list[str], text: str = "text", keep_stop: bool = False, name: str = "term", only: Callable[[str], bool] | None = None, least: int = 0) -> DataFrame:
+    """keys, name, tf, len: a row for each different token of each row's text, with how often it has it, and a row of the empty token with tf 0.
+
+    len: the tokens of the text. only: which tokens count, others being left out of len too. Texts of a smaller len than least have no rows.
+
+    Tokens are those of word_rows(), counted where the text is read, so a token is shuffled once for each text; each run of letters is stemmed once
+    for many texts.
+    """
+    stop = frozenset(() if keep_stop else STOPWORDS)
+
+    def token(run: bytes) -> bytes | None:
+        word = run.strip(b"'-").decode()
+        if len(word) < 2 or word in stop:
+            return None
+        word = stemmed(word)
+        return word.encode() if only is None or only(word) else None
+
+    def count(batches):
+        known: dict[bytes, bytes | None] = {}
+        for batch in batches:
+            column = batch.column(len(keys))
+            at, terms, counts, lengths = [], [], [], []
+
+            def out():
+                own = batch.select(keys).take(pa.array(at, pa.int64())).columns
+                return pa.RecordBatch.from_arrays([*own, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(lengths, pa.int64())], names=[*keys, name, "tf", "len"])
+
+            for i in range(batch.num_rows):
+                bag: dict[bytes, int] = {b"": 0}
+                runs = (column[i].as_py() or b"").translate(_RUNS).split()
+                # Short texts repeat few words.
+                for run, n in Counter(runs).items() if len(runs) > 50 else zip(runs, repeat(1)):
+                    try:
+                        t = known[run]
+                    except KeyError:
+                        t = token(run)
+                        if len(run) <= LONG:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            known[run] = t
+                    if t is not None:
+                        bag[t] = bag.get(t, 0) + n
+                total = sum(bag.values())
+                if total < least:
+                    continue
+                at += [i] * len(bag)
+                terms += bag
+                counts += bag.values()
+                lengths += [total] * len(bag)
+                if len(at) > SENT:
+                    yield out()
+                    at, terms, counts, lengths = [], [], [], []
+            yield out()
+
+    read = rows.select(*keys, F.col(text).cast("binary").alias("_text"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keys).schema)
+    return read.mapInArrow(count, f"{kinds}`{name}` string, tf bigint, len bigint")
+
+
 def _is_stop(t: Column) -> Column:
     return t.isin(*STOPWORDS)
 

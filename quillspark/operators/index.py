@@ -14,18 +14,19 @@ the k-th score found. What is left out can't be among the k best, so the result
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, words
-from ..sources.shared import kept
-from .ranking import B, K1, term_counts
+from ..functions.text import counted_words, tokens
+from ..sources.shared import delete, kept
+from .ranking import B, K1
 
 BUCKETS = 64
 #: Passages of a block, about.
 BLOCK = 1024
-#: So many different terms are named in the filter of a scan; more are joined only.
+#: So many different terms are named in the filter of a scan; more meet it in a join of their own, before any other.
 NAMED = 256
 #: Times k passages that the first blocks scored hold.
 AHEAD = 4
@@ -56,7 +57,7 @@ class Index:
         kinds = lambda names: "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passages.select(*names).schema)
         schema = {
             "passages": kinds(passages.columns).rstrip(", "), "pools": kinds(self.pool) + "n bigint, avg_len double", "terms": kinds(self.pool) + "term string, df bigint, bucket int",
-            "postings": kinds(self.keys) + "term string, tf bigint, len bigint, _share double, block bigint, bucket int", "blocks": kinds(self.pool) + "term string, block bigint, rows bigint, most double, bucket int"}
+            "postings": kinds(self.keys) + "term string, tf bigint, len bigint, block bigint, bucket int", "blocks": kinds(self.pool) + "term string, block bigint, rows bigint, most double, bucket int"}
         return self.spark.read.schema(schema[name]).parquet(f"{self.path}/{name}")
 
     @property
@@ -80,7 +81,9 @@ class Index:
         buckets = [r["b"] for r in told.select(_bucket(F.col("term"), self.buckets).alias("b")).distinct().collect()]  # at most BUCKETS numbers
         out = self.part(name).where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
         named = [r["term"] for r in told.limit(NAMED + 1).collect()]
-        return out.where(F.col("term").isin(named)) if 0 < len(named) <= NAMED else out
+        if 0 < len(named) <= NAMED:
+            return out.where(F.col("term").isin(named))
+        return out.join(asked.select(*self.pool, "term").distinct(), [*self.pool, "term"], "left_semi")
 
     def weights(self, queries: DataFrame, query_keys: list[str]) -> DataFrame:
         """pool, query_keys, term, idf, avg_len of the terms of queries (pool, query_keys, query) that the pool holds."""
@@ -121,24 +124,31 @@ def build(docs: DataFrame, keys: list[str], pool: list[str], path: str, text: st
     """Writes the index of docs (keys, text) to path, which must not exist. keys tell passages apart; null texts have no tokens and length 1."""
     spark = docs.sparkSession
     rest = [c for c in keys if c not in pool]
-    passages = docs.select(*keys, F.greatest(F.size(words(F.col(text))), F.lit(1)).cast("long").alias("len"))
-    passages.write.parquet(f"{path}/passages")
+    counted = kept(counted_words(docs, keys, text), "counted")
+    counted.where("term = ''").select(*keys, F.greatest("len", F.lit(1)).cast("long").alias("len")).write.parquet(f"{path}/passages")
     out = Index(spark, path, keys, pool, buckets)
     told = out.passages
     sizes = told.groupBy(*pool) if pool else told.groupBy()
     sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).where("n > 0").write.parquet(f"{path}/pools")
     # Passages of a pool by length: class 2 * log2(len), and as many blocks of each as they fill.
     kind = F.floor(2 * F.log2(F.col("len"))).cast("long")
-    full = told.groupBy(*pool, kind.alias("_class")).agg(F.ceil(F.count("*") / block).cast("long").alias("_parts"))
-    counted = term_counts(docs, keys, text).join(told.withColumn("_class", kind).join(full, [*pool, "_class"]), keys)
-    pools = out.part("pools")
-    counted = counted.join(pools.select(*pool, "avg_len"), pool) if pool else counted.crossJoin(F.broadcast(pools))  # without a pool, pools is one row
-    placed = counted.select(*keys, "term", "tf", "len", _share(F.col("avg_len")).alias("_share"), (F.col("_class") * (1 << 32) + F.pmod(F.xxhash64(*rest), F.col("_parts"))).alias("block"), _bucket(F.col("term"), buckets).alias("bucket"))
+    full = kept(told.groupBy(*pool, kind.alias("_class")).agg(F.ceil(F.count("*") / block).cast("long").alias("_parts")), "classes")
+    placed = _joined(counted.where("term <> ''").withColumn("_class", kind), full, [*pool, "_class"])
+    placed = placed.select(*keys, "term", "tf", "len", (F.col("_class") * (1 << 32) + F.pmod(F.xxhash64(*rest), F.col("_parts"))).alias("block"), _bucket(F.col("term"), buckets).alias("bucket"))
     ranged = placed.repartitionByRange("bucket", *pool, "term", "block", F.xxhash64(*rest)).sortWithinPartitions("bucket", *pool, "term", "block")
     ranged.write.partitionBy("bucket").parquet(f"{path}/postings")
-    postings = out.part("postings")
-    by_block = postings.groupBy("bucket", *pool, "term", "block").agg(F.count("*").alias("rows"), F.max("_share").alias("most"))
+    postings = _joined(out.part("postings"), out.part("pools").select(*pool, "avg_len"), pool)
+    by_block = postings.groupBy("bucket", *pool, "term", "block").agg(F.count("*").alias("rows"), F.max(_share(F.col("avg_len"))).alias("most"))
     by_block.repartitionByRange("bucket", *pool, "term", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
     by_term = out.part("blocks").groupBy("bucket", *pool, "term").agg(F.sum("rows").alias("df"))
     by_term.repartitionByRange("bucket", *pool, "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    delete(spark, counted._kept_path)
     return out
+
+
+def _joined(rows: DataFrame, told: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the other columns of told, where null keys are keys too. By no key, told is one row."""
+    if not by:
+        return rows.crossJoin(F.broadcast(told))
+    told = told.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    return rows.join(told, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by))).drop(*(f"_of_{c}" for c in by))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_rows
+from ..functions.text import counted_words
 from ..sources.shared import kept
 
 SUPPORT, LEAST_WORDS = 0.35, 5
@@ -87,35 +87,36 @@ def support_check(texts: DataFrame, sources: DataFrame, report: list[str]) -> Da
     words, aren't checked.
 
     Sentences and sources meet as rows of single words, by (source, word), so no text or set of words is carried to a sentence, and what cites one
-    source is spread over its words. Numbers meet runs of digits. A sentence gets counts back.
+    source is spread over its words. Words are counted where their sentence or source is read, and short sentences go there. A sentence's row of the
+    empty word meets that of each source it cites. Numbers meet runs of digits, those of checked sentences only. A sentence gets counts back.
     """
     key, of_source = [*report, "text_ord", "ord"], [*report, "source_id"]
     cut = texts.select(*report, "text_ord", F.posexplode(sentences(normalize(F.col("text")))).alias("ord", "raw"))
     plain = F.regexp_replace("raw", r"\[S\d+\]", "")
-    found = cut.select(*key, plain.alias("plain"), F.array_distinct(find_ids(F.col("raw"))).alias("cited")).where(F.size("cited") > 0)
+    found = kept(cut.select(*key, plain.alias("plain"), F.array_distinct(find_ids(F.col("raw"))).alias("cited")).where(F.size("cited") > 0), "found")
     texts_of = sources.select(*report, F.col("source_id").cast("long").alias("source_id"), "text")
-    known = texts_of.select(*of_source).distinct()
-    valid = found.select(*key, "plain", F.posexplode("cited").alias("_p", "source_id")).join(known, of_source)
-    cited = kept(valid.groupBy(*key).agg(F.first("plain").alias("plain"), F.transform(F.array_sort(F.collect_list(F.struct("_p", "source_id"))), lambda x: x["source_id"]).alias("ids")), "cited")
-
-    asked = word_rows(cited, [*key, "ids"], "plain", name="word", at="at").select(*key, "at", "word", F.explode("ids").alias("source_id"))
-    # Words of a source that no sentence cites meet nothing. A text is shuffled with its source, rather than its words each by itself.
-    texts_of = texts_of.join(cited.select(*report, F.explode("ids").alias("source_id")).distinct(), of_source, "left_semi")
-    held = kept(word_rows(texts_of, of_source, keep_stop=True, name="word").distinct(), "held").withColumn("_held", F.lit(True))
-    content = F.when((F.length("word") >= 4) & ~F.col("word").isin(*_stop()), F.col("at"))
-    hit = F.when(F.col("_held"), content)
-    # A place counts once, however many of the sentence's sources it meets. A sentence has a bounded number of words.
-    met = asked.join(held, [*of_source, "word"], "left").groupBy(*key).agg(F.size(F.collect_set(content)).alias("_words"), F.size(F.collect_set(hit)).alias("_hits"))
+
+    stop = frozenset(_stop())
+    content = lambda t: len(t) >= 4 and t not in stop
+    asked = counted_words(found, [*key, "cited"], "plain", name="word", only=content, least=LEAST_WORDS)
+    asked = asked.select(*key, "word", "tf", "len", F.explode("cited").alias("source_id"))
+    held = counted_words(texts_of, of_source, keep_stop=True, name="word", only=content).select(*of_source, "word")
+    # A word counts once, however many of the sentence's sources have it; both steps go by one shuffle. A sentence has a bounded number of words.
+    met = asked.join(held, [*of_source, "word"]).repartition(*key)
+    met = met.groupBy(*key, "word").agg(F.max("tf").alias("tf"), F.max("len").alias("len"), F.collect_set(F.when(F.col("word") == "", F.col("source_id"))).alias("_known"))
+    met = met.groupBy(*key).agg(F.sum("tf").alias("_hits"), F.max("len").alias("_words"), F.max(F.when(F.col("word") == "", F.col("_known"))).alias("_known"))
+    valid = F.filter("cited", lambda i: F.array_contains("_known", i))
+    checked = kept(found.join(met, key).select(*key, "plain", valid.alias("ids"), (F.col("_hits") / F.col("_words")).alias("overlap")), "checked", [found])
 
     numbers = F.filter(F.regexp_extract_all("plain", F.lit(_NUMBER), F.lit(0)), lambda x: F.length(F.regexp_replace(x, "[,.]", "")) >= 2)
-    told = cited.select(*key, "ids", F.posexplode(numbers).alias("_k", "number"))
+    told = checked.select(*key, "ids", F.posexplode(numbers).alias("_k", "number"))
     row = [*key, "_k"]
     some = told.select(*row, "number", F.explode("ids").alias("source_id"))
     # Missing is what none of the sentence's sources has: a number that one of them lacks counts once for each.
     lacking = missing_numbers(some, texts_of, of_source, [*row, "source_id"]).groupBy(*row).agg(F.count("*").alias("_lacking"))
     lost = told.join(lacking, row).where(F.col("_lacking") == F.size("ids")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "number"))), lambda x: x["number"]).alias("_missing"))
-    out = cited.join(met.where(F.col("_words") >= LEAST_WORDS), key).join(lost, key, "left")
-    out = out.select(*key, F.regexp_replace("plain", r"(?U)^\s+|\s+\z", "").alias("sentence"), "ids", (F.col("_hits") / F.col("_words")).alias("overlap"), F.slice(F.coalesce("_missing", F.array().cast("array<string>")), 1, 4).alias("missing"))
+    out = checked.join(lost, key, "left")
+    out = out.select(*key, F.regexp_replace("plain", r"(?U)^\s+|\s+\z", "").alias("sentence"), "ids", "overlap", F.slice(F.coalesce("_missing", F.array().cast("array<string>")), 1, 4).alias("missing"))
     return out.withColumn("flagged", (F.col("overlap") < SUPPORT) | (F.size("missing") > 0))
 
 

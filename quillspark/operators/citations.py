@@ -88,12 +88,15 @@ def support_check(texts: DataFrame, sources: DataFrame, report: list[str]) -> Da
 
     Sentences and sources meet as rows of single words, by (source, word), so no text or set of words is carried to a sentence, and what cites one
     source is spread over its words. Words are counted where their sentence or source is read, and short sentences go there. A sentence's row of the
-    empty word meets that of each source it cites. Numbers meet runs of digits, those of checked sentences only. A sentence gets counts back.
+    empty word meets that of each source it cites. Numbers meet runs of digits, those of checked sentences only. A sentence gets
+    counts back.
     """
     key, of_source = [*report, "text_ord", "ord"], [*report, "source_id"]
     cut = texts.select(*report, "text_ord", F.posexplode(sentences(normalize(F.col("text")))).alias("ord", "raw"))
     plain = F.regexp_replace("raw", r"\[S\d+\]", "")
-    found = kept(cut.select(*key, plain.alias("plain"), F.array_distinct(find_ids(F.col("raw"))).alias("cited")).where(F.size("cited") > 0), "found")
+    numbers = F.filter(F.regexp_extract_all("plain", F.lit(_NUMBER), F.lit(0)), lambda x: F.length(F.regexp_replace(x, "[,.]", "")) >= 2)
+    found = cut.select(*key, plain.alias("plain"), F.array_distinct(find_ids(F.col("raw"))).alias("cited")).where(F.size("cited") > 0)
+    found = kept(found.withColumn("numbers", numbers), "found")
     texts_of = sources.select(*report, F.col("source_id").cast("long").alias("source_id"), "text")
 
     stop = frozenset(_stop())
@@ -106,16 +109,16 @@ def support_check(texts: DataFrame, sources: DataFrame, report: list[str]) -> Da
     met = met.groupBy(*key, "word").agg(F.max("tf").alias("tf"), F.max("len").alias("len"), F.collect_set(F.when(F.col("word") == "", F.col("source_id"))).alias("_known"))
     met = met.groupBy(*key).agg(F.sum("tf").alias("_hits"), F.max("len").alias("_words"), F.max(F.when(F.col("word") == "", F.col("_known"))).alias("_known"))
     valid = F.filter("cited", lambda i: F.array_contains("_known", i))
-    checked = kept(found.join(met, key).select(*key, "plain", valid.alias("ids"), (F.col("_hits") / F.col("_words")).alias("overlap")), "checked", [found])
+    checked = kept(found.drop("plain").join(met, key).select(*key, "numbers", valid.alias("ids"), (F.col("_hits") / F.col("_words")).alias("overlap")), "checked")
 
-    numbers = F.filter(F.regexp_extract_all("plain", F.lit(_NUMBER), F.lit(0)), lambda x: F.length(F.regexp_replace(x, "[,.]", "")) >= 2)
-    told = checked.select(*key, "ids", F.posexplode(numbers).alias("_k", "number"))
+    told = checked.select(*key, "ids", F.posexplode("numbers").alias("_k", "number"))
     row = [*key, "_k"]
     some = told.select(*row, "number", F.explode("ids").alias("source_id"))
     # Missing is what none of the sentence's sources has: a number that one of them lacks counts once for each.
     lacking = missing_numbers(some, texts_of, of_source, [*row, "source_id"]).groupBy(*row).agg(F.count("*").alias("_lacking"))
     lost = told.join(lacking, row).where(F.col("_lacking") == F.size("ids")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "number"))), lambda x: x["number"]).alias("_missing"))
-    out = checked.join(lost, key, "left")
+    # Sentences themselves are shuffled here only.
+    out = found.select(*key, "plain").join(checked.drop("numbers"), key).join(lost, key, "left")
     out = out.select(*key, F.regexp_replace("plain", r"(?U)^\s+|\s+\z", "").alias("sentence"), "ids", "overlap", F.slice(F.coalesce("_missing", F.array().cast("array<string>")), 1, 4).alias("missing"))
     return out.withColumn("flagged", (F.col("overlap") < SUPPORT) | (F.size("missing") > 0))
 

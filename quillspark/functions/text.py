@@ -194,14 +194,24 @@ def keyword_terms(text: Column, limit: int = 8) -> Column:
     return F.slice(F.array_distinct(words(text, least=3)), 1, limit)
 
 
+def _beginning(stems: Column) -> Column:
+    """A pattern whose group 1 are the matches of TOKEN, two letters or more, that can have one of the stems.
+
+    Endings are cut from words, and -ies becomes -y, so a word begins as its stem does, but for a last y. The signs of a stem have no other meaning in a
+    pattern. A place is looked at further if its letter can begin a match; all flags are for ASCII.
+    """
+    stems = F.array_join(F.filter(stems, lambda t: t.rlike(r"^[a-z0-9][a-z0-9'\-]+\z")), "|")
+    first, whole = F.regexp_replace(stems, r"(.)[^|]*(\||\z)", "$1"), F.regexp_replace(stems, r"y(?=\||\z)", "[iy]")
+    return F.concat(F.lit(r"(?i)(?=['\-"), first, F.lit(r"])(?<![a-z0-9'\-])['\-]*+((?:"), whole, F.lit(r")[a-z0-9'\-]*)"))
+
+
 def term_hits(terms: Column, text: Column) -> Column:
     """How many of the terms occur in the text, by stem.
 
-    Endings are cut from words, and -ies becomes -y, so only words that begin as some term's stem does without its last letter are stemmed. Arrays of
-    one element hold what a lambda would work out anew for each term.
+    Only words that can have a term's stem are taken from the text. Arrays of one element hold what a lambda would work out anew for each term.
     """
-    begins = lambda w, stems: F.exists(stems, lambda t: F.startswith(w, _cut(t, 1)))
-    found = lambda stems: stem_all(F.filter(F.array_distinct(words(text, keep_stop=True)), lambda w: begins(w, stems)))
+    begun = lambda stems: F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), _beginning(stems), F.lit(1)), _bare)
+    found = lambda stems: stem_all(F.array_distinct(F.filter(begun(stems), lambda w: F.length(w) >= 2)))
     hits = lambda stems: F.transform(F.array(found(stems)), lambda f: F.size(F.filter(stems, lambda t: F.array_contains(f, t))))
     return F.element_at(F.element_at(F.transform(F.array(stem_all(F.transform(terms, F.lower))), hits), 1), 1)
 

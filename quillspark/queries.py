@@ -15,7 +15,7 @@ from .functions import media, safety, text as tx, urls
 from .operators import citations, dedup, index, passages as pg, protocols, ranking, substring
 from .plans import briefing, render
 from .sources import pages as pages_, store
-from .sources.shared import new_folder
+from .sources.shared import kept, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -587,8 +587,8 @@ def s13_robots_rules(spark, d):
 @query("""WITH s AS (SELECT doc_id, lower(left(string_split(text, chr(10))[1], 60)) AS t FROM documents) SELECT a.doc_id AS search_id, b.doc_id AS doc_id FROM (SELECT doc_id, trim(substr(t, 1 + doc_id % 20, 5 + doc_id % 7)) AS needle FROM s) a JOIN s b ON contains(b.t, a.needle)""")
 def f13_substring_searches(spark, d):
     """Of each document's title a part of five to eleven characters is searched in all titles."""
-    docs = table(spark, d, "documents").select("doc_id", F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60).alias("title"))
-    asked = docs.select(F.col("doc_id").alias("search_id"), F.substr("title", (F.col("doc_id") % 20 + 1).cast("int"), (F.col("doc_id") % 7 + 5).cast("int")).alias("needle"))
+    docs = kept(table(spark, d, "documents").where("text is not null").select("doc_id", F.lower(F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60)).alias("title")), "titles")
+    asked = docs.where("doc_id is not null").select(F.col("doc_id").alias("search_id"), F.substr("title", (F.col("doc_id") % 20 + 1).cast("int"), (F.col("doc_id") % 7 + 5).cast("int")).alias("needle"))
     return substring.find(asked, docs, substring.grams(docs, ["doc_id"], "title"), ["doc_id"], "title")
 
 

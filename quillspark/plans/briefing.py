@@ -103,14 +103,15 @@ def glossary_passages(sources: DataFrame, topics: DataFrame, terms: DataFrame, p
     return _best(split_sources(sources), queries, TOPIC, profile.passages + 2, max_chars)
 
 
-def video_entries(videos: DataFrame, replies: DataFrame, profile: Profile = PROFILES["standard"]) -> DataFrame:
+def video_entries(videos: DataFrame, replies: DataFrame, profile: Profile = PROFILES["standard"], untold: Column | str = "No description available.") -> DataFrame:
     """topic_id, id, summary, points, basis. videos: topic_id, id, place, text, duration, has_transcript; replies: topic_id, id, reply.
 
-    A reply counts for the first places of a topic, where there is a transcript and the reply has a summary; else the description's start is told.
+    A reply counts for the first places of a topic, where there is a transcript and the reply has a summary; else the description's start is told, or
+    untold where there is none.
     """
     met = videos.join(replies.select(*TOPIC, "id", "reply"), [*TOPIC, "id"], "left").withColumn("_v", parse_video(F.col("reply"), F.coalesce("duration", F.lit(0))))
     told = (F.col("place") <= profile.transcripts) & F.col("has_transcript") & F.col("reply").isNotNull() & (F.col("_v.summary") != "")
-    about = F.when(F.coalesce("text", F.lit("")) != "", excerpt(F.col("text"), 280)).otherwise("No description available.")
+    about = F.when(F.col("text").rlike(r"(?U)\S"), excerpt(F.col("text"), 280)).otherwise(F.lit(untold))
     tag = F.concat(F.lit(" [S"), F.col("id").cast("string"), F.lit("]"))
     return met.select(
         *TOPIC, "id", F.concat(F.when(told, F.col("_v.summary")).otherwise(about), tag).alias("summary"), F.when(told, F.col("_v.points")).otherwise(F.slice("_v.points", 1, 0)).alias("points"),

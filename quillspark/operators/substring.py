@@ -58,7 +58,7 @@ def find(searches: DataFrame, rows: DataFrame, index: DataFrame, keys: list[str]
     texts = kept(_together(rows.select(*keys, folded(F.col(text)).alias("_text")), "_text", keys), "texts")
     of = F.when(F.length("_needle") < 3, F.array("_needle")).otherwise(_cut(F.col("_needle"), 3))
     wanted = asked.groupBy("_needle").agg(F.sum(F.size("_searches")).alias("_n")).select("_needle", "_n", F.explode(of).alias("gram"))
-    often = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("_df"))
+    often = index.groupBy("gram").agg(F.count("*").alias("_df"))
     rarest = F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "gram")).alias("_r")
     rare = kept(wanted.join(often, "gram", "left").groupBy("_needle", "_n").agg(rarest).select("_needle", "_n", "_r.*").where("_df > 0"), "rare")
     # The texts and the needles of a gram are dealt over as many groups each as their numbers need; each group of the ones meets each of the others.
